@@ -278,7 +278,7 @@ def e1(spark, sf):
 
 @register("E5_E6_weight_lookup", sql=f"""
 SELECT id, model, CASE WHEN model = 'transformer' THEN 'finbert' ELSE model END AS mapped,
-       {SM.base_weight()} AS adaptive_base, {SM.mapped_weight()} AS weighted_base
+       CAST({SM.base_weight()} AS DOUBLE) AS adaptive_base, CAST({SM.mapped_weight()} AS DOUBLE) AS weighted_base
 FROM ({S.stub_scores(S.content())} UNION ALL SELECT id, source, created_at, 'vader', 0.0, 0.0, true FROM ({S.content()}) c2) s""")
 def e5(spark, sf):
     c = A.content(spark, sf)
@@ -302,7 +302,7 @@ def j3(spark, sf):
 
 
 @register("J4_weights_join", sql=f"""
-SELECT s.id, s.model, w.weight FROM ({_score_rows_sql()}) s
+SELECT s.id, s.model, CAST(w.weight AS DOUBLE) AS weight FROM ({_score_rows_sql()}) s
 JOIN (VALUES {', '.join(f"('{g}', '{m}', {w})" for g, ws in vocab.ENSEMBLE_WEIGHTS.items() for m, w in ws.items())}) w(source_group, model, weight)
   ON w.source_group = CASE WHEN list_contains({S.arr(vocab.SOCIAL_SOURCES)}, s.source) THEN 'social'
                           WHEN list_contains({S.arr(vocab.NEWS_SOURCES)}, s.source) THEN 'news' ELSE 'default' END

@@ -143,3 +143,51 @@ NEGATIVE_BELOW = -0.1
 TWEET_ENGAGEMENT = {"likes": 1.0, "retweets": 2.0, "replies": 1.5, "quotes": 2.0}
 TELEGRAM_ENGAGEMENT = {"views": 0.1, "forwards": 2.0, "replies": 1.5}
 DISCORD_ENGAGEMENT = {"reactions": 2.0, "mentions": 0.5}
+
+# ---------------------------------------------------------------------------
+# FIXED VALUES: symbol-mention pair patterns per platform dialect
+# (template, needs_right_word_boundary); "{S}" is the symbol.  Every dialect
+# also matches the bare symbol as a whole word (which subsumes "$S" and "#S").
+# ---------------------------------------------------------------------------
+
+MENTION_PAIRS = {
+    "twitter": [],
+    "reddit": [("{S}/USD", False), ("{S}USD", False)],
+    "news": [("{S}/USD", False), ("{S}USD", False), ("{S}-USD", False)],
+    "telegram": [("{S}/USDT", True), ("{S}USDT", True), ("{S}/BTC", True), ("{S}BTC", True)],
+    "discord": [("{S}/USDT", True), ("{S}USDT", True), ("{S}/BTC", True)],
+}
+
+# per-symbol search terms (tweet search uses four, the stream track list three)
+SEARCH_TERMS = ["${S}", "#{S}", "{S} crypto", "{S} bitcoin"]
+TRACK_TERMS = ["${S}", "#{S}", "{S} crypto"]
+
+# FIXED VALUES: news feed catalogue by source type
+NEWS_FEEDS = {
+    "crypto_specialized": [
+        "https://cointelegraph.com/rss",
+        "https://coindesk.com/arc/outboundfeeds/rss/",
+        "https://cryptonews.com/feed/",
+        "https://bitcoinist.com/feed/",
+        "https://cryptopotato.com/feed/",
+        "https://ambcrypto.com/feed/",
+        "https://cryptoslate.com/feed/",
+        "https://decrypt.co/feed",
+        "https://www.theblock.co/rss.xml",
+        "https://blockworks.co/feed/",
+    ],
+    "business_mainstream": [
+        "https://feeds.bloomberg.com/markets/news.rss",
+        "https://feeds.reuters.com/reuters/businessNews",
+        "https://www.ft.com/technology?format=rss",
+        "https://www.cnbc.com/id/10000664/device/rss/rss.html",
+        "https://www.marketwatch.com/rss/topstories",
+    ],
+    "tech_focused": [
+        "https://techcrunch.com/feed/",
+        "https://www.wired.com/feed/rss",
+        "https://arstechnica.com/feeds/rss/",
+        "https://www.theverge.com/rss/index.xml",
+    ],
+}
+ALL_FEEDS = [u for group in NEWS_FEEDS.values() for u in group]
