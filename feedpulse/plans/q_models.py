@@ -226,13 +226,14 @@ def e7(spark, sf):
 
 @register("N7_response_rows", sql=f"""
 SELECT id, round(value, 6) AS sentiment, round(confidence, 6) AS confidence,
-  {_label_sql('value')} AS label, model_name AS model_used
+  {_label_sql('round(value, 6)')} AS label, model_name AS model_used
 FROM ({SM.with_errors(SM.adaptive(_score_rows_sql(True)), S.content(True))}) x""")
 def n7(spark, sf):
     c = A.content(spark, sf, templated=True)
     out = E.score_content(c, score_rows(spark, sf, templated=True))
+    # the label is taken on the reported (6 dp) sentiment
     return out.select("id", r6("value").alias("sentiment"), r6("confidence").alias("confidence"),
-                      L.sentiment_label("value").alias("label"), F.col("model_name").alias("model_used"))
+                      L.sentiment_label(r6("value")).alias("label"), F.col("model_name").alias("model_used"))
 
 
 def _roberta_stub(c):

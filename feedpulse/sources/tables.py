@@ -14,8 +14,16 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
+TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in TEXT_TABLES:
+        # CPU-heavy text work: make sure a one-split input still uses every core
+        from ..operators.parallel import spread
+        df = spread(df)
+    return df
 
 
 def read_json(spark: SparkSession, path: str, schema: StructType | str,
