@@ -43,7 +43,11 @@ def _minutes(col: Column) -> Column:
 
 def content(spark: SparkSession, sf_dir: str, templated: bool = False) -> DataFrame:
     """1.1: unified content rows (id, text, lang, source, created_at, n_chars)."""
-    d = table(spark, sf_dir, "documents")
+    return content_from(table(spark, sf_dir, "documents"), templated)
+
+
+def content_from(d: DataFrame, templated: bool = False) -> DataFrame:
+    """1.1 over any ``documents``-shaped frame (batch or streaming)."""
     k = F.expr("cast(replace(source, 'src', '') as int) % 5")
     text = _templated(F.col("text"), F.col("doc_id")) if templated else F.col("text")
     return d.select(
@@ -58,7 +62,11 @@ def content(spark: SparkSession, sf_dir: str, templated: bool = False) -> DataFr
 
 def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """1.2: landed tweets (templated text so the default vocabulary occurs)."""
-    c = content(spark, sf_dir, templated=True).where(F.col("source") == "twitter")
+    return tweets_from(content(spark, sf_dir, templated=True))
+
+
+def tweets_from(c: DataFrame) -> DataFrame:
+    c = c.where(F.col("source") == "twitter")
     n = F.col("n_chars")
     return c.select(
         "id", "text", "created_at",
@@ -144,7 +152,11 @@ def feed_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def telegram_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """1.5."""
-    c = content(spark, sf_dir, templated=True).where(F.col("source") == "telegram")
+    return telegram_from(content(spark, sf_dir, templated=True))
+
+
+def telegram_from(c: DataFrame) -> DataFrame:
+    c = c.where(F.col("source") == "telegram")
     i, n = F.col("id"), F.col("n_chars")
     return c.select(
         F.concat(F.lit("@ch"), (i % 6).cast("string")).alias("channel"),
@@ -165,7 +177,11 @@ def telegram_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def discord_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """1.6."""
-    c = content(spark, sf_dir, templated=True).where(F.col("source") == "discord")
+    return discord_from(content(spark, sf_dir, templated=True))
+
+
+def discord_from(c: DataFrame) -> DataFrame:
+    c = c.where(F.col("source") == "discord")
     i, n = F.col("id"), F.col("n_chars")
     names = F.array(*[F.lit(x) for x in DISCORD_CHANNELS])
     return c.select(
