@@ -37,9 +37,20 @@ def _or(cols: list[Column]) -> Column:
 
 def _pair_test(u: Column, sym: str, template: str, right_bounded: bool) -> Column:
     lit = template.replace("{S}", sym)
+    hit = u.contains(lit)  # cheap substring test first; the regex only confirms the boundary
     if right_bounded:
-        return u.rlike(P.literal_regex(lit) + f"($|{P.NON_WORD})")
-    return u.contains(lit)
+        return hit & u.rlike(P.literal_regex(lit) + f"($|{P.NON_WORD})")
+    return hit
+
+
+def _pair_hits(u: Column, dialect: str, syms: list[str]) -> tuple[Column, list[Column]]:
+    """(guard, per-symbol pair conditions); each template is tested only when
+    its suffix occurs at all."""
+    pairs = vocab.MENTION_PAIRS[dialect]
+    suffix_guard = {t: u.contains(t.replace("{S}", "")) for t, _ in pairs}
+    guard = _or(list(suffix_guard.values()))
+    conds = [_or([suffix_guard[t] & _pair_test(u, s, t, rb) for t, rb in pairs]) for s in syms]
+    return guard, conds
 
 
 def word_runs(c) -> Column:
@@ -57,13 +68,15 @@ def mentions(c, dialect: str = "twitter", symbols: Sequence[str] = vocab.CRYPTO_
     words = F.array_intersect(sym_arr, F.split(u, P.NON_WORD + "+", -1))
     pairs = vocab.MENTION_PAIRS[dialect]
     if not pairs:
-        return F.array_sort(words)
-    suffixes = sorted({t.replace("{S}", "").lstrip("/-") for t, _ in pairs})
-    guard = _or([u.contains(s) for s in suffixes])
-    per_sym = [F.when(_or([_pair_test(u, s, t, rb) for t, rb in pairs]), F.lit(s)) for s in syms]
-    pair_hits = F.when(guard, F.filter(F.array(*per_sym), lambda x: x.isNotNull())) \
+        return F.sort_array(words)
+    guard, conds = _pair_hits(u, dialect, syms)
+    per_sym = [F.when(cond, F.lit(s)) for s, cond in zip(syms, conds)]
+    # array_except (code-generated, unlike a filter lambda) drops the nulls, so
+    # the upper-cased text stays one common subexpression
+    null_arr = F.array(F.lit(None).cast("string"))
+    pair_hits = F.when(guard, F.array_except(F.array(*per_sym), null_arr)) \
         .otherwise(F.array().cast("array<string>"))
-    return F.array_sort(F.array_distinct(F.concat(words, pair_hits)))
+    return F.sort_array(F.array_distinct(F.concat(words, pair_hits)))
 
 
 def keyword_hit(c, keywords: Sequence[str] = vocab.CRYPTO_KEYWORDS) -> Column:
@@ -96,14 +109,27 @@ def platform_pattern(dialect: str) -> str | None:
     return None
 
 
+def any_mention(c, dialect: str = "twitter", symbols: Sequence[str] = vocab.CRYPTO_SYMBOLS) -> Column:
+    """``size(mentions(c)) > 0`` without building the array (short-circuits)."""
+    syms = [s.upper() for s in symbols]
+    u = F.upper(_col(c))
+    words = F.arrays_overlap(F.array(*[F.lit(s) for s in syms]), F.split(u, P.NON_WORD + "+", -1))
+    if not vocab.MENTION_PAIRS[dialect]:
+        return F.coalesce(words, F.lit(False))
+    guard, conds = _pair_hits(u, dialect, syms)
+    return F.coalesce(words, F.lit(False)) | (guard & _or(conds))
+
+
 def relevant(c, dialect: str = "twitter", keywords: Sequence[str] = vocab.CRYPTO_KEYWORDS,
              symbols: Sequence[str] = vocab.CRYPTO_SYMBOLS) -> Column:
-    """Keyword substring OR any mention OR a platform pattern."""
+    """Keyword substring OR any mention OR a platform pattern (evaluated
+    cheapest first; OR short-circuits per row)."""
     x = F.coalesce(_col(c), F.lit(""))
-    tests = [keyword_hit(x, keywords), F.size(mentions(x, dialect, symbols)) > 0]
+    tests = [keyword_hit(x, keywords)]
     pat = platform_pattern(dialect)
     if pat:
         tests.append(F.lower(x).rlike(pat))
+    tests.append(any_mention(x, dialect, symbols))
     return _or(tests)
 
 
@@ -119,7 +145,7 @@ def news_relevance_score(title, text, url, keywords: Sequence[str] = vocab.CRYPT
     men = F.least(F.size(mentions(full, "news", symbols)) * 0.1, F.lit(0.3))
     tkw = F.least(keyword_count(t, keywords) * 0.15, F.lit(0.4))
     fkw = F.least(keyword_count(full, keywords) * 0.02, F.lit(0.2))
-    words = F.size(F.filter(F.split(b, P.WS_RUN, -1), lambda w: w != ""))
+    words = F.size(F.array_remove(F.split(b, P.WS_RUN, -1), ""))
     length = F.when(words > 200, F.lit(0.1)).otherwise(F.lit(0.0))
     return F.least(dom + men + tkw + fkw + length, F.lit(1.0))
 
@@ -140,7 +166,7 @@ def search_symbols(c, symbols: Sequence[str] = vocab.CRYPTO_SYMBOLS,
     low = F.lower(_col(c))
     per = [F.when(_or([low.contains(t.replace("{S}", s).lower()) for t in terms]), F.lit(s))
            for s in symbols]
-    return F.filter(F.array(*per), lambda x: x.isNotNull())
+    return F.array_except(F.array(*per), F.array(F.lit(None).cast("string")))
 
 
 def content_tags(platform: str, content_type: str = "text", lang=None) -> Column:

@@ -82,7 +82,7 @@ def summary(c, n_sentences: int = 3) -> Column:
 def word_count(c) -> Column:
     """Whitespace-separated word count."""
     toks = F.split(F.coalesce(_col(c), F.lit("")), P.WS_RUN, -1)
-    return F.size(F.filter(toks, lambda t: t != "")).cast("int")
+    return F.size(F.array_remove(toks, "")).cast("int")
 
 
 def reading_time(c, words_per_minute: int = 200) -> Column:

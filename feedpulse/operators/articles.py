@@ -21,6 +21,7 @@ from typing import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .. import vocab
 from ..functions import mentions as M
@@ -158,8 +159,8 @@ def extract_articles(pages: DataFrame, html_col: str = "html", keep: Sequence[st
                      ) -> DataFrame:
     """H1-H3: ``keep`` columns + ``title, text, summary`` (strings, never null)."""
     keep = list(keep)
-    schema = pages.select(*keep).schema.add("title", "string").add("text", "string") \
-        .add("summary", "string")
+    schema = (pages.select(*keep).schema.add("title", StringType()).add("text", StringType())
+              .add("summary", StringType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         builder = _TreeBuilder()  # one parser per task, reused for every row

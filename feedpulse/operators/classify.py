@@ -17,6 +17,7 @@ from typing import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from .. import vocab
 from ..functions.text import sanitize, social_preprocess
@@ -55,7 +56,7 @@ def score_with_model(df: DataFrame, model_factory: Callable[[], Callable[[list[s
     """
     cols = [id_col, *keep, text_col]
     out_schema = (df.select(*[F.col(c) for c in [id_col, *keep]]).schema
-                  .add("logits", "array<double>"))
+                  .add("logits", ArrayType(DoubleType())))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = model_factory()

@@ -78,13 +78,20 @@ def with_fallback(scores: DataFrame) -> DataFrame:
 def performance_factor(scores: DataFrame, partition_by: Sequence[str] = ("source", "model"),
                        order_by: Sequence[str] = ("created_at", "id"), history: int = vocab.HISTORY_SIZE,
                        bucket_seconds: int = 3600, ts_col: str = "created_at",
-                       max_broadcast_rows: int = 5_000_000) -> DataFrame:
+                       max_broadcast_rows: int = 5_000_000, materialize: bool = True) -> DataFrame:
     """``0.5 + mean(confidence of the last <= history successes)``.
 
     The current row counts when it succeeded; failures never enter the
     history; an empty history gives 1.0.  Adds ``perf`` and ``succ_k``.
+
+    The prefix sum reads its input in several branches (running sums, bucket
+    totals, look-back join); ``materialize`` cuts the lineage once with a
+    reliable checkpoint in the shared ``spark.checkpoint.dir`` so an
+    expensive upstream (the lexicon job) runs once and survives executor loss.
     """
     keys = list(partition_by)
+    if materialize:
+        scores = scores.checkpoint(eager=True)
     ok = F.coalesce(F.col("ok"), F.lit(False))
     conf_dec = F.when(ok, F.col("confidence")).otherwise(F.lit(0.0)).cast(DEC)
     b = scores.withColumn("__b", F.floor(F.unix_micros(F.col(ts_col)) / F.lit(bucket_seconds * 1_000_000)))

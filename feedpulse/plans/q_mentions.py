@@ -66,7 +66,7 @@ def x0(spark, sf):
     c = A.content(spark, sf, templated=True)
     low = F.lower("text")
     per = [F.when(low.contains(k), F.lit(k)) for k in vocab.CRYPTO_KEYWORDS]
-    hits = F.filter(F.array(*per), lambda x: x.isNotNull())
+    hits = F.array_except(F.array(*per), F.array(F.lit(None).cast("string")))
     return (c.select(F.explode(hits).alias("keyword")).groupBy("keyword")
              .agg(F.count("*").alias("n_docs")))
 

@@ -49,4 +49,4 @@ def ts_str(c) -> Column:
 
 def arr_str(c) -> Column:
     c = F.col(c) if isinstance(c, str) else c
-    return F.array_join(F.array_sort(c), ",")
+    return F.array_join(F.sort_array(c), ",")
