@@ -169,3 +169,32 @@ def a9(spark, sf):
     # collect_set is bounded by the vocabulary size, never by the data
     return x.groupBy("source").agg(arr_str(F.collect_set("symbol")).alias("symbols"),
                                    F.count_distinct("id").alias("n_items"))
+
+
+@register("X8_content_tags", sql=f"""
+SELECT id, lang AS language, source AS platform, 'text' AS content_type FROM ({S.content()}) c""")
+def x8(spark, sf):
+    c = A.content(spark, sf)
+    t = M.content_tags("twitter", lang="lang")
+    return c.select("id", t["language"].alias("language"), F.col("source").alias("platform"),
+                    t["content_type"].alias("content_type"))
+
+
+@register("J6_vocab_join", sql=f"""
+SELECT DISTINCT id, symbol FROM (
+  SELECT id, unnest(regexp_split_to_array(upper(text), {S.q(r'[^\p{L}\p{N}_]+')})) AS symbol FROM ({S.content()}) c) x
+WHERE symbol IN ({', '.join(S.q(s) for s in DATA_SYMBOLS)})""")
+def j6(spark, sf):
+    # large-vocabulary path: explode word runs + size-checked broadcast join
+    c = A.content(spark, sf)
+    vocab_df = spark.createDataFrame([(s,) for s in DATA_SYMBOLS], "symbol string")
+    return M.mention_rows(c, vocab_df)
+
+
+@register("F5_min_relevance", sql=f"""
+SELECT id, {S.r6(ST.relevance_score('title', 'text', 'url'))} AS relevance FROM ({_ARTICLE_SQL}) a
+WHERE {ST.relevance_score('title', 'text', 'url')} >= 0.3""")
+def f5(spark, sf):
+    from ..functions import validate as V
+    a = _article_like(spark, sf).withColumn("relevance", M.news_relevance_score("title", "text", "url"))
+    return a.where(V.min_relevance("relevance", 0.3)).select("id", r6("relevance").alias("relevance"))

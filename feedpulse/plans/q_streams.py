@@ -5,6 +5,7 @@ have a SQL oracle equal to the batch semantics."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -136,3 +137,34 @@ def s14(spark, sf):
     ST.persist_content(A.content(spark, sf), base)
     back = spark.read.parquet(base)  # partition discovery: source, dt
     return back.groupBy("source", F.date_format("dt", "yyyy-MM-dd").alias("dt")).agg(F.count("*").alias("n"))
+
+
+@register("S13_bus_payload", sql=f"""
+SELECT id, source, {S.fmt_ts('created_at')} AS created_at FROM ({S.content()}) c""")
+def s13(spark, sf):
+    # message-bus records carry a JSON payload; the connector jar is not
+    # bundled, so the same payload is landed as files and parsed identically
+    c = A.content(spark, sf).select("id", "source", "created_at")
+    base = ST.scratch(spark, "s13")
+    c.select(F.to_json(F.struct("id", "source", "created_at")).alias("value")) \
+        .write.mode("overwrite").parquet(f"{base}/landed")
+    raw = ST.read_landed(spark, f"{base}/landed", schema="value string")
+    parsed = ST.parse_payload(raw, "id long, source string, created_at timestamp")
+    out = ST.run_to_parquet(parsed, "s13")
+    return spark.read.parquet(out).select("id", "source", ts_str("created_at").alias("created_at"))
+
+
+def r7_batches(spark, sf, files: int = 4) -> DataFrame:
+    """Landed files consumed at most one per trigger; rows tagged with
+    the micro-batch that wrote them."""
+    base = ST.scratch(spark, "r7")
+    spark.read.parquet(f"{sf.rstrip('/')}/documents.parquet").select("doc_id") \
+        .repartition(files).write.mode("overwrite").parquet(f"{base}/landed")
+    s = ST.read_landed(spark, f"{base}/landed", schema="doc_id long", max_files_per_trigger=1)
+    ST.run_foreach(s, ST.batch_writer(f"{base}/out"), f"{base}/_checkpoint")
+    return spark.read.parquet(f"{base}/out")
+
+
+@register("R7_bounded_micro_batches", sql="SELECT doc_id AS id FROM documents")
+def r7(spark, sf):
+    return r7_batches(spark, sf).select(F.col("doc_id").alias("id"))

@@ -68,9 +68,12 @@ def kafka_source(spark: SparkSession, servers: str, topic: str, payload_schema,
          .option("maxOffsetsPerTrigger", max_offsets_per_trigger))
     if group_id:
         r = r.option("kafka.group.id", group_id)
-    raw = r.load()
-    return raw.select(F.from_json(F.col("value").cast("string"), payload_schema).alias("r"),
-                      F.col("timestamp").alias("bus_ts")).select("r.*", "bus_ts")
+    return parse_payload(r.load(), payload_schema)
+
+
+def parse_payload(raw: DataFrame, payload_schema, value_col: str = "value") -> DataFrame:
+    """JSON payload column -> typed fields (bus records or landed files)."""
+    return raw.select(F.from_json(F.col(value_col).cast("string"), payload_schema).alias("r")).select("r.*")
 
 
 # --- transformations -----------------------------------------------------------------

@@ -28,3 +28,10 @@ def test_validated_sink_accounts_every_row(spark):
     out = r5(spark, SF_SMALL)
     assert out.count() == spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
     assert out.where(~F.col("accepted")).count() > 0
+
+
+def test_bounded_micro_batches(spark):
+    from feedpulse.plans.q_streams import r7_batches
+    out = r7_batches(spark, SF_SMALL, files=4)
+    assert out.select("batch_id").distinct().count() == 4
+    assert out.count() == spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
