@@ -43,14 +43,38 @@ def _pair_test(u: Column, sym: str, template: str, right_bounded: bool) -> Colum
     return hit
 
 
-def _pair_hits(u: Column, dialect: str, syms: list[str]) -> tuple[Column, list[Column]]:
-    """(guard, per-symbol pair conditions); each template is tested only when
-    its suffix occurs at all."""
-    pairs = vocab.MENTION_PAIRS[dialect]
-    suffix_guard = {t: u.contains(t.replace("{S}", "")) for t, _ in pairs}
-    guard = _or(list(suffix_guard.values()))
-    conds = [_or([suffix_guard[t] & _pair_test(u, s, t, rb) for t, rb in pairs]) for s in syms]
-    return guard, conds
+def _template_hits(u: Column, template: str, right_bounded: bool, syms: list[str]) -> Column:
+    """Symbols S for which ``template`` (S + suffix) occurs in ``u``.
+
+    One zero-width look-ahead regex per template instead of one test per
+    symbol: at every position it captures the word characters up to the
+    suffix, i.e. every candidate S, which is intersected with the vocabulary.
+    Exact whenever the suffix starts with a separator or is right-bounded;
+    for an unbounded word suffix (``SUSD``) the nearest and farthest
+    occurrence per position are captured, and texts with three or more
+    occurrences fall back to per-symbol substring tests.
+    """
+    suffix = template.replace("{S}", "")
+    lit = P.literal_regex(suffix)
+    bound = f"(?!{P.WORD})" if right_bounded else ""
+    sym_arr = F.array(*[F.lit(x) for x in syms])
+    caps = F.regexp_extract_all(u, F.lit(f"(?=({P.WORD}+){lit}{bound})"), 1)
+    hits = F.array_intersect(sym_arr, caps)
+    word_suffix = suffix[:1].isalnum() or suffix[:1] == "_"
+    if word_suffix and not right_bounded:
+        lazy = F.regexp_extract_all(u, F.lit(f"(?=({P.WORD}+?){lit})"), 1)
+        hits = F.array_union(hits, F.array_intersect(sym_arr, lazy))
+        many = (F.size(F.split(u, lit, -1)) - 1) >= 3
+        per = F.array_except(F.array(*[F.when(u.contains(x + suffix), F.lit(x)) for x in syms]),
+                             F.array(F.lit(None).cast("string")))
+        hits = F.when(many, per).otherwise(hits)
+    return F.when(u.contains(suffix), hits).otherwise(F.array().cast("array<string>"))
+
+
+def _pair_hits(u: Column, dialect: str, syms: list[str]) -> Column:
+    """Union of the template hits of a dialect (array of symbols)."""
+    arrs = [_template_hits(u, t, rb, syms) for t, rb in vocab.MENTION_PAIRS[dialect]]
+    return F.array_distinct(F.concat(*arrs)) if arrs else F.array().cast("array<string>")
 
 
 def word_runs(c) -> Column:
@@ -69,13 +93,7 @@ def mentions(c, dialect: str = "twitter", symbols: Sequence[str] = vocab.CRYPTO_
     pairs = vocab.MENTION_PAIRS[dialect]
     if not pairs:
         return F.sort_array(words)
-    guard, conds = _pair_hits(u, dialect, syms)
-    per_sym = [F.when(cond, F.lit(s)) for s, cond in zip(syms, conds)]
-    # array_except (code-generated, unlike a filter lambda) drops the nulls, so
-    # the upper-cased text stays one common subexpression
-    null_arr = F.array(F.lit(None).cast("string"))
-    pair_hits = F.when(guard, F.array_except(F.array(*per_sym), null_arr)) \
-        .otherwise(F.array().cast("array<string>"))
+    pair_hits = _pair_hits(u, dialect, syms)
     return F.sort_array(F.array_distinct(F.concat(words, pair_hits)))
 
 
@@ -116,8 +134,7 @@ def any_mention(c, dialect: str = "twitter", symbols: Sequence[str] = vocab.CRYP
     words = F.arrays_overlap(F.array(*[F.lit(s) for s in syms]), F.split(u, P.NON_WORD + "+", -1))
     if not vocab.MENTION_PAIRS[dialect]:
         return F.coalesce(words, F.lit(False))
-    guard, conds = _pair_hits(u, dialect, syms)
-    return F.coalesce(words, F.lit(False)) | (guard & _or(conds))
+    return F.coalesce(words, F.lit(False)) | (F.size(_pair_hits(u, dialect, syms)) > 0)
 
 
 def relevant(c, dialect: str = "twitter", keywords: Sequence[str] = vocab.CRYPTO_KEYWORDS,

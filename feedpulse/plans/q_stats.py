@@ -90,8 +90,8 @@ def _a1_spark(spark, sf):
     for d in M.DIALECTS:
         men = F.when(F.col("source") == d, M.mentions("text", d)).otherwise(men)
     c = c.withColumn("symbols_mentioned", men)
-    sc = L.lexicon_score(c, L.default_lexicon(spark), keep=["source", "created_at"])
-    return sc.join(c.select("id", "symbols_mentioned"), "id")
+    # the mention array rides through the lexicon job as a carried column
+    return L.lexicon_score(c, L.default_lexicon(spark), keep=["source", "created_at", "symbols_mentioned"])
 
 
 def _a1_sql_base():

@@ -57,3 +57,31 @@ def test_relevance_score_and_classes(spark):
 def test_search_symbols_order(spark):
     df = spark.createDataFrame([("#eth and $btc and sol crypto",)], "t string")
     assert df.select(M.search_symbols("t").alias("s")).first().s == ["BTC", "ETH", "SOL"]
+
+
+def py_mentions(text, dialect, symbols):
+    """Brute force with Python's Unicode regex semantics."""
+    import re
+    from feedpulse import vocab
+    u = text.upper()
+    out = set()
+    for s in symbols:
+        pats = [rf"\b{s}\b", rf"\${s}\b", rf"#{s}\b"]
+        for t, rb in vocab.MENTION_PAIRS[dialect]:
+            p = re.escape(t.replace("{S}", s))
+            pats.append(p + (r"\b" if rb else ""))
+        if any(re.search(p, u) for p in pats):
+            out.add(s)
+    return sorted(out)
+
+
+def test_pair_extraction_exact(spark):
+    syms = ["BTC", "ETH", "A", "AB", "US", "BUSD", "X1", "SOL"]
+    texts = ["AUSDBUSDCUSD", "ETHBTC/USDT BTC/USD", "XBTCUSD-USD aBusdUsd", "eth-usd, sol/usdt!",
+             "BUSDUSDUSD", "ABUSDTX ABUSDT", "x1/btc x1btc", "USUSD US/USD", "ÄBTC/USD ébtcusdt",
+             "no pairs here", "BTC/USDT/USDT", "SOLUSDUSDUSDUSD"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = df.select("id", *[M.mentions("text", d, syms).alias(d) for d in M.DIALECTS]).collect()
+    for r in got:
+        for d in M.DIALECTS:
+            assert r[d] == py_mentions(texts[r.id], d, syms), (texts[r.id], d, r[d])
