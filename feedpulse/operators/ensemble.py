@@ -91,6 +91,8 @@ def performance_factor(scores: DataFrame, partition_by: Sequence[str] = ("source
     """
     keys = list(partition_by)
     if materialize:
+        from ..session import checkpoint_dir
+        checkpoint_dir(scores.sparkSession)  # the session's shared folder (set only if absent)
         scores = scores.checkpoint(eager=True)
     ok = F.coalesce(F.col("ok"), F.lit(False))
     conf_dec = F.when(ok, F.col("confidence")).otherwise(F.lit(0.0)).cast(DEC)
