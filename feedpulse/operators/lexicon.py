@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions.text import sanitize
 from .broadcast import maybe_broadcast
-from .parallel import spread
 
 # ASCII punctuation (Python's string.punctuation) as explicit ranges, portable
 # between Java regex and RE2.
@@ -94,7 +93,6 @@ def lexicon_score(df: DataFrame, lexicon: DataFrame, id_col: str = "id",
     """
     negators = vocab.NEGATORS if negators is None else list(negators)
     keep = list(keep)
-    df = spread(df.select(F.col(id_col), *[F.col(k) for k in keep], F.col(text_col)))
     clean = sanitize(F.col(text_col))
     base = df.select(F.col(id_col), *[F.col(k) for k in keep], clean.alias("__clean"))
     # sanitised text is already trimmed and single-spaced: V1 is its length

@@ -1,9 +1,11 @@
 """Parallelism guard for CPU-heavy text stages.
 
-A large input already arrives in many file splits; a small one (one parquet
-row group) arrives as a single partition and would run every regex on one
-core.  ``spread`` round-robins only in that case, so on a cluster reading
-terabytes it is a no-op (no extra shuffle).
+A large input already arrives in many file splits; a small one (a file with
+a single parquet row group) arrives as one busy partition - Spark may still
+report several splits, all but one empty - and would run every regex on one
+core.  ``spread`` round-robins only small scans (few partitions, fewer files
+than cores), so on a cluster reading terabytes it is a no-op: no extra
+shuffle, and no file listing is pulled to the driver.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    n = df.rdd.getNumPartitions()
+    if n < target or (n <= 4 * target and len(df.inputFiles()) < target):
         return df.repartition(target)
     return df
