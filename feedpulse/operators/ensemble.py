@@ -78,7 +78,7 @@ def with_fallback(scores: DataFrame) -> DataFrame:
 def performance_factor(scores: DataFrame, partition_by: Sequence[str] = ("source", "model"),
                        order_by: Sequence[str] = ("created_at", "id"), history: int = vocab.HISTORY_SIZE,
                        bucket_seconds: int = 3600, ts_col: str = "created_at",
-                       max_broadcast_rows: int = 5_000_000, materialize: bool = True) -> DataFrame:
+                       materialize: bool = True) -> DataFrame:
     """``0.5 + mean(confidence of the last <= history successes)``.
 
     The current row counts when it succeeded; failures never enter the
@@ -108,7 +108,9 @@ def performance_factor(scores: DataFrame, partition_by: Sequence[str] = ("source
     off = tot.select(*keys, "__b",
                      F.coalesce(F.sum("__tk").over(w_off), F.lit(0)).alias("__ok_off"),
                      F.coalesce(F.sum("__ts").over(w_off), F.lit(0).cast(DEC)).alias("__s_off"))
-    off = maybe_broadcast(off, max_broadcast_rows)
+    # the offsets table is derived: AQE sizes it at runtime (measured shuffle
+    # statistics) and turns this join into a broadcast when it is small, so
+    # no counting job re-runs the windowed upstream
     g = (b.join(off, [*keys, "__b"])
           .withColumn("succ_k", F.col("__lk") + F.col("__ok_off"))
           .withColumn("__S", (F.col("__ls") + F.col("__s_off")).cast(DEC)))

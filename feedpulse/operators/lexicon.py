@@ -57,9 +57,11 @@ def lexicon_frame(spark: SparkSession, entries: Mapping[str, float]) -> DataFram
     return spark.createDataFrame(rows, "token string, valence double")
 
 
-def overlay(base: DataFrame, extra: DataFrame) -> DataFrame:
-    """M2: entries of ``extra`` replace same-token entries of ``base``."""
-    return base.join(extra.select("token"), "token", "left_anti").unionByName(extra)
+def overlay(base: DataFrame, extra: DataFrame, max_broadcast_rows: int = MAX_LEXICON_ROWS) -> DataFrame:
+    """M2: entries of ``extra`` replace same-token entries of ``base``
+    (anti join against the overlay keys, broadcast behind a size check)."""
+    keys = maybe_broadcast(extra.select("token"), max_broadcast_rows)
+    return base.join(keys, "token", "left_anti").unionByName(extra)
 
 
 def default_lexicon(spark: SparkSession, base: Mapping[str, float] | None = None) -> DataFrame:

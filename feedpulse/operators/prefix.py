@@ -8,7 +8,9 @@ These helpers split each key's sequence into time buckets:
    partitions, so a hot key is spread over its buckets;
 2. per-bucket totals (one row per key and bucket) -> exclusive cumulative
    offsets with a window over that small table;
-3. offsets joined back (broadcast only behind a row-count check).
+3. offsets joined back; the offsets table is derived, so AQE decides the
+   join strategy from its measured size at runtime (broadcast when small)
+   instead of a counting job that would re-run the upstream.
 
 The result equals the single-window running sum for any data distribution.
 """
@@ -20,7 +22,6 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .broadcast import maybe_broadcast
 
 BUCKET = "__bkt"
 
@@ -30,7 +31,7 @@ def with_bucket(df: DataFrame, ts_col: str, bucket_seconds: int) -> DataFrame:
 
 
 def running_sums(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column | str], sums: dict[str, Column],
-                 ts_col: str, bucket_seconds: int = 3600, max_broadcast_rows: int = 5_000_000) -> DataFrame:
+                 ts_col: str, bucket_seconds: int = 3600) -> DataFrame:
     """Add inclusive running sums ``{name: value_expr}`` per key in ``order_by``
     (whose leading column must be ``ts_col``, so buckets respect the order)."""
     keys = list(keys)
@@ -45,7 +46,6 @@ def running_sums(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column |
     tot = b.groupBy(*keys, BUCKET).agg(*[F.sum(vals[n]).alias(f"__t_{n}") for n in sums])
     w_off = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*keys, BUCKET, *[F.sum(f"__t_{n}").over(w_off).alias(f"__o_{n}") for n in sums])
-    off = maybe_broadcast(off, max_broadcast_rows)
     out = b.join(off, [*keys, BUCKET])
     for n in sums:
         zero = F.lit(0).cast(out.schema[f"__l_{n}"].dataType)
@@ -55,7 +55,7 @@ def running_sums(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column |
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], ts_col: str, tie: str, value_col: str,
-                   out_col: str, bucket_seconds: int = 3600, max_broadcast_rows: int = 5_000_000) -> DataFrame:
+                   out_col: str, bucket_seconds: int = 3600) -> DataFrame:
     """``lag(value_col)`` per key in (ts, tie) order, distributed by time bucket:
     inside a bucket a windowed lag; the first row of a bucket takes the last
     value of the nearest earlier non-empty bucket of the same key."""
@@ -67,7 +67,6 @@ def previous_value(df: DataFrame, keys: Sequence[str], ts_col: str, tie: str, va
              .agg(F.max_by(F.col(value_col), F.struct(F.col(ts_col), F.col(tie))).alias("__last")))
     wl = Window.partitionBy(*keys).orderBy(BUCKET)
     prev = last.select(*keys, BUCKET, F.lag("__last").over(wl).alias("__prev_bucket_last"))
-    prev = maybe_broadcast(prev, max_broadcast_rows)
     out = b.join(prev, [*keys, BUCKET])
     return (out.withColumn(out_col, F.coalesce(F.col("__lag"), F.col("__prev_bucket_last")))
                .drop(BUCKET, "__lag", "__prev_bucket_last"))
