@@ -1,0 +1 @@
+"""Column functions: take and return ``Column``; native Catalyst expressions only."""

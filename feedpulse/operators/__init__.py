@@ -1,0 +1 @@
+"""Table operators: take and return ``DataFrame``; joins, windows, aggregates, Arrow UDFs."""

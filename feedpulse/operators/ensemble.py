@@ -26,7 +26,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
-from .broadcast import maybe_broadcast
 
 DEC = "decimal(38,18)"
 

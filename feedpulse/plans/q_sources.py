@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..functions import mentions as M
 from ..operators import fetch as FE
 from ..operators import normalize as N
 from ..sources import adapters as A

@@ -1,0 +1 @@
+"""Readers for landed tables and record adapters over the driver tables."""

@@ -1,0 +1 @@
+"""Structured Streaming jobs with bounded state and idempotent sinks."""

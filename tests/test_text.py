@@ -3,8 +3,6 @@
 
 import re
 
-import pytest
-from pyspark.sql import functions as F
 
 from feedpulse.functions import text as T
 
