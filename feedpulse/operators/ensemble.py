@@ -141,7 +141,8 @@ def performance_factor_window(scores: DataFrame, partition_by: Sequence[str] = (
 def adaptive_ensemble(scores: DataFrame, id_cols: Sequence[str] = ("id", "source"),
                       min_confidence: float = vocab.MIN_CONFIDENCE,
                       weights: Mapping[str, Mapping[str, float]] = vocab.ENSEMBLE_WEIGHTS,
-                      default_weight: float = vocab.DEFAULT_MODEL_WEIGHT) -> DataFrame:
+                      default_weight: float = vocab.DEFAULT_MODEL_WEIGHT,
+                      carry: Sequence[str] = ()) -> DataFrame:
     """E2 over fallback-filled score rows with a ``perf`` column (from E4).
 
     ``w = base * confidence * perf`` when ``confidence > min_confidence``
@@ -161,18 +162,19 @@ def adaptive_ensemble(scores: DataFrame, id_cols: Sequence[str] = ("id", "source
         F.sum(F.col("confidence") * F.col("__w")).alias("__cw"),
         F.sum("value").alias("__v"),
         F.sum("confidence").alias("__c"),
+        *[F.max(c).alias(c) for c in carry],
     )
     pos = F.col("__tw") > 0
     value = F.when(pos, F.col("__vw") / F.col("__tw")).otherwise(F.col("__v") / F.col("__n"))
     conf = F.when(pos, F.col("__cw") / F.col("__tw")).otherwise(F.col("__c") / F.col("__n"))
     return g.select(*id_cols, value.alias("value"), conf.alias("confidence"),
-                    F.lit("adaptive_ensemble").alias("model_name"))
+                    F.lit("adaptive_ensemble").alias("model_name"), *carry)
 
 
 def weighted_ensemble(scores: DataFrame, id_cols: Sequence[str] = ("id", "source"),
                       weights: Mapping[str, Mapping[str, float]] = vocab.ENSEMBLE_WEIGHTS,
                       default_weight: float = vocab.DEFAULT_MODEL_WEIGHT,
-                      normalize: bool = False) -> DataFrame:
+                      normalize: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """Weights from the source group after E6 name mapping; unnormalised
     by default (D3), ``normalize=True`` divides by the weight sum (W2)."""
     w = F.coalesce(F.element_at(top_level_weights_map(F.col("source"), weights), map_model_name("model")),
@@ -180,7 +182,7 @@ def weighted_ensemble(scores: DataFrame, id_cols: Sequence[str] = ("id", "source
     s = scores.withColumn("__w", w)
     g = s.groupBy(*id_cols).agg(F.sum(F.col("value") * F.col("__w")).alias("value"),
                                 F.sum(F.col("confidence") * F.col("__w")).alias("confidence"),
-                                F.sum("__w").alias("__tw"))
+                                F.sum("__w").alias("__tw"), *[F.max(c).alias(c) for c in carry])
     if normalize:
         g = g.withColumn("value", F.col("value") / F.col("__tw")) \
              .withColumn("confidence", F.col("confidence") / F.col("__tw"))
@@ -217,19 +219,27 @@ def score_content(content: DataFrame, score_rows: DataFrame, mode: str = "adapti
     ``score_rows`` are the long-form per-model rows (e.g. M1 output plus a
     classifier).  Texts failing V1 on the raw text get the
     ``ensemble_error`` marker (0, 0) (D1: validate the text at scoring time).
+    When the score rows carry a ``text_ok`` flag (computed in the scan that
+    produced them) it rides through the ensemble aggregate; otherwise the
+    content is read again and joined by id.
     """
     from ..functions.validate import text_valid
     filled = with_fallback(score_rows)
+    carried = "text_ok" in score_rows.columns
+    carry = ["text_ok"] if carried else []
     if mode == "adaptive":
         filled = performance_factor(filled, partition_by=partition_by, bucket_seconds=bucket_seconds)
-        ens = adaptive_ensemble(filled)
+        ens = adaptive_ensemble(filled, carry=carry)
     elif mode == "weighted":
-        ens = weighted_ensemble(filled)
+        ens = weighted_ensemble(filled, carry=carry)
     else:
         raise ValueError(f"unknown ensemble mode {mode!r}")
-    valid = content.select("id", text_valid(F.col(text_col)).alias("__valid"))
-    out = ens.join(valid, "id")
-    err = ~F.col("__valid")
+    if carried:
+        out = ens.withColumnRenamed("text_ok", "__valid")
+    else:
+        valid = content.select("id", text_valid(F.col(text_col)).alias("__valid"))
+        out = ens.join(valid, "id")
+    err = ~F.coalesce(F.col("__valid"), F.lit(False))
     return out.select(
         "id", "source",
         F.when(err, F.lit(0.0)).otherwise(F.col("value")).alias("value"),

@@ -22,13 +22,15 @@ def data_lexicon(spark):
 
 
 def vader_rows(spark, sf, templated=False):
-    """Lexicon score rows over the content table (data or injected vocabulary)."""
-    c = A.content(spark, sf, templated=templated)
+    """Lexicon score rows over the content table (data or injected vocabulary);
+    ``text_ok`` (V1 on the raw text) is computed in the same scan."""
+    from ..functions.validate import text_valid
+    c = A.content(spark, sf, templated=templated).withColumn("text_ok", text_valid("text"))
+    keep = ["source", "created_at", "text_ok"]
     if templated:
-        lx = L.lexicon_score(c, L.default_lexicon(spark), keep=["source", "created_at"])
+        lx = L.lexicon_score(c, L.default_lexicon(spark), keep=keep)
     else:
-        lx = L.lexicon_score(c, data_lexicon(spark), keep=["source", "created_at"],
-                             negators=L.DATA_NEGATORS)
+        lx = L.lexicon_score(c, data_lexicon(spark), keep=keep, negators=L.DATA_NEGATORS)
     return lx
 
 
@@ -36,8 +38,9 @@ def score_rows(spark, sf, templated=False):
     """Long-form rows: lexicon ('vader') + deterministic stub classifier."""
     c = A.content(spark, sf, templated=templated)
     lx = vader_rows(spark, sf, templated).select(
-        "id", "source", "created_at", F.lit("vader").alias("model"), "value", "confidence", "ok")
-    return lx.unionByName(A.stub_classifier_scores(c))
+        "id", "source", "created_at", F.lit("vader").alias("model"), "value", "confidence", "ok", "text_ok")
+    stub = A.stub_classifier_scores(c).withColumn("text_ok", F.lit(None).cast("boolean"))
+    return lx.unionByName(stub)
 
 
 def _score_rows_sql(templated=False):
