@@ -8,8 +8,9 @@ What each platform client does to data, as DataFrame plans:
   one channel holds a third of the rows);
 * time windows are explicit ``as_of`` predicates pushed to the scan;
 * "posts -> their comments" is an equi-join on the post id (J1);
-* membership tests are ``left_semi`` joins against small, size-checked
-  dimension tables (J5); cross-run dedup is a ``left_anti`` join (J7).
+* membership tests are ``left_semi`` joins against small dimension tables
+  (known size -> bounded broadcast, derived -> sized by AQE at runtime) (J5);
+  cross-run dedup is a ``left_anti`` join (J7).
 """
 
 from __future__ import annotations
@@ -119,9 +120,10 @@ def crypto_threads(posts: DataFrame, comments: DataFrame, limit_per_subreddit: i
         return p
     best = top_n_per_key(p.select("id", "subreddit", F.col("metrics.score").alias("score")),
                          ["subreddit"], [F.col("score").desc(), F.col("id").asc()], top_posts)
-    # Equi-join post -> comments (post ids are unique; the right side is
-    # at most subreddits x top_posts rows, so it is broadcast behind a check)
-    best_ids = maybe_broadcast(best.select(F.col("id").alias("post_id")), 1_000_000)
+    # Equi-join post -> comments.  The right side is derived (at most
+    # subreddits x top_posts rows): AQE measures it at runtime and broadcasts
+    # it when small, without a counting job that would recompute the posts
+    best_ids = best.select(F.col("id").alias("post_id"))
     c = comments.join(best_ids, "post_id", "left_semi")
     cm = post_comments(c, limit=max_comments_per_post)
     return N.union_content(p, cm)
@@ -160,16 +162,22 @@ def monitored_channels(channels: DataFrame, name_col: str = "channel_name",
 
 
 def monitored_messages(messages: DataFrame, channels: DataFrame, key: str = "channel_id",
-                       max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Messages of monitored channels (left-semi, size-checked broadcast)."""
+                       channel_rows: int | None = None, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Messages of monitored channels (left-semi join).  A channel
+    table of known size is broadcast up to the bound; a derived one is sized
+    by AQE at runtime (broadcast when small)."""
     mon = monitored_channels(channels).select(key).distinct()
-    return messages.join(maybe_broadcast(mon, max_broadcast_rows), key, "left_semi")
+    if channel_rows is not None:
+        mon = maybe_broadcast(mon, max_broadcast_rows, known_rows=channel_rows)
+    return messages.join(mon, key, "left_semi")
 
 
 def with_channel_info(messages: DataFrame, info: DataFrame, key: str = "channel",
-                      max_broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Left join the channel dimension; missing values get defaults."""
-    i = maybe_broadcast(info, max_broadcast_rows)
+                      info_rows: int | None = None, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+    """Left join the channel dimension; missing values get defaults.
+    A dimension of known size is broadcast up to the bound; otherwise AQE
+    decides from the measured size."""
+    i = maybe_broadcast(info, max_broadcast_rows, known_rows=info_rows) if info_rows is not None else info
     j = messages.join(i, key, "left")
     return (j.withColumn("channel_title", F.coalesce(F.col("channel_title"), F.lit("")))
              .withColumn("participants_count", F.coalesce(F.col("participants_count"), F.lit(0)))
