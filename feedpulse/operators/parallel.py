@@ -6,6 +6,11 @@ report several splits, all but one empty - and would run every regex on one
 core.  ``spread`` round-robins only small scans (few partitions, fewer files
 than cores), so on a cluster reading terabytes it is a no-op: no extra
 shuffle, and no file listing is pulled to the driver.
+
+The round-robin is followed by a lazy reliable checkpoint (in the shared
+``spark.checkpoint.dir``): otherwise Catalyst pushes expensive text
+predicates (sanitise-based validity, mention tests) below the exchange and
+they run in the single busy scan task again.
 """
 
 from __future__ import annotations
@@ -18,5 +23,7 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     target = min_partitions or spark.sparkContext.defaultParallelism
     n = df.rdd.getNumPartitions()
     if n < target or (n <= 4 * target and len(df.inputFiles()) < target):
-        return df.repartition(target)
+        from ..session import checkpoint_dir
+        checkpoint_dir(spark)
+        return df.repartition(target).checkpoint(eager=False)
     return df
