@@ -31,7 +31,6 @@ def local_session(cores: str | int | None = None, shuffle_partitions: int | None
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("FEEDPULSE_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
