@@ -103,3 +103,23 @@ def test_model_inference_keeps_rows(spark):
     assert len(out) == 3
     assert out[1].value == 1.0 and out[3].value == -1.0
     assert out[2].ok is False and out[2].value == 0.0  # D9: blank text keeps its row
+
+
+def test_global_history_per_model(spark):
+    """Process-wide history (one sequence per model across sources) - the
+    exact global order - with the same distributed prefix sums."""
+    rows = make_rows(2000, seed=11)
+    df = spark.createDataFrame(rows, "id long, source string, t long, model string, value double, "
+                                     "confidence double, ok boolean") \
+        .withColumn("created_at", F.timestamp_seconds(F.col("t") * 60)).drop("t")
+    hist, want = {}, {}
+    for r in sorted(rows, key=lambda r: (r[3], r[2], r[0])):
+        h = hist.setdefault(r[3], [])
+        if r[6]:
+            h.append(r[5])
+            del h[:-100]
+        want[(r[0], r[3])] = 0.5 + sum(h) / len(h) if h else 1.0
+    got = E.performance_factor(df, partition_by=("model",), bucket_seconds=1800).collect()
+    assert len(got) == len(rows)
+    for g in got:
+        assert g.perf == pytest.approx(want[(g.id, g.model)], abs=1e-12)
