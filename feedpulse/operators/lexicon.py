@@ -18,7 +18,8 @@ Plan shape (``lexicon_score``)::
 
 Rules and constants are those of the published VADER method (Hutto &
 Gilbert, 2014).  Tier A: valence sum, negation, normalisation.  Tier B
-(``emphasis=True``): all-caps emphasis and '!'/'?' amplification.
+(``emphasis=True``): all-caps emphasis, the "but" shift and '!'/'?'
+amplification.
 """
 
 from __future__ import annotations
@@ -106,9 +107,14 @@ def lexicon_score(df: DataFrame, lexicon: DataFrame, id_col: str = "id",
     cols = [*carry, raw.alias("__r")]
     if emphasis:
         cols.append(_punct_amplifier(F.col("__clean")).alias("__amp"))
+    if emphasis:
+        # position (1-based, 0 if absent) of the first "but" word: valences
+        # before it are halved, after it scaled by 1.5 (one pass per document)
+        forms = F.transform(raw, lambda w: F.lower(word_form(w)))
+        cols.append(F.array_position(forms, "but").cast("int").alias("__but"))
     words = base.select(*cols)
     if emphasis:
-        carry.append("__amp")
+        carry.extend(["__amp", "__but"])
         # caps emphasis applies only when the text mixes all-caps and other words
         words = words.withColumn("__mixed", F.exists("__r", _isupper) &
                                  F.exists("__r", lambda w: ~_isupper(w)))
@@ -131,6 +137,10 @@ def lexicon_score(df: DataFrame, lexicon: DataFrame, id_col: str = "id",
     if emphasis:
         v = F.when(F.col("__mixed") & _isupper(F.col("w")),
                    v + F.signum(v) * vocab.CAPS_INCREMENT).otherwise(v)
+    if emphasis:
+        pos1 = F.col("__pos") + 1
+        v = (F.when((F.col("__but") > 0) & (pos1 < F.col("__but")), v * vocab.BUT_BEFORE)
+             .when((F.col("__but") > 0) & (pos1 > F.col("__but")), v * vocab.BUT_AFTER).otherwise(v))
     if negators:
         neg = [n.lower() for n in negators]
         def is_neg(c):

@@ -94,6 +94,8 @@ CAPS_INCREMENT = 0.733
 EXCLAIM_INCREMENT = 0.292
 QUESTION_INCREMENT_SMALL = 0.18
 QUESTION_INCREMENT_LARGE = 0.96
+BUT_BEFORE = 0.5
+BUT_AFTER = 1.5
 
 # Published VADER negation words.
 NEGATORS = [

@@ -79,3 +79,11 @@ def test_label_thresholds_strict(spark):
     df = spark.createDataFrame([(0.1,), (0.1000001,), (-0.1,), (-0.2,)], "v double")
     got = [r.l for r in df.select(L.sentiment_label("v").alias("l")).collect()]
     assert got == ["neutral", "positive", "neutral", "negative"]
+
+
+def test_but_rule_tier_b(spark):
+    r = score(spark, ["great but crash", "great crash"], emphasis=True)
+    s = 3.1 * 0.5 - 1.7 * 1.5
+    assert r[0].value == pytest.approx(s / math.sqrt(s * s + 15))
+    t = 3.1 - 1.7
+    assert r[1].value == pytest.approx(t / math.sqrt(t * t + 15))
