@@ -95,9 +95,9 @@ def m2(spark, sf):
     return lx.select("id", r6("value").alias("value"), "hits")
 
 
-@register("M1B_emphasis_scores")
+@register("M1B_emphasis_scores", sql=SM.lexicon_scores_tier_b(S.content(True), TPL_ENTRIES, vocab.NEGATORS))
 def m1b(spark, sf):
-    # tier B (caps + punctuation emphasis): goldens in tests/, no SQL oracle
+    # tier B: caps emphasis, the "but" shift, punctuation amplification
     c = A.content(spark, sf, templated=True)
     lx = L.lexicon_score(c, L.default_lexicon(spark), emphasis=True)
     return lx.select("id", r6("value").alias("value"), "hits")

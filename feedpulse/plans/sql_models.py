@@ -37,6 +37,45 @@ SELECT r.id{rks}, least(greatest(r.s / sqrt(r.s * r.s + {vocab.NORMALIZE_ALPHA})
 FROM r"""
 
 
+def lexicon_scores_tier_b(docs_sql: str, entries: dict, negators: list) -> str:
+    """M1 tier B: caps emphasis (mixed-case texts), the 'but' shift and
+    '!'/'?' amplification on top of tier A.  Output: id, value, hits."""
+    vals = ", ".join(f"({q(k.lower())}, CAST({float(v)!r} AS DOUBLE))" for k, v in entries.items())
+    neg = S.arr(negators) if negators else "CAST([] AS VARCHAR[])"
+    def form(x):
+        st = f"regexp_replace({x}, {q(STRIP_PUNCT)}, '', 'g')"
+        return f"lower(CASE WHEN length({st}) <= 2 THEN {x} ELSE {st} END)"
+    isup = "(upper(w) = w AND lower(w) <> w)"
+    a = vocab.NORMALIZE_ALPHA
+    return f"""
+WITH d AS ({docs_sql}),
+b AS (SELECT id, {S.sanitize('text')} AS clean FROM d),
+v AS (SELECT *, coalesce(length(clean) BETWEEN 1 AND 10000, false) AS ok,
+        least(length(clean) - length(replace(clean, '!', '')), 4) * {vocab.EXCLAIM_INCREMENT}
+        + CASE WHEN length(clean) - length(replace(clean, '?', '')) > 3 THEN {vocab.QUESTION_INCREMENT_LARGE}
+               WHEN length(clean) - length(replace(clean, '?', '')) > 1
+               THEN (length(clean) - length(replace(clean, '?', ''))) * {vocab.QUESTION_INCREMENT_SMALL}
+               ELSE 0.0 END AS amp FROM b),
+l AS (SELECT id, r, list_transform(r, lambda w: {form('w')}) AS lw,
+        list_bool_or(list_transform(r, lambda w: {isup})) AND list_bool_or(list_transform(r, lambda w: NOT {isup})) AS mixed
+      FROM (SELECT id, string_split(clean, ' ') AS r FROM v WHERE ok) x),
+l2 AS (SELECT *, coalesce(list_position(lw, 'but'), 0) AS bi FROM l),
+t AS (SELECT id, lw, mixed, bi, unnest(r) AS w, unnest(lw) AS tok, generate_subscripts(lw, 1) AS i FROM l2),
+lex AS (SELECT * FROM (VALUES {vals}) x(token, valence)),
+h0 AS (SELECT t.*, lex.valence AS val FROM t JOIN lex ON t.tok = lex.token),
+h1 AS (SELECT id, CASE WHEN mixed AND {isup} THEN val + sign(val) * {vocab.CAPS_INCREMENT} ELSE val END AS v1,
+         i, bi, lw FROM h0),
+h AS (SELECT id,
+        (CASE WHEN bi > 0 AND i < bi THEN v1 * {vocab.BUT_BEFORE} WHEN bi > 0 AND i > bi THEN v1 * {vocab.BUT_AFTER} ELSE v1 END)
+        * (CASE WHEN list_has_any(list_slice(lw, greatest(i - 3, 1), i - 1), {neg}) THEN {vocab.NEGATION_SCALAR} ELSE 1.0 END) AS v
+      FROM h1),
+s AS (SELECT id, sum(v) AS s, count(*) AS hits FROM h GROUP BY id),
+r AS (SELECT v.id, v.amp, coalesce(s.s, 0.0) AS s0, CAST(coalesce(s.hits, 0) AS BIGINT) AS hits
+      FROM v LEFT JOIN s ON v.id = s.id),
+r2 AS (SELECT id, hits, CASE WHEN s0 > 0 THEN s0 + amp WHEN s0 < 0 THEN s0 - amp ELSE s0 END AS sa FROM r)
+SELECT id, round(least(greatest(sa / sqrt(sa * sa + {a}), -1.0), 1.0), 6) AS value, hits FROM r2"""
+
+
 def score_rows(entries: dict, negators: list, templated: bool = False) -> str:
     """Long-form score rows: lexicon ('vader') + stub classifier ('transformer')."""
     c = S.content(templated)
