@@ -38,14 +38,23 @@ def t3(spark, sf):
     return c.select("id", T.replace_mentions("text").alias("out"))
 
 
-@register("T4_collapse_repeats")
+@register("T4_collapse_repeats", sql=f"""
+SELECT id, {S.collapse_repeats('text')} AS out FROM ({S.content(True)}) c""")
 def t4(spark, sf):
-    # RE2 has no back-references, so no SQL oracle; goldens in tests/.
+    # the oracle has no back-references (RE2): it drops a character equal to
+    # both predecessors, which is the same rewrite
     c = A.content(spark, sf, templated=True)
     return c.select("id", T.collapse_repeats("text").alias("out"))
 
 
-@register("T5_social_preprocess")
+def _t5_sql():
+    x = S.sanitize("text")
+    x = f"regexp_replace({x}, {q(P.URL_TOKEN)}, '[URL]', 'g')"
+    x = f"regexp_replace({x}, {q(P.MENTION)}, '[USER]', 'g')"
+    return f"SELECT id, {S.collapse_repeats(x)} AS out FROM ({S.content(True)}) c"
+
+
+@register("T5_social_preprocess", sql=_t5_sql())
 def t5(spark, sf):
     c = A.content(spark, sf, templated=True)
     return c.select("id", T.social_preprocess("text").alias("out"))

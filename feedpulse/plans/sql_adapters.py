@@ -134,3 +134,14 @@ def fmt_ts(x: str) -> str:
 
 def r6(x: str) -> str:
     return f"round(CAST({x} AS DOUBLE), 6)"
+
+
+def collapse_repeats(x: str) -> str:
+    """T4 without back-references: drop a character equal to both of its two
+    predecessors (newline excluded), via shifted character lists."""
+    cs = f"string_split({x}, '')"
+    p1 = f"list_concat([NULL::VARCHAR], list_slice({cs}, 1, len({cs}) - 1))"
+    p2 = f"list_concat([NULL::VARCHAR, NULL::VARCHAR], list_slice({cs}, 1, len({cs}) - 2))"
+    keep = (f"list_filter(list_zip({cs}, {p1}, {p2}), "
+            f"lambda p: NOT (p[1] <> chr(10) AND coalesce(p[1] = p[2] AND p[1] = p[3], false)))")
+    return f"array_to_string(list_transform({keep}, lambda p: p[1]), '')"
