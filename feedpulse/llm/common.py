@@ -90,7 +90,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     def star(pairs: DataFrame, large: bool) -> DataFrame:
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else pairs
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         joined = both.join(low, "a")
         if large:
             out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))

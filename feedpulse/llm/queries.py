@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from . import oracles
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_components
+from .main_text import extract_main_text
 from .sharding import SHARDS, shard
+from .substring_dedup import remove_repeats
 from .url_trust import url_verdicts
 
 #: Fixed values of the url filter's contract.
@@ -22,11 +25,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(read(spark, sf_dir, "pages"))
+
+
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard(read(spark, sf_dir, "documents"), shards=SHARDS)
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents"), with_text=False)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"), digest=True)
 
