@@ -11,9 +11,12 @@ from . import oracles
 from .decontaminate import decontaminate
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
+from .language import declared_in_markup, identify
 from .main_text import extract_main_text
+from .packing import pack
 from .sharding import SHARDS, shard
 from .substring_dedup import remove_repeats
+from .toxicity import score_toxicity
 from .url_trust import url_verdicts
 
 #: Fixed values of the url filter's contract.
@@ -38,6 +41,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents"), with_text=False)
 
@@ -46,10 +53,28 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"), digest=True)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (declared language, source as host) and pages (markup language, address, host)
+    in one corpus; ``doc_id`` or ``page_id`` is null in rows of the other table."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.lit(None).cast("long").alias("page_id"), "text",
+                                                   F.col("lang").alias("declared"), F.lit(None).cast("string").alias("url"),
+                                                   F.col("source").alias("host"))
+    pages = read(spark, sf_dir, "pages")
+    markup = declared_in_markup(F.col("html"))
+    visible = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
+    pages = pages.select(F.lit(None).cast("long").alias("doc_id"), "page_id", visible.alias("text"), markup.alias("declared"),
+                         "url", F.lit(None).cast("string").alias("host"))
+    return identify(docs.unionByName(pages), ["doc_id", "page_id"], "text", "declared", "url", "host")
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(read(spark, sf_dir, "pages"), URL_RULES)
 

@@ -112,6 +112,16 @@ class Words:
                    ^ np.diff(self.first).astype(np.uint64))
 
 
+def prefix_hashes(words: Words, lengths: tuple[int, ...], lower: bool) -> list[np.ndarray]:
+    """For each length in bytes: the hash of each word's prefix (of the whole word if shorter)."""
+    values = _byte_values(lower)[words.data]
+    power, inverse = _powers(_BYTE_BASE, len(values) + 1)
+    total = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * power[:len(values)], dtype=np.uint64, out=total[1:])
+    ends = [np.minimum(words.start + n, words.end) for n in lengths]
+    return [mix((total[end] - total[words.start]) * inverse[words.start]) for end in ends]
+
+
 def split_words(data: np.ndarray, offsets: np.ndarray, split: str, lower: bool) -> Words:
     is_word = _word_bytes(split)[data]
     n = len(data)
