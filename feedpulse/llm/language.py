@@ -41,7 +41,7 @@ SMOOTHING = 0.5
 #: Weight of one trigram: neighbouring trigrams overlap, so each counts for less than one fact.
 EVIDENCE = 0.3
 #: The background wins if it is better by this much per trigram.
-BACKGROUND_MARGIN = 0.25
+BACKGROUND_MARGIN = 1.5
 HOST_STRENGTH, PARENT_STRENGTH, GLOBAL_STRENGTH, CHANNEL_STRENGTH = 10.0, 20.0, 4.0, 2.0
 UNDETERMINED = "und"
 #: Country suffixes that speak for a language.

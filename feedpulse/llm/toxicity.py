@@ -10,7 +10,9 @@ documents, started from the labelled rows; and how voters depend on each other,
 joint votes within each class.  A voter counts for less the more it repeats others.
 
 Classifier: a logistic regression over words and word beginnings, trained on the label
-model's posteriors of the training sample, not on the labels themselves.
+model's posteriors of the training sample, not on the labels themselves.  Its odds are then
+calibrated on the sample's labels (two numbers), weighted to the share of toxic rows, so
+that a score is a probability and 0.5 a fair cut.
 
 Labels are read only of rows whose crc32(id) mod 5 is not 0.  The sample that entries are mined
 from and the classifier is fitted on has at most ``SAMPLE_PER_CLASS`` rows of each label,
@@ -193,8 +195,8 @@ def _soft_rows(model: LabelModel, width: int, known: np.ndarray, voters: np.ndar
                 cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
                 lists = [at[a:b].astype(np.int32) for a, b in zip(cut[:-1], cut[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(model.posterior(_matrix(voted.column("votes"), width))), pa.array(lists, pa.list_(pa.int32()))],
-                    names=["p", "found"])
+                    [part.column("label"), pa.array(model.posterior(_matrix(voted.column("votes"), width))),
+                     pa.array(lists, pa.list_(pa.int32()))], names=["label", "p", "found"])
     return run
 
 
@@ -209,9 +211,28 @@ def _score(known: np.ndarray, weights: np.ndarray, intercept: float):
     return run
 
 
-def _logit(p: float) -> float:
-    p = min(max(p, 1e-6), 1 - 1e-6)
-    return math.log(p / (1 - p))
+def calibrate(odds: np.ndarray, label: np.ndarray, share: float) -> tuple[float, float]:
+    """Slope and shift of a logistic curve from odds to the label, by Newton's method; classes are
+    weighted to ``share`` and targets drawn in a little, so that separable classes have a fit."""
+    n1, n0 = max((label == 1).sum(), 1), max((label == 0).sum(), 1)
+    target = np.where(label == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    weight = np.where(label == 1, share / n1, (1 - share) / n0) * len(label)
+    centre, scale = odds.mean(), odds.std() + 1e-9
+    x = np.column_stack([(odds - centre) / scale, np.ones(len(odds))])
+    beta = np.array([1.0, math.log(share / (1 - share))])
+    loss = lambda b: float((weight * (np.logaddexp(0, x @ b) - target * (x @ b))).sum())
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -50, 50)))
+        slope = x.T @ (weight * (p - target))
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        step = np.linalg.solve(curve, slope)
+        size = 1.0
+        while size > 1e-6 and loss(beta - size * step) > loss(beta):
+            size /= 2
+        beta = beta - size * step
+        if np.abs(size * step).max() < 1e-8:
+            break
+    return beta[0] / scale, beta[1] - beta[0] * centre / scale
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -258,11 +279,13 @@ def _fit(rows: DataFrame, sample: DataFrame, sample_ids: DataFrame, share: float
 
     soft = sample.select(F.col("id"), "text", F.col("toxic").alias("label"))
     sparse = F.udf(lambda found: Vectors.sparse(len(known), sorted(found), [1.0] * len(found)), VectorUDT())
-    rows_in = written(soft.mapInArrow(_soft_rows(model, width, known, voters), "p double, found array<int>"), "tox-soft")
+    rows_in = written(soft.mapInArrow(_soft_rows(model, width, known, voters), "label int, p double, found array<int>"), "tox-soft")
     both = rows_in.select(sparse("found").alias("features"), F.explode(F.array(
         F.struct(F.lit(1.0).alias("label"), F.col("p").alias("weight")),
         F.struct(F.lit(0.0).alias("label"), (1 - F.col("p")).alias("weight")))).alias("soft")).select("features", "soft.*")
     fitted = LogisticRegression(weightCol="weight", regParam=REGULARISATION, maxIter=60, standardization=False).fit(both)
-    mean = rows_in.agg(F.avg("p")).first()[0] or 0.5
-    # the sample is balanced by class; the texts that are scored are not
-    return known, fitted.coefficients.toArray(), float(fitted.intercept) + _logit(share) - _logit(mean)
+    weights, intercept = fitted.coefficients.toArray(), float(fitted.intercept)
+    rated = rows_in.select("label", "found").toPandas()  # the bounded sample
+    odds = np.array([intercept + weights[f].sum() for f in rated.found])
+    slope, shift = calibrate(odds, rated.label.to_numpy(), share)
+    return known, weights * slope, intercept * slope + shift
