@@ -122,7 +122,7 @@ def _score_texts(model: np.ndarray):
                 cell, text = trigram_cells(data, offsets)
                 n = np.bincount(text, minlength=part.num_rows)
                 sums = [np.bincount(text, weights=row[cell], minlength=part.num_rows) for row in model]
-                likelihood = np.stack(sums, 1)
+                likelihood = np.stack(sums, 1).astype(np.float64)  # counts of an empty chunk are integers
                 flat = pa.array(likelihood.ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * len(model)), flat)
                 columns = [part.column(c) for c in part.schema.names if c != "text"]

@@ -102,7 +102,7 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             toxic = part.column("toxic").to_numpy().astype(np.int64)[doc]
             names, at = np.unique(feature, return_inverse=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(names)), pa.array(np.bincount(at, weights=toxic).astype(np.int64)), pa.array(np.bincount(at))],
+                [pa.array(signed(names)), pa.array(np.bincount(at, weights=toxic, minlength=len(names)).astype(np.int64)), pa.array(np.bincount(at, minlength=len(names)))],
                 names=["feature", "toxic", "n"])
 
 

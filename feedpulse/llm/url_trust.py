@@ -56,8 +56,7 @@ def _hosts_above(host: Column, itself: bool) -> Column:
 
 def rules_table(spark: SparkSession, rules: list[tuple[str, str]]) -> DataFrame:
     """``(verdict, "host/path")`` pairs -> rows ``(rule_host, rule_path, rule, rule_verdict)``."""
-    rows = [(r.partition("/")[0].lower(), "/" + r.partition("/")[2] if r.partition("/")[2] else "", r, v)
-            for v, r in rules]
+    rows = [(r.partition("/")[0].lower(), r[len(r.partition("/")[0]):], r, v) for v, r in rules]
     return spark.createDataFrame(rows, "rule_host string, rule_path string, rule string, rule_verdict string")
 
 
