@@ -5,9 +5,8 @@ Vocabulary-parametrised and native:
 * whole-word symbol hits are one ``split`` of the upper-cased text into word
   runs intersected with the symbol array (a word-bounded symbol is exactly a
   maximal word run), replacing 30-210 regex searches per row;
-* pair patterns (``BTC/USDT`` ...) have no left boundary and may overlap, so
-  each symbol gets its own literal test, guarded by a cheap ``contains`` on
-  the pair suffix;
+* pair patterns (``BTC/USDT`` ...) have no left boundary: the word runs before the
+  pair suffix are taken once and tested for the symbols that they end in;
 * keyword relevance is a substring test per keyword, written as an OR chain
   over literal keywords (cheapest first) so the lower-cased text is computed
   once as a common subexpression.
@@ -35,45 +34,33 @@ def _or(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, cols) if cols else F.lit(False)
 
 
-def _pair_test(u: Column, sym: str, template: str, right_bounded: bool) -> Column:
-    lit = template.replace("{S}", sym)
-    hit = u.contains(lit)  # cheap substring test first; the regex only confirms the boundary
-    if right_bounded:
-        return hit & u.rlike(P.literal_regex(lit) + f"($|{P.NON_WORD})")
-    return hit
+def _template_hits(u: Column, template: str, right_bounded: bool, sym_arr: Column) -> Column:
+    """Symbols S for which ``template`` (S + suffix) occurs in ``u``; S has no left boundary.
 
-
-def _template_hits(u: Column, template: str, right_bounded: bool, syms: list[str]) -> Column:
-    """Symbols S for which ``template`` (S + suffix) occurs in ``u``.
-
-    One zero-width look-ahead regex per template instead of one test per
-    symbol: at every position it captures the word characters up to the
-    suffix, i.e. every candidate S, which is intersected with the vocabulary.
-    Exact whenever the suffix starts with a separator or is right-bounded;
-    for an unbounded word suffix (``SUSD``) the nearest and farthest
-    occurrence per position are captured, and texts with three or more
-    occurrences fall back to per-symbol substring tests.
+    Where the suffix starts with a separator, S ends a run of word characters that stands before
+    it: each run is matched once, from its first character on, and tested for its end.
+    Where the suffix is made of word characters and bounded on the right, S + suffix ends a run.
+    Else it is a plain substring test.  Every form is one pass over the text.
     """
     suffix = template.replace("{S}", "")
     lit = P.literal_regex(suffix)
-    bound = f"(?!{P.WORD})" if right_bounded else ""
-    sym_arr = F.array(*[F.lit(x) for x in syms])
-    caps = F.regexp_extract_all(u, F.lit(f"(?=({P.WORD}+){lit}{bound})"), 1)
-    hits = F.array_intersect(sym_arr, caps)
-    word_suffix = suffix[:1].isalnum() or suffix[:1] == "_"
-    if word_suffix and not right_bounded:
-        lazy = F.regexp_extract_all(u, F.lit(f"(?=({P.WORD}+?){lit})"), 1)
-        hits = F.array_union(hits, F.array_intersect(sym_arr, lazy))
-        many = (F.size(F.split(u, lit, -1)) - 1) >= 3
-        per = F.array_except(F.array(*[F.when(u.contains(x + suffix), F.lit(x)) for x in syms]),
-                             F.array(F.lit(None).cast("string")))
-        hits = F.when(many, per).otherwise(hits)
+    if suffix[:1].isalnum() or suffix[:1] == "_":
+        if right_bounded:
+            runs = F.filter(F.split(u, P.NON_WORD + "+", -1), lambda r: r.endswith(suffix))
+            hits = F.filter(sym_arr, lambda s: F.exists(runs, lambda r: r.endswith(F.concat(s, F.lit(suffix)))))
+        else:
+            hits = F.filter(sym_arr, lambda s: u.contains(F.concat(s, F.lit(suffix))))
+    else:
+        bound = f"(?!{P.WORD})" if right_bounded else ""
+        runs = F.regexp_extract_all(u, F.lit(f"(?<!{P.WORD})({P.WORD}++)(?={lit}{bound})"), 1)
+        hits = F.filter(sym_arr, lambda s: F.exists(runs, lambda r: r.endswith(s)))
     return F.when(u.contains(suffix), hits).otherwise(F.array().cast("array<string>"))
 
 
 def _pair_hits(u: Column, dialect: str, syms: list[str]) -> Column:
     """Union of the template hits of a dialect (array of symbols)."""
-    arrs = [_template_hits(u, t, rb, syms) for t, rb in vocab.MENTION_PAIRS[dialect]]
+    sym_arr = F.array(*[F.lit(x) for x in syms])
+    arrs = [_template_hits(u, t, rb, sym_arr) for t, rb in vocab.MENTION_PAIRS[dialect]]
     return F.array_distinct(F.concat(*arrs)) if arrs else F.array().cast("array<string>")
 
 

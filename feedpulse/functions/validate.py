@@ -19,6 +19,11 @@ def text_valid(c, max_chars: int = vocab.MAX_TEXT_CHARS) -> Column:
     return F.coalesce(n.between(1, max_chars), F.lit(False))
 
 
+def has_text(c) -> Column:
+    """Non-null text that is not blank, of any length."""
+    return F.coalesce(F.length(strip_ws(_col(c))) >= 1, F.lit(False))
+
+
 def clean_source(c) -> Column:
     return F.lower(strip_ws(_col(c)))
 

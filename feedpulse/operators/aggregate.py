@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
@@ -130,8 +130,16 @@ def event_metrics(events: DataFrame, keys: Sequence[str] = ("event_type",),
 
 
 def event_percentiles(events: DataFrame, keys: Sequence[str] = ("event_type",),
-                      value_col: str = "duration_ms", accuracy: int = 10000) -> DataFrame:
-    """A10: approximate p50 / p95 / p99 (bounded sketch per group)."""
-    p = F.percentile_approx(value_col, [0.5, 0.95, 0.99], accuracy)
-    return events.groupBy(*keys).agg(p.alias("__p")).select(
-        *keys, F.col("__p")[0].alias("p50_ms"), F.col("__p")[1].alias("p95_ms"), F.col("__p")[2].alias("p99_ms"))
+                      value_col: str = "duration_ms") -> DataFrame:
+    """A10: exact p50 / p95 / p99 (the smallest value whose rank reaches the share).
+
+    Rows are counted per (key, value) first, map-side combined, so the running count that
+    finds a rank reads one row per distinct value, not per event."""
+    ordered = Window.partitionBy(*keys).orderBy(value_col)
+    counted = events.where(F.col(value_col).isNotNull()).groupBy(*keys, value_col).agg(F.count("*").alias("__c"))
+    ranked = (counted.withColumn("__upto", F.sum("__c").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+              .withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys))))
+
+    def rank(p: float) -> Column:
+        return F.min(F.when(F.col("__upto") >= F.ceil(F.lit(p) * F.col("__n")), F.col(value_col)))
+    return ranked.groupBy(*keys).agg(rank(0.5).alias("p50_ms"), rank(0.95).alias("p95_ms"), rank(0.99).alias("p99_ms"))

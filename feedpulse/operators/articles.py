@@ -117,8 +117,9 @@ def _summary(text: str, n: int = 3) -> str:
     return s
 
 
-def extract_content(builder: _TreeBuilder, html: str | None) -> tuple[str, str, str]:
-    """(title, text, summary) of one page; errors give empty strings."""
+def extract_content(builder: _TreeBuilder, html: str | None) -> tuple[str, str, str, str | None]:
+    """(title, text, summary, error) of one page; a page that can't be parsed gives empty strings
+    and the error's text."""
     try:
         root = builder.build(html or "")
         _drop(root, REMOVED)
@@ -134,7 +135,7 @@ def extract_content(builder: _TreeBuilder, html: str | None) -> tuple[str, str,
         if main is None:
             main = next((n for n in nodes if n.tag == "body"), None)
         if main is None:
-            return "", "", ""
+            return "", "", "", None
         title = ""
         heads = [n for n in nodes if n.tag in ("h1", "h2")]
         if heads:
@@ -150,17 +151,18 @@ def extract_content(builder: _TreeBuilder, html: str | None) -> tuple[str, str,
                 if len(s) > MIN_PARAGRAPH:
                     parts.append(s)
         full = "\n".join(parts)
-        return title, full, _summary(full)
-    except Exception:  # noqa: BLE001 - a bad page yields empty strings
-        return "", "", ""
+        return title, full, _summary(full), None
+    except Exception as e:  # noqa: BLE001 - reported in the row
+        return "", "", "", f"{type(e).__name__}: {e}"
 
 
 def extract_articles(pages: DataFrame, html_col: str = "html", keep: Sequence[str] = ("page_id", "url")
                      ) -> DataFrame:
-    """H1-H3: ``keep`` columns + ``title, text, summary`` (strings, never null)."""
+    """H1-H3: ``keep`` columns + ``title, text, summary`` (strings, never null) + ``extract_error``
+    (null for a parsed page), by which unparsed pages can be split off."""
     keep = list(keep)
     schema = (pages.select(*keep).schema.add("title", StringType()).add("text", StringType())
-              .add("summary", StringType()))
+              .add("summary", StringType()).add("extract_error", StringType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         builder = _TreeBuilder()  # one parser per task, reused for every row
@@ -170,6 +172,7 @@ def extract_articles(pages: DataFrame, html_col: str = "html", keep: Sequence[st
             out["title"] = [r[0] for r in res]
             out["text"] = [r[1] for r in res]
             out["summary"] = [r[2] for r in res]
+            out["extract_error"] = pd.Series([r[3] for r in res], index=out.index, dtype=object)
             yield out
 
     return pages.select(*keep, html_col).mapInPandas(run, schema)
@@ -196,17 +199,18 @@ def feed_entries(entries: DataFrame) -> DataFrame:
 
 
 def news_articles(entries: DataFrame, pages: DataFrame, as_of, hours_back: int = 24,
-                  per_feed: int = 20, keywords: Sequence[str] = vocab.CRYPTO_KEYWORDS,
+                  per_feed: int | None = None, keywords: Sequence[str] = vocab.CRYPTO_KEYWORDS,
                   symbols: Sequence[str] = vocab.CRYPTO_SYMBOLS, page_url: str = "url",
                   page_html: str = "html") -> DataFrame:
-    """Entries -> dedup (U2) -> recent (F4) -> per-feed cap (K2)
+    """Entries -> dedup (U2) -> recent (F4) -> per-feed cap (K2, if asked for)
     -> join pages (J2) -> extract (H) -> length >= 100 (F1) -> relevance (X2)
     -> sanitise (T1) -> V1 -> relevance score (X4) -> article record (N1)."""
     e = feed_entries(entries)
     e = FE.dedup_first(e, "id", [F.col("position"), F.col("source_feed"), F.col("link")])
     lo = F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(hours_back))
     e = e.where(F.col("published_at") > lo)
-    e = FE.top_n_per_key(e, ["source_feed"], [F.col("position"), F.col("link")], per_feed)
+    if per_feed is not None:
+        e = FE.top_n_per_key(e, ["source_feed"], [F.col("position"), F.col("link")], per_feed)
     e = e.where(F.col("link") != "")
     pg = pages.select(F.col(page_url).alias("link"), F.col(page_html).alias("html"))
     joined = e.join(pg, "link")  # J2: entry -> fetched page (inner: unfetched pages drop)
@@ -218,7 +222,7 @@ def news_articles(entries: DataFrame, pages: DataFrame, as_of, hours_back: int =
     a = ex.where(F.length("text") >= 100)
     full = F.concat(F.col("title"), F.lit(" "), F.col("text"))
     a = a.where(M.relevant(full, "news", keywords, symbols))
-    a = a.withColumn("__clean", T.sanitize("text")).where(F.length("__clean").between(1, vocab.MAX_TEXT_CHARS))
+    a = a.withColumn("__clean", T.sanitize("text")).where(F.length("__clean") >= 1)
     score = M.news_relevance_score("title", "text", "source_feed", keywords, symbols)
     wc = T.word_count("text")
     return a.select(
@@ -246,13 +250,19 @@ def latest_news(articles: DataFrame, limit: int = 100, min_relevance: float = 0.
                      F.col("id").desc()).limit(limit)
 
 
-def search_news(articles: DataFrame, keywords: Sequence[str], limit: int = 50) -> DataFrame:
-    """K4: pool = the 2*limit latest articles at relevance >= 0.1; keep those
-    containing any keyword; keyword_relevance = hits / len(keywords)."""
+def search_news(articles: DataFrame, keywords: Sequence[str], limit: int = 50, as_of=None,
+                hours_back: int | None = None, min_relevance: float = 0.1) -> DataFrame:
+    """K4: of all articles at relevance >= 0.1 (published within ``hours_back`` before ``as_of``, if
+    given) those containing any keyword; keyword_relevance = hits / len(keywords)."""
     kws = [k.lower() for k in keywords]
     if not kws:
         raise ValueError("keywords must not be empty")
-    pool = latest_news(articles, limit=2 * limit, min_relevance=0.1)
+    pool = articles.where(F.col("metrics.relevance_score") >= min_relevance)
+    if hours_back is not None:
+        if as_of is None:
+            raise ValueError("hours_back needs as_of")
+        end = F.lit(as_of).cast("timestamp")
+        pool = pool.where(F.col("published_at").between(end - F.make_dt_interval(F.lit(0), F.lit(hours_back)), end))
     low = F.lower(F.concat(F.col("title"), F.lit(" "), F.col("text")))
     hits = sum((low.contains(k).cast("int") for k in kws), F.lit(0))
     rel = hits / F.lit(len(kws))

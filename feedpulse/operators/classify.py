@@ -17,7 +17,7 @@ from typing import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from .. import vocab
 from ..functions.text import sanitize, social_preprocess
@@ -48,7 +48,11 @@ def decode_logits(logits, labels: Sequence[str] = vocab.CLASSIFIER_LABELS,
 def score_with_model(df: DataFrame, model_factory: Callable[[], Callable[[list[str]], list]],
                      text_col: str = "text", id_col: str = "id", keep: Sequence[str] = (),
                      n_labels: int = 3, batch_size: int = 32) -> DataFrame:
-    """M4: run a user model over Arrow batches; output ``id, *keep, logits``.
+    """M4: run a user model over Arrow batches; output ``id, *keep, logits, error``.
+
+    A text for which the model fails keeps its row, with null logits and the error (M7): a
+    batch that fails is scored again text by text.  A model that returns another number
+    of results than texts, or of logits than ``n_labels``, is a wrong model: the job fails.
 
     ``model_factory()`` returns ``predict(texts) -> list[list[float]]``; it is
     invoked once per task inside the executor.  ``batch_size`` is the model
@@ -56,21 +60,39 @@ def score_with_model(df: DataFrame, model_factory: Callable[[], Callable[[list[s
     """
     cols = [id_col, *keep, text_col]
     out_schema = (df.select(*[F.col(c) for c in [id_col, *keep]]).schema
-                  .add("logits", ArrayType(DoubleType())))
+                  .add("logits", ArrayType(DoubleType())).add("error", StringType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = model_factory()
         for pdf in batches:
             texts = pdf[text_col].fillna("").astype(str)
             logits: list = [None] * len(texts)
+            errors: list = [None] * len(texts)
             live = [i for i, t in enumerate(texts) if t.strip()]
             for s in range(0, len(live), batch_size):
                 chunk = live[s:s + batch_size]
-                preds = predict([texts.iloc[i] for i in chunk])
+                batch = [texts.iloc[i] for i in chunk]
+                try:
+                    preds = list(predict(batch))
+                except Exception:  # noqa: BLE001 - each text on its own, the error goes into its row
+                    preds = []
+                    for i, text in zip(chunk, batch):
+                        try:
+                            preds.extend(predict([text]))
+                        except Exception as e:  # noqa: BLE001
+                            preds.append(None)
+                            errors[i] = f"{type(e).__name__}: {e}"
+                if len(preds) != len(chunk):
+                    raise ValueError(f"the model returned {len(preds)} results for {len(chunk)} texts")
                 for i, p in zip(chunk, preds):
-                    logits[i] = [float(v) for v in p][:n_labels]
+                    if p is None:
+                        continue
+                    logits[i] = [float(v) for v in p]
+                    if len(logits[i]) != n_labels:
+                        raise ValueError(f"the model returned {len(logits[i])} logits for {n_labels} labels")
             res = pdf[[id_col, *keep]].copy()
             res["logits"] = logits
+            res["error"] = pd.Series(errors, index=res.index, dtype=object)
             yield res
 
     return df.select(*cols).mapInPandas(run, out_schema)
@@ -83,7 +105,8 @@ def classifier_scores(df: DataFrame, model_factory, model_name: str = "finbert",
     """M4 + M3 (+ T1 / T5 preprocessing) -> long-form score rows (M7 filled)."""
     prep = social_preprocess(F.col(text_col)) if social else sanitize(F.col(text_col))
     pre = df.select("id", *keep, prep.alias("__t"))
-    lg = score_with_model(pre, model_factory, text_col="__t", keep=list(keep), batch_size=batch_size)
+    lg = score_with_model(pre, model_factory, text_col="__t", keep=list(keep), n_labels=len(labels),
+                          batch_size=batch_size)
     dec = decode_logits("logits", labels)
     return lg.select(
         "id", *keep, F.lit(model_name).alias("model"),

@@ -217,13 +217,13 @@ def score_content(content: DataFrame, score_rows: DataFrame, mode: str = "adapti
     """Ensemble score per content row.
 
     ``score_rows`` are the long-form per-model rows (e.g. M1 output plus a
-    classifier).  Texts failing V1 on the raw text get the
-    ``ensemble_error`` marker (0, 0) (D1: validate the text at scoring time).
+    classifier).  Null and blank texts get the
+    ``ensemble_error`` marker (0, 0) (D1: validate the text at scoring time); long texts are scored.
     When the score rows carry a ``text_ok`` flag (computed in the scan that
     produced them) it rides through the ensemble aggregate; otherwise the
     content is read again and joined by id.
     """
-    from ..functions.validate import text_valid
+    from ..functions.validate import has_text
     filled = with_fallback(score_rows)
     carried = "text_ok" in score_rows.columns
     carry = ["text_ok"] if carried else []
@@ -237,7 +237,7 @@ def score_content(content: DataFrame, score_rows: DataFrame, mode: str = "adapti
     if carried:
         out = ens.withColumnRenamed("text_ok", "__valid")
     else:
-        valid = content.select("id", text_valid(F.col(text_col)).alias("__valid"))
+        valid = content.select("id", has_text(F.col(text_col)).alias("__valid"))
         out = ens.join(valid, "id")
     err = ~F.coalesce(F.col("__valid"), F.lit(False))
     return out.select(

@@ -62,13 +62,13 @@ def search_tweets(tweets: DataFrame, as_of, symbols: Sequence[str] | None = None
                   hours_back: int = 24, vocabulary: Sequence[str] = vocab.CRYPTO_SYMBOLS,
                   keywords: Sequence[str] = vocab.CRYPTO_KEYWORDS) -> DataFrame:
     """Per-symbol search (X6 terms), English, no retweets, time window,
-    at most ``min(limit, 100)`` newest per symbol; then N2 + relevance."""
+    at most ``limit`` newest per symbol; then N2 + relevance."""
     symbols = list(symbols) if symbols else list(vocabulary)[:5]  # D10: declared order
     end = _ts(as_of)
     t = tweets.where((F.col("lang") == "en") & ~F.coalesce(F.col("is_retweet"), F.lit(False))
                      & F.col("created_at").between(end - _hours(hours_back), end))
     t = t.withColumn("symbol", F.explode(M.search_symbols("text", symbols)))
-    t = top_n_per_key(t, ["symbol"], [F.col("created_at").desc(), F.col("id").desc()], min(limit, 100))
+    t = top_n_per_key(t, ["symbol"], [F.col("created_at").desc(), F.col("id").desc()], limit)
     n = N.normalize_tweets(t, symbol_col="symbol", symbols=vocabulary)
     return n.where(M.relevant("text", "twitter", keywords, vocabulary))
 
@@ -95,6 +95,8 @@ def subreddit_posts(posts: DataFrame, as_of=None, subreddits: Sequence[str] | No
     if subreddits is not None:
         p = p.where(F.col("subreddit").isin(list(subreddits)))
     if sort_type == "top" and time_filter != "all":
+        if as_of is None:
+            raise ValueError(f"time filter {time_filter!r} needs as_of")
         end = _ts(as_of)
         start = F.unix_timestamp(end - _hours(TIME_FILTERS.get(time_filter, 24)))
         p = p.where(F.col("created_utc") >= start)
@@ -132,9 +134,9 @@ def crypto_threads(posts: DataFrame, comments: DataFrame, limit_per_subreddit: i
 # --- channels (telegram / discord) --------------------------------------------------
 
 def channel_messages(messages: DataFrame, as_of, channels: Sequence[str] | None = None,
-                     limit: int = 100, hours_back: int = 24, platform: str = "telegram",
+                     limit: int | None = 100, hours_back: int = 24, platform: str = "telegram",
                      strict: bool = False) -> DataFrame:
-    """Newest ``limit`` messages per channel inside the window,
+    """Newest ``limit`` (None: all) messages per channel inside the window,
     normalised, relevant, deduplicated by message id (D5/D6)."""
     if platform == "telegram":
         ch, ts, mid = "channel", "date", "message_id"
@@ -145,7 +147,8 @@ def channel_messages(messages: DataFrame, as_of, channels: Sequence[str] | None
         m = m.where(F.col(ch).isin(list(channels)))
     lo = _ts(as_of) - _hours(hours_back)
     m = m.where((F.col(ts) > lo) if strict else (F.col(ts) >= lo))
-    m = top_n_per_key(m, [ch], [F.col(ts).desc(), F.col(mid).desc()], limit)
+    if limit is not None:
+        m = top_n_per_key(m, [ch], [F.col(ts).desc(), F.col(mid).desc()], limit)
     n = N.normalize_telegram(m) if platform == "telegram" else N.normalize_discord(m)
     n = n.where(M.relevant("text", platform))
     return dedup_first(n, "id", [F.col("created_at").desc()])
@@ -192,14 +195,12 @@ FETCH_SOURCES = ["twitter", "reddit", "news", "telegram", "discord"]
 def fetch(content: DataFrame, source: str, as_of, symbol: str | None = None, limit: int = 100,
           hours_back: int = 24) -> DataFrame:
     """Latest ``limit`` content rows of one source within ``hours_back``,
-    optionally mentioning ``symbol``; reddit uses ``limit // 10`` posts."""
+    optionally mentioning ``symbol``; reddit uses a tenth of ``limit``, rounded up, in posts."""
     if source not in FETCH_SOURCES:
         raise ValueError(f"Unsupported source: {source}")
-    if not 1 <= limit <= 1000:
-        raise ValueError("limit must be in 1..1000")
-    if not 1 <= hours_back <= 168:
-        raise ValueError("hours_back must be in 1..168")
-    n = limit // 10 if source == "reddit" else limit
+    if limit < 1 or hours_back <= 0:
+        raise ValueError("limit and hours_back must be positive")
+    n = -(-limit // 10) if source == "reddit" else limit
     c = content.where((F.col("source") == source) & V.recent("created_at", as_of, hours_back, strict=False)
                       & (F.col("created_at") <= _ts(as_of)))
     if symbol:

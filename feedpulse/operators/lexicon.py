@@ -13,13 +13,12 @@ Plan shape (``lexicon_score``)::
 * Only lexicon hits survive the broadcast inner join; each document adds one
   zero row so documents without hits keep ``value = 0, confidence = 0``.
 * The lexicon side is broadcast only behind a row-count check.
-* Documents are unique keys, so the aggregate is skew-free; a single long
-  document is bounded by the 10,000-character validity limit.
+* Documents are unique keys, so the aggregate is skew-free.
 
 Rules and constants are those of the published VADER method (Hutto &
 Gilbert, 2014).  Tier A: valence sum, negation, normalisation.  Tier B
-(``emphasis=True``): all-caps emphasis, the "but" shift and '!'/'?'
-amplification.
+(``emphasis=True``): all-caps emphasis, degree words ("very", "slightly"), the
+"but" shift and '!'/'?' amplification.
 """
 
 from __future__ import annotations
@@ -71,6 +70,15 @@ def default_lexicon(spark: SparkSession, base: Mapping[str, float] | None = None
     return overlay(b, lexicon_frame(spark, vocab.CRYPTO_LEXICON_OVERLAY))
 
 
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """A lexicon in the published tab-separated form (``token, mean valence, ...``; no header) as
+    ``(token, valence)``; of repeated tokens the last line of the file does not matter, the
+    largest valence is taken."""
+    raw = spark.read.option("sep", "\t").option("quote", "").schema("token string, valence double").csv(path)
+    return (raw.where(F.col("token").isNotNull() & F.col("valence").isNotNull())
+            .groupBy(F.lower("token").alias("token")).agg(F.max("valence").alias("valence")))
+
+
 def word_form(raw: Column) -> Column:
     """Lexicon word form of one whitespace token: ASCII punctuation stripped
     from both ends when more than two characters remain, else the token."""
@@ -88,18 +96,20 @@ def lexicon_score(df: DataFrame, lexicon: DataFrame, id_col: str = "id",
                   text_col: str = "text", keep: Iterable[str] = (),
                   negators: list[str] | None = None, emphasis: bool = False,
                   model_name: str = "vader", max_broadcast_rows: int = MAX_LEXICON_ROWS,
-                  lexicon_rows: int | None = None) -> DataFrame:
+                  lexicon_rows: int | None = None, boosters: Mapping[str, float] | None = None) -> DataFrame:
     """M1: one score row per input row.
 
     Output: ``id_col, *keep, value, confidence, model_name, ok, hits`` where
-    ``ok`` is false for texts failing V1 after sanitising (they score 0, 0).
+    ``boosters`` (degree word -> added intensity; tier B, the published list by default) act on
+    the three words after them.
+    ``ok`` is false for texts that are empty after sanitising (they score 0, 0).
     """
     negators = vocab.NEGATORS if negators is None else list(negators)
     keep = list(keep)
     clean = sanitize(F.col(text_col))
     base = df.select(F.col(id_col), *[F.col(k) for k in keep], clean.alias("__clean"))
-    # sanitised text is already trimmed and single-spaced: V1 is its length
-    base = base.withColumn("__ok", F.length("__clean").between(1, vocab.MAX_TEXT_CHARS))
+    # sanitised text is already trimmed and single-spaced; long texts are scored whole
+    base = base.withColumn("__ok", F.coalesce(F.length("__clean") >= 1, F.lit(False)))
     # per-document constants ride along as grouping keys (functionally
     # dependent on the id), so no join back to the documents is needed
     carry = [id_col, *keep, "__ok"]
@@ -138,6 +148,17 @@ def lexicon_score(df: DataFrame, lexicon: DataFrame, id_col: str = "id",
         v = F.when(F.col("__mixed") & _isupper(F.col("w")),
                    v + F.signum(v) * vocab.CAPS_INCREMENT).otherwise(v)
     if emphasis:
+        boost = vocab.BOOSTERS if boosters is None else boosters
+        if boost:
+            by_word = F.create_map(*[F.lit(x) for w, b in boost.items() for x in (w.lower(), float(b))])
+
+            def degree(w: Column, damp: float) -> Column:
+                """What a degree word adds in the direction of the valence, capitals included."""
+                known = F.try_element_at(by_word, F.lower(word_form(w)))
+                loud = F.when(F.col("__mixed") & _isupper(w), F.lit(vocab.CAPS_INCREMENT)).otherwise(F.lit(0.0))
+                return F.coalesce(known + loud, F.lit(0.0)) * damp
+            added = sum((degree(F.col(p), d) for p, d in zip(("p1", "p2", "p3"), vocab.BOOST_DAMP)), F.lit(0.0))
+            v = F.when(F.col("valence").isNotNull(), v + F.signum(F.col("valence")) * added).otherwise(v)
         pos1 = F.col("__pos") + 1
         v = (F.when((F.col("__but") > 0) & (pos1 < F.col("__but")), v * vocab.BUT_BEFORE)
              .when((F.col("__but") > 0) & (pos1 > F.col("__but")), v * vocab.BUT_AFTER).otherwise(v))

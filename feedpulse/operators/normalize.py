@@ -5,7 +5,7 @@ created_at, metrics STRUCT, metadata STRUCT`` plus nullable platform columns;
 the platforms combine with ``unionByName(allowMissingColumns=True)`` (U1).
 
 Each normaliser applies the platform's drop rules as filters (empty text,
-minimum length, tombstones, empty after cleaning, V1 on the cleaned text) and
+minimum length, tombstones, empty after cleaning) and
 is a single narrow projection: no shuffle.
 """
 
@@ -32,8 +32,8 @@ def _cleaned(df: DataFrame, raw: Column) -> DataFrame:
 
 
 def _valid_clean() -> Column:
-    # sanitised text is trimmed: V1 is a length check, and "not empty" is implied
-    return F.length("__clean").between(1, vocab.MAX_TEXT_CHARS)
+    # long texts stay whole: V1's upper length is a flag for the caller, not a filter
+    return F.length("__clean") >= 1
 
 
 def normalize_tweets(df: DataFrame, symbol_col: str | None = None,

@@ -12,7 +12,6 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import mentions as M
 from . import fetch as FE
 from . import normalize as N
 
@@ -24,17 +23,14 @@ def top_posts(posts: DataFrame, n: int = 10, score_col: str = "score") -> DataFr
 
 def search_discord(messages: DataFrame, channels: DataFrame, query: str, as_of,
                    channel_ids: Sequence[int] | None = None, limit: int = 100,
-                   per_channel: int = 200, hours_back: int = 168, max_channels: int = 5) -> DataFrame:
-    """K5: week of history (<= ``per_channel`` newest per channel, relevant),
-    substring match on the cleaned text, newest first, ``limit``."""
-    m = messages
+                   hours_back: int = 168) -> DataFrame:
+    """K5: the whole week of every monitored (or given) channel, relevant messages, substring
+    match on the cleaned text; of all hits the newest ``limit``."""
     if channel_ids is None:
-        mon = FE.monitored_channels(channels).select("channel_id").distinct()
-        first = mon.orderBy("channel_id").limit(max_channels)  # bounded: max_channels rows
-        m = m.join(F.broadcast(first), "channel_id", "left_semi")
+        m = FE.monitored_messages(messages, channels)
     else:
-        m = m.where(F.col("channel_id").isin(list(channel_ids)))
-    hist = FE.channel_messages(m, as_of, limit=per_channel, hours_back=hours_back,
+        m = messages.where(F.col("channel_id").isin(list(channel_ids)))
+    hist = FE.channel_messages(m, as_of, limit=None, hours_back=hours_back,
                                platform="discord", strict=True)
     hits = hist.where(F.lower("text").contains(query.lower()))
     return hits.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit)
@@ -42,15 +38,12 @@ def search_discord(messages: DataFrame, channels: DataFrame, query: str, as_of,
 
 def search_telegram(messages: DataFrame, query: str, channels: Sequence[str], limit: int = 100
                     ) -> DataFrame:
-    """K6: ``limit // len(channels)`` newest matching messages per channel
-    (case-insensitive substring), normalised (no relevance filter), newest
-    first, ``limit``."""
+    """K6: messages of the channels that contain the query (case-insensitive substring),
+    normalised (no relevance filter); of all hits the newest ``limit``."""
     channels = list(channels)
     if not channels:
         raise ValueError("channels must not be empty")
-    per = limit // len(channels)
     m = messages.where(F.col("channel").isin(channels) & F.lower("text").contains(query.lower()))
-    m = FE.top_n_per_key(m, ["channel"], [F.col("date").desc(), F.col("message_id").desc()], per)
     n = N.normalize_telegram(m)
     return n.orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit)
 
@@ -66,7 +59,9 @@ def search_reddit(posts: DataFrame, query: str, as_of=None, subreddit: str = "al
     if not terms:
         raise ValueError("query must not be empty")
     p = posts if subreddit == "all" else posts.where(F.col("subreddit") == subreddit)
-    if time_filter != "all" and as_of is not None:
+    if time_filter != "all":
+        if as_of is None:
+            raise ValueError(f"time filter {time_filter!r} needs as_of")
         end = F.lit(as_of).cast("timestamp")
         start = F.unix_timestamp(end - F.make_dt_interval(F.lit(0), F.lit(FE.TIME_FILTERS.get(time_filter, 24))))
         p = p.where(F.col("created_utc") >= start)
@@ -79,8 +74,3 @@ def search_reddit(posts: DataFrame, query: str, as_of=None, subreddit: str = "al
     order = key.get(sort, key["relevance"]) + [F.col("id").asc()]
     top = p.orderBy(*order).limit(limit)
     return N.normalize_posts(top.drop("__hits"))
-
-
-def search_mentions(content: DataFrame, symbol: str, dialect: str = "twitter") -> DataFrame:
-    """Rows mentioning ``symbol`` under a platform dialect."""
-    return content.where(F.array_contains(M.mentions("text", dialect), symbol.upper()))

@@ -23,9 +23,9 @@ def data_lexicon(spark):
 
 def vader_rows(spark, sf, templated=False):
     """Lexicon score rows over the content table (data or injected vocabulary);
-    ``text_ok`` (V1 on the raw text) is computed in the same scan."""
-    from ..functions.validate import text_valid
-    c = A.content(spark, sf, templated=templated).withColumn("text_ok", text_valid("text"))
+    ``text_ok`` (the raw text is not blank) is computed in the same scan."""
+    from ..functions.validate import has_text
+    c = A.content(spark, sf, templated=templated).withColumn("text_ok", has_text("text"))
     keep = ["source", "created_at", "text_ok"]
     if templated:
         lx = L.lexicon_score(c, L.default_lexicon(spark), keep=keep)
@@ -95,7 +95,7 @@ def m2(spark, sf):
     return lx.select("id", r6("value").alias("value"), "hits")
 
 
-@register("M1B_emphasis_scores", sql=SM.lexicon_scores_tier_b(S.content(True), TPL_ENTRIES, vocab.NEGATORS))
+@register("M1B_emphasis_scores", sql=SM.lexicon_scores_tier_b(S.content(True), TPL_ENTRIES, vocab.NEGATORS, vocab.BOOSTERS))
 def m1b(spark, sf):
     # tier B: caps emphasis, the "but" shift, punctuation amplification
     c = A.content(spark, sf, templated=True)
@@ -103,6 +103,17 @@ def m1b(spark, sf):
     return lx.select("id", r6("value").alias("value"), "hits")
 
 
+#: Degree words that the invented prose has (the published ones never occur in it).
+DATA_BOOSTERS = {"the": 0.293, "and": 0.293, "in": -0.293, "die": 0.293, "la": -0.293, "el": 0.293}
+
+
+@register("M1B_degree_words", sql=SM.lexicon_scores_tier_b(S.content(), DATA_ENTRIES, L.DATA_NEGATORS, DATA_BOOSTERS))
+def m1b_degree(spark, sf):
+    lx = L.lexicon_score(A.content(spark, sf), data_lexicon(spark), negators=L.DATA_NEGATORS,
+                         emphasis=True, boosters=DATA_BOOSTERS)
+    return lx.select("id", r6("value").alias("value"), "hits")
+
+
 @register("X7_sentiment_label", sql=f"""
 SELECT id, {_label_sql('value')} AS label FROM ({S.stub_scores(S.content())}) s""")
 def x7(spark, sf):
@@ -178,18 +189,18 @@ def e8(spark, sf):
 
 
 @register("E4_performance_factor", sql=f"""
-SELECT id, model, succ_k, round(perf, 6) AS perf FROM ({SM.with_perf(_score_rows_sql())}) p""")
+SELECT id, model, succ_k, round(perf, 9) AS perf FROM ({SM.with_perf(_score_rows_sql())}) p""")
 def e4(spark, sf):
     f = E.performance_factor(E.with_fallback(score_rows(spark, sf)))
-    return f.select("id", "model", "succ_k", r6("perf").alias("perf"))
+    return f.select("id", "model", "succ_k", F.round("perf", 9).alias("perf"))
 
 
 @register("K8_rolling_mean_100", sql=f"""
-SELECT id, model, round(perf - 0.5, 6) AS rolling_mean FROM ({SM.with_perf(_score_rows_sql())}) p
+SELECT id, model, round(perf - 0.5, 9) AS rolling_mean FROM ({SM.with_perf(_score_rows_sql())}) p
 WHERE succ_k > 0""")
 def k8(spark, sf):
     f = E.performance_factor(E.with_fallback(score_rows(spark, sf)))
-    return f.where("succ_k > 0").select("id", "model", r6(F.col("perf") - 0.5).alias("rolling_mean"))
+    return f.where("succ_k > 0").select("id", "model", F.round(F.col("perf") - 0.5, 9).alias("rolling_mean"))
 
 
 @register("E2_adaptive_ensemble", sql=f"""

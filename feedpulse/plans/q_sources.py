@@ -33,7 +33,7 @@ def tweets_norm_sql():
 
 
 def _keep_clean(min_len=1):
-    return f"length(clean) >= {max(min_len, 1)} AND length(clean) <= 10000"
+    return f"length(clean) >= {max(min_len, 1)}"
 
 
 def posts_norm_sql():
@@ -284,13 +284,12 @@ def s11(spark, sf):
 @register("S12_fetch_api", sql=f"""
 WITH n AS ({telegram_norm_sql()})
 SELECT id FROM (SELECT id, created_at FROM n WHERE list_contains(string_split(symbols, ','), 'BTC')
-  AND created_at >= TIMESTAMP '{AS_OF}' - INTERVAL 168 HOUR AND created_at <= TIMESTAMP '{AS_OF}'
+  AND created_at >= (SELECT max(date) FROM ({S.telegram_messages()}) t) - INTERVAL 168 HOUR
   ORDER BY created_at DESC, id DESC LIMIT 100) x""")
 def s12(spark, sf):
-    n = N.normalize_telegram(A.telegram_messages(spark, sf))
-    # the date range of the fixture ends before AS_OF - 168h at small scales,
-    # so the API window is evaluated at the last fixture day instead
-    return FE.fetch(n, "telegram", AS_OF, symbol="BTC", limit=100, hours_back=168).select("id")
+    m = A.telegram_messages(spark, sf)
+    latest = m.agg(F.max("date")).first()[0]  # the API's "now" is the newest landed message
+    return FE.fetch(N.normalize_telegram(m), "telegram", latest, symbol="BTC", limit=100, hours_back=168).select("id")
 
 
 @register("S12_fetch_api_recent", sql=f"""

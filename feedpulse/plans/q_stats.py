@@ -33,16 +33,13 @@ def k3(spark, sf):
 
 
 @register("K5_search_discord", sql=f"""
-WITH mon AS (SELECT channel_id FROM (SELECT DISTINCT channel_id FROM ({S.discord_messages()}) d
-             WHERE {QS._monitored_sql()}) x ORDER BY channel_id LIMIT 5),
-m AS (SELECT * FROM ({S.discord_messages()}) m0 WHERE channel_id IN (SELECT channel_id FROM mon)
+WITH m AS (SELECT * FROM ({S.discord_messages()}) m0
+      WHERE channel_id IN (SELECT channel_id FROM ({S.discord_messages()}) d WHERE {QS._monitored_sql()})
       AND created_at > TIMESTAMP '{QS.AS_OF}' - INTERVAL {QS.WIDE_HOURS} HOUR),
-c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY created_at DESC, message_id DESC) AS rn
-      FROM m) x WHERE rn <= 200),
 n AS (SELECT * FROM (SELECT CAST(guild_id AS VARCHAR) || '_' || CAST(channel_id AS VARCHAR) || '_' || CAST(message_id AS VARCHAR) AS id,
         created_at, {S.sanitize(QS._discord_strip_sql('content'))} AS clean
-      FROM c WHERE content IS NOT NULL AND content <> '' AND length(content) >= 5) x
-      WHERE length(clean) BETWEEN 1 AND 10000 AND {ST.relevant('clean', 'discord')})
+      FROM m WHERE content IS NOT NULL AND content <> '' AND length(content) >= 5) x
+      WHERE length(clean) >= 1 AND {ST.relevant('clean', 'discord')})
 SELECT id FROM (SELECT DISTINCT id, created_at FROM n WHERE contains(lower(clean), 'the')) y
 ORDER BY created_at DESC, id DESC LIMIT 100""")
 def k5(spark, sf):
@@ -53,12 +50,10 @@ def k5(spark, sf):
 
 
 @register("K6_search_telegram", sql=f"""
-WITH m AS (SELECT * FROM ({S.telegram_messages()}) m0 WHERE contains(lower(text), 'the')),
-c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY date DESC, message_id DESC) AS rn
-      FROM m) x WHERE rn <= 10),
-n AS (SELECT * FROM (SELECT channel || '_' || CAST(message_id AS VARCHAR) AS id, date AS created_at,
-        {S.sanitize('text')} AS clean FROM c WHERE text IS NOT NULL AND text <> '' AND length(text) >= 5) x
-      WHERE length(clean) BETWEEN 1 AND 10000)
+WITH n AS (SELECT * FROM (SELECT channel || '_' || CAST(message_id AS VARCHAR) AS id, date AS created_at,
+        {S.sanitize('text')} AS clean FROM ({S.telegram_messages()}) m0
+        WHERE contains(lower(text), 'the') AND text <> '' AND length(text) >= 5) x
+      WHERE length(clean) >= 1)
 SELECT id FROM n ORDER BY created_at DESC, id DESC LIMIT 60""")
 def k6(spark, sf):
     chans = [f"@ch{i}" for i in range(6)]
@@ -73,7 +68,7 @@ WITH p AS (SELECT *, CAST(contains({low}, 'the') AS INTEGER) + CAST(contains({lo
 t AS (SELECT * FROM p WHERE hits > 0 ORDER BY hits DESC, score DESC, id LIMIT 30),
 n AS (SELECT id, {S.sanitize('full_text')} AS clean FROM (SELECT *, {S.strip_ws("coalesce(title, '') || '. ' || coalesce(selftext, '')")} AS full_text FROM t) x
       WHERE length(full_text) >= 10)
-SELECT id FROM n WHERE length(clean) BETWEEN 1 AND 10000"""
+SELECT id FROM n WHERE length(clean) >= 1"""
 
 
 @register("K7_search_reddit", sql=_k7_sql())
@@ -131,7 +126,7 @@ def a1w(spark, sf):
 
 def _union_sql():
     return f"""
-SELECT id, 'twitter' AS source, NULL AS channel FROM ({QS.tweets_norm_sql()}) a WHERE length(clean) >= 10 AND length(clean) <= 10000
+SELECT id, 'twitter' AS source, NULL AS channel FROM ({QS.tweets_norm_sql()}) a WHERE length(clean) >= 10
 UNION ALL SELECT id, 'reddit', subreddit FROM ({QS.posts_norm_sql()}) b
 UNION ALL SELECT id, 'reddit', NULL FROM ({QS.comments_norm_sql()}) c
 UNION ALL SELECT id, 'telegram', channel FROM ({QS.telegram_norm_sql()}) d
@@ -225,9 +220,6 @@ SELECT event_type,
 FROM r GROUP BY event_type"""
 
 
-# The bounded sketch equals the exact inverted-CDF order statistic while a
-# group holds at most ``accuracy`` rows (true at the check scale); beyond
-# that its rank error is at most n / accuracy.
 @register("A10_event_percentiles", sql=_pct_sql())
 def a10p(spark, sf):
     return AG.event_percentiles(A.request_log(spark, sf))

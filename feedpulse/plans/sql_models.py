@@ -19,7 +19,7 @@ def lexicon_scores(docs_sql: str, entries: dict, negators: list, keep: list[str]
     return f"""
 WITH d AS ({docs_sql}),
 b AS (SELECT id{ks}, {S.sanitize('text')} AS clean FROM d),
-v AS (SELECT *, coalesce(length(clean) BETWEEN 1 AND 10000, false) AS ok FROM b),
+v AS (SELECT *, coalesce(length(clean) >= 1, false) AS ok FROM b),
 l AS (SELECT id, list_transform(list_transform(string_split(clean, ' '),
         lambda t: CASE WHEN length({strip}) <= 2 THEN t ELSE {strip} END), lambda t: lower(t)) AS lw
       FROM v WHERE ok),
@@ -37,9 +37,17 @@ SELECT r.id{rks}, least(greatest(r.s / sqrt(r.s * r.s + {vocab.NORMALIZE_ALPHA})
 FROM r"""
 
 
-def lexicon_scores_tier_b(docs_sql: str, entries: dict, negators: list) -> str:
-    """M1 tier B: caps emphasis (mixed-case texts), the 'but' shift and
+def lexicon_scores_tier_b(docs_sql: str, entries: dict, negators: list, boosters: dict) -> str:
+    """M1 tier B: caps emphasis (mixed-case texts), degree words, the 'but' shift and
     '!'/'?' amplification on top of tier A.  Output: id, value, hits."""
+    degree_words = "MAP {" + ", ".join(f"{q(w.lower())}: CAST({float(b)!r} AS DOUBLE)" for w, b in boosters.items()) + "}"
+
+    def degree(k: int) -> str:
+        word = f"r[i - {k}]"
+        up = f"(upper({word}) = {word} AND lower({word}) <> {word})"
+        loud = f"CASE WHEN mixed AND {up} THEN {vocab.CAPS_INCREMENT} ELSE 0.0 END"
+        return (f"CASE WHEN i > {k} THEN coalesce(({degree_words})[lw[i - {k}]] + {loud}, 0.0) "
+                f"* {vocab.BOOST_DAMP[k - 1]} ELSE 0.0 END")
     vals = ", ".join(f"({q(k.lower())}, CAST({float(v)!r} AS DOUBLE))" for k, v in entries.items())
     neg = S.arr(negators) if negators else "CAST([] AS VARCHAR[])"
     def form(x):
@@ -50,7 +58,7 @@ def lexicon_scores_tier_b(docs_sql: str, entries: dict, negators: list) -> str:
     return f"""
 WITH d AS ({docs_sql}),
 b AS (SELECT id, {S.sanitize('text')} AS clean FROM d),
-v AS (SELECT *, coalesce(length(clean) BETWEEN 1 AND 10000, false) AS ok,
+v AS (SELECT *, coalesce(length(clean) >= 1, false) AS ok,
         least(length(clean) - length(replace(clean, '!', '')), 4) * {vocab.EXCLAIM_INCREMENT}
         + CASE WHEN length(clean) - length(replace(clean, '?', '')) > 3 THEN {vocab.QUESTION_INCREMENT_LARGE}
                WHEN length(clean) - length(replace(clean, '?', '')) > 1
@@ -60,10 +68,11 @@ l AS (SELECT id, r, list_transform(r, lambda w: {form('w')}) AS lw,
         list_bool_or(list_transform(r, lambda w: {isup})) AND list_bool_or(list_transform(r, lambda w: NOT {isup})) AS mixed
       FROM (SELECT id, string_split(clean, ' ') AS r FROM v WHERE ok) x),
 l2 AS (SELECT *, coalesce(list_position(lw, 'but'), 0) AS bi FROM l),
-t AS (SELECT id, lw, mixed, bi, unnest(r) AS w, unnest(lw) AS tok, generate_subscripts(lw, 1) AS i FROM l2),
+t AS (SELECT id, lw, r, mixed, bi, unnest(r) AS w, unnest(lw) AS tok, generate_subscripts(lw, 1) AS i FROM l2),
 lex AS (SELECT * FROM (VALUES {vals}) x(token, valence)),
 h0 AS (SELECT t.*, lex.valence AS val FROM t JOIN lex ON t.tok = lex.token),
-h1 AS (SELECT id, CASE WHEN mixed AND {isup} THEN val + sign(val) * {vocab.CAPS_INCREMENT} ELSE val END AS v1,
+h1 AS (SELECT id, (CASE WHEN mixed AND {isup} THEN val + sign(val) * {vocab.CAPS_INCREMENT} ELSE val END)
+           + sign(val) * (({degree(1)}) + ({degree(2)}) + ({degree(3)})) AS v1,
          i, bi, lw FROM h0),
 h AS (SELECT id,
         (CASE WHEN bi > 0 AND i < bi THEN v1 * {vocab.BUT_BEFORE} WHEN bi > 0 AND i > bi THEN v1 * {vocab.BUT_AFTER} ELSE v1 END)
@@ -117,7 +126,7 @@ f AS (SELECT id, source, created_at, model,
         CASE WHEN ok THEN model ELSE model || '_fallback' END AS model_name, ok FROM sc),
 k AS (SELECT *, sum(CAST(ok AS BIGINT)) OVER (PARTITION BY source, model ORDER BY created_at, id
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS succ_k FROM f)
-SELECT *, CASE WHEN succ_k > 0 THEN 0.5 + avg(CASE WHEN ok THEN confidence END) OVER (
+SELECT *, CASE WHEN succ_k > 0 THEN 0.5 + avg(CASE WHEN ok THEN CAST(confidence AS DECIMAL(18, 12)) END) OVER (
         PARTITION BY source, model ORDER BY succ_k RANGE BETWEEN {vocab.HISTORY_SIZE - 1} PRECEDING AND CURRENT ROW)
        ELSE 1.0 END AS perf
 FROM k"""
@@ -147,8 +156,8 @@ FROM f GROUP BY id, source"""
 
 
 def with_errors(ens_sql: str, content_sql: str) -> str:
-    """Raw text failing V1 -> ensemble_error (0, 0)."""
-    valid = f"coalesce(length({S.strip_ws('c.text')}) BETWEEN 1 AND 10000, false)"
+    """Null or blank raw text -> ensemble_error (0, 0)."""
+    valid = f"coalesce(length({S.strip_ws('c.text')}) >= 1, false)"
     return f"""
 SELECT e.id, e.source,
   CASE WHEN {valid} THEN e.value ELSE 0.0 END AS value,

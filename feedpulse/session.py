@@ -40,9 +40,12 @@ def local_session(cores: str | int | None = None, shuffle_partitions: int | None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder from the session; a scratch one only if unset."""
+    """Shared checkpoint folder from the session.  Only a local session without the setting (tests,
+    bench) gets a scratch folder; on a cluster a missing setting is an error."""
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="feedpulse-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, path)
     spark.sparkContext.setCheckpointDir(path)

@@ -17,6 +17,7 @@ Checkpoints and outputs live under the session's shared
 
 from __future__ import annotations
 
+import math
 import uuid
 from typing import Callable, Iterator, Sequence
 
@@ -32,11 +33,9 @@ from ..operators import fetch as FE
 from ..operators import normalize as N
 from ..session import checkpoint_dir
 
-# FIXED VALUES: cadence settings (R7): 60 s interval, 100 records per batch,
-# 10 concurrent tasks
+# FIXED VALUES: cadence settings (R7): 60 s interval, 100 records per batch
 POLL_INTERVAL = "60 seconds"
 RECORDS_PER_BATCH = 100
-MAX_CONCURRENT = 10
 
 
 # --- sources ------------------------------------------------------------------------
@@ -146,7 +145,8 @@ def stream_performance_factor(scores: DataFrame, history: int = vocab.HISTORY_SI
                 if len(hist) > history:
                     hist = hist[-history:]
                 k += 1
-            perfs.append(0.5 + sum(hist) / len(hist) if hist else 1.0)
+            # exactly rounded sum: the same in any order and for any batch size
+            perfs.append(0.5 + math.fsum(hist) / len(hist) if hist else 1.0)
             ks.append(k)
         state.update((hist, k))
         yield pd.DataFrame({"id": pdf["id"].astype("int64"), "source": pdf["source"],
@@ -192,14 +192,18 @@ def validated_writer(good_path: str, reject_path: str, predicate: Callable[[Data
 
 
 def run_foreach(df: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint: str,
-                output_mode: str = "append", available_now: bool = True, timeout_s: int = 600) -> None:
+                output_mode: str = "append", available_now: bool = True):
+    """Run a stream.  With ``available_now`` this waits, however long it takes, until all landed
+    data is written, and raises what stopped the stream; otherwise the running query is
+    returned to the caller."""
     q = (df.writeStream.foreachBatch(handler).outputMode(output_mode)
            .option("checkpointLocation", checkpoint).trigger(**trigger_kwargs(available_now)).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
+    if not available_now:
+        return q
+    q.awaitTermination()
     if q.exception():
         raise q.exception()
+    return q
 
 
 def run_to_parquet(df: DataFrame, name: str, output_mode: str = "append",
@@ -220,7 +224,9 @@ def latest_per_key(spark: SparkSession, upsert_log: str, keys: Sequence[str]) ->
     return FE.top_n_per_key(log, list(keys), [F.col("batch_id").desc()], 1).drop("batch_id")
 
 
-def persist_content(df: DataFrame, path: str, ts_col: str = "created_at") -> None:
-    """Content table partitioned by source and day."""
-    (df.withColumn("dt", F.to_date(ts_col)).write.mode("append")
-       .partitionBy("source", "dt").parquet(path))
+def persist_content(df: DataFrame, path: str, batch_id: int | str, ts_col: str = "created_at") -> None:
+    """Content table partitioned by source, day and batch.  A batch written again (a retry)
+    replaces its own partitions and no others; rows of one partition are written together."""
+    (df.withColumn("dt", F.to_date(ts_col)).withColumn("batch_id", F.lit(str(batch_id)))
+       .repartition("source", "dt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy("source", "dt", "batch_id").parquet(path))

@@ -97,6 +97,22 @@ QUESTION_INCREMENT_LARGE = 0.96
 BUT_BEFORE = 0.5
 BUT_AFTER = 1.5
 
+# FIXED VALUES: published VADER degree words; an intensifier adds BOOST, a
+# dampener takes it away, scaled by BOOST_DAMP at one, two and three words' distance.
+BOOST = 0.293
+BOOST_DAMP = (1.0, 0.95, 0.9)
+INTENSIFIERS = (
+    "absolutely amazingly awfully completely considerable considerably decidedly deeply effing enormous "
+    "enormously entirely especially exceptional exceptionally extreme extremely fabulously flipping flippin "
+    "frackin fracking fricking frickin frigging friggin fully fuckin fucking fuggin fugging greatly hella highly "
+    "hugely incredible incredibly intensely major majorly more most particularly purely quite really remarkably "
+    "so substantially thoroughly total totally tremendous tremendously uber unbelievable unbelievably unusually "
+    "utter utterly very").split()
+DAMPENERS = (
+    "almost barely hardly kinda kindof kind-of less little marginal marginally occasional occasionally partly "
+    "scarce scarcely slight slightly somewhat sorta sortof sort-of").split()
+BOOSTERS = {**{w: BOOST for w in INTENSIFIERS}, **{w: -BOOST for w in DAMPENERS}}
+
 # Published VADER negation words.
 NEGATORS = [
     "aint", "arent", "cannot", "cant", "couldnt", "darent", "didnt", "doesnt",

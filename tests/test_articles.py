@@ -6,7 +6,7 @@ P60 = "x" * 60
 
 
 def ex(html):
-    return extract_content(_TreeBuilder(), html)
+    return extract_content(_TreeBuilder(), html)[:3]
 
 
 def test_unclosed_paragraph_repeats_nested_text():
@@ -38,3 +38,10 @@ def test_selector_priority_and_empty():
 def test_short_fragments_dropped():
     _, text, _ = ex(f"<body><p>tiny</p><p>{P60}</p></body>")
     assert text == P60
+
+
+def test_unparsable_page_reports_its_error():
+    class Broken:
+        def build(self, html):
+            raise ValueError("bad page")
+    assert extract_content(Broken(), "<p>") == ("", "", "", "ValueError: bad page")
