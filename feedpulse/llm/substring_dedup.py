@@ -115,6 +115,8 @@ def _seeder(size: int, gram: int):
 
 def _first_docs(group: np.ndarray, prints: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each (group, print): the first document; entries come in order of document."""
+    if not len(doc):
+        return doc
     order = np.lexsort((prints, group))  # stable, so documents stay in order
     g, p = group[order], prints[order]
     head = np.append(True, (g[1:] != g[:-1]) | (p[1:] != p[:-1]))
