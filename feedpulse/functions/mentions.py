@@ -34,26 +34,32 @@ def _or(cols: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, cols) if cols else F.lit(False)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: lambdas that read an outer expression would
+    compute it again for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _template_hits(u: Column, template: str, right_bounded: bool, sym_arr: Column) -> Column:
     """Symbols S for which ``template`` (S + suffix) occurs in ``u``; S has no left boundary.
 
     Where the suffix starts with a separator, S ends a run of word characters that stands before
-    it: each run is matched once, from its first character on, and tested for its end.
-    Where the suffix is made of word characters and bounded on the right, S + suffix ends a run.
-    Else it is a plain substring test.  Every form is one pass over the text.
+    it: each run is matched once, from its first character on.  Where the suffix is made of word
+    characters, S + suffix lies within a run (at its end, if bounded on the right).  Either
+    way one linear pass over the text finds the few runs that matter.
     """
     suffix = template.replace("{S}", "")
     lit = P.literal_regex(suffix)
     if suffix[:1].isalnum() or suffix[:1] == "_":
-        if right_bounded:
-            runs = F.filter(F.split(u, P.NON_WORD + "+", -1), lambda r: r.endswith(suffix))
-            hits = F.filter(sym_arr, lambda s: F.exists(runs, lambda r: r.endswith(F.concat(s, F.lit(suffix)))))
-        else:
-            hits = F.filter(sym_arr, lambda s: u.contains(F.concat(s, F.lit(suffix))))
+        inside = (lambda r: r.endswith(suffix)) if right_bounded else (lambda r: r.contains(suffix))
+        runs = F.filter(F.split(u, P.NON_WORD + "+", -1), inside)
+        ends = (lambda r, s: r.endswith(F.concat(s, F.lit(suffix)))) if right_bounded else (
+            lambda r, s: r.contains(F.concat(s, F.lit(suffix))))
     else:
         bound = f"(?!{P.WORD})" if right_bounded else ""
         runs = F.regexp_extract_all(u, F.lit(f"(?<!{P.WORD})({P.WORD}++)(?={lit}{bound})"), 1)
-        hits = F.filter(sym_arr, lambda s: F.exists(runs, lambda r: r.endswith(s)))
+        ends = lambda r, s: r.endswith(s)
+    hits = _let(runs, lambda rs: F.filter(sym_arr, lambda s: F.exists(rs, lambda r: ends(r, s))))
     return F.when(u.contains(suffix), hits).otherwise(F.array().cast("array<string>"))
 
 
@@ -167,10 +173,10 @@ def search_symbols(c, symbols: Sequence[str] = vocab.CRYPTO_SYMBOLS,
                    terms: Sequence[str] = vocab.SEARCH_TERMS) -> Column:
     """Symbols whose search terms occur (case-insensitive substring), in
     declared order; explode it to get one row per (item, symbol)."""
-    low = F.lower(_col(c))
-    per = [F.when(_or([low.contains(t.replace("{S}", s).lower()) for t in terms]), F.lit(s))
-           for s in symbols]
-    return F.array_except(F.array(*per), F.array(F.lit(None).cast("string")))
+    ends = [t.lower().split("{s}") for t in terms]
+    wanted = F.array_distinct(F.array(*[F.lit(s) for s in symbols]))
+    return _let(F.lower(_col(c)), lambda low: F.filter(wanted, lambda s: _or(
+        [low.contains(F.concat(F.lit(a), F.lower(s), F.lit(b))) for a, b in ends])))
 
 
 def content_tags(platform: str, content_type: str = "text", lang=None) -> Column:

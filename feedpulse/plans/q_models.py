@@ -163,7 +163,7 @@ def _stub_factory():
     return C.KeywordStubModel()
 
 
-@register("M4_model_inference")
+@register("M4_model_inference", sql=SM.stub_classifier(f"SELECT id, {S.sanitize('text')} AS t FROM ({S.content(True)}) c", "finbert"))
 def m4(spark, sf):
     # user-model path (mapInPandas); a deterministic stub stands in for weights
     c = A.content(spark, sf, templated=True)
@@ -171,7 +171,7 @@ def m4(spark, sf):
     return s.select("id", "model", r6("value").alias("value"), r6("confidence").alias("confidence"), "ok")
 
 
-@register("M5_social_classifier")
+@register("M5_social_classifier", sql=SM.stub_classifier(f"SELECT id, out AS t FROM ({S.social_preprocess()}) c", "twitter_roberta"))
 def m5(spark, sf):
     c = A.content(spark, sf, templated=True)
     s = C.social_classifier_scores(c, _stub_factory)

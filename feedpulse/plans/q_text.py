@@ -47,14 +47,7 @@ def t4(spark, sf):
     return c.select("id", T.collapse_repeats("text").alias("out"))
 
 
-def _t5_sql():
-    x = S.sanitize("text")
-    x = f"regexp_replace({x}, {q(P.URL_TOKEN)}, '[URL]', 'g')"
-    x = f"regexp_replace({x}, {q(P.MENTION)}, '[USER]', 'g')"
-    return f"SELECT id, {S.collapse_repeats(x)} AS out FROM ({S.content(True)}) c"
-
-
-@register("T5_social_preprocess", sql=_t5_sql())
+@register("T5_social_preprocess", sql=S.social_preprocess())
 def t5(spark, sf):
     c = A.content(spark, sf, templated=True)
     return c.select("id", T.social_preprocess("text").alias("out"))

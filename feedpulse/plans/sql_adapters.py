@@ -145,3 +145,11 @@ def collapse_repeats(x: str) -> str:
     keep = (f"list_filter(list_zip({cs}, {p1}, {p2}), "
             f"lambda p: NOT (p[1] <> chr(10) AND coalesce(p[1] = p[2] AND p[1] = p[3], false)))")
     return f"array_to_string(list_transform({keep}, lambda p: p[1]), '')"
+
+
+def social_preprocess() -> str:
+    """T5 over the templated content: (id, out)."""
+    x = sanitize("text")
+    x = f"regexp_replace({x}, {q(P.URL_TOKEN)}, '[URL]', 'g')"
+    x = f"regexp_replace({x}, {q(P.MENTION)}, '[USER]', 'g')"
+    return f"SELECT id, {collapse_repeats(x)} AS out FROM ({content(True)}) c"

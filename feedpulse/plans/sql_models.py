@@ -85,6 +85,24 @@ r2 AS (SELECT id, hits, CASE WHEN s0 > 0 THEN s0 + amp WHEN s0 < 0 THEN s0 - amp
 SELECT id, round(least(greatest(sa / sqrt(sa * sa + {a}), -1.0), 1.0), 6) AS value, hits FROM r2"""
 
 
+def stub_classifier(texts_sql: str, model: str) -> str:
+    """M4 / M5 with the keyword stub: ``texts_sql`` gives (id, t); softmax and argmax of the logits
+    (negative words, 0.5, positive words); a blank text decodes to (0, 0, not ok)."""
+    from ..operators.classify import KeywordStubModel
+    stub = KeywordStubModel()
+
+    def count(words) -> str:
+        return f"len(list_filter(ws, lambda w: list_contains({S.arr(sorted(words))}, trim(w, '.,!?'))))"
+    return f"""
+WITH w AS (SELECT id, string_split(lower(t), ' ') AS ws, t <> '' AS ok FROM ({texts_sql}) x),
+l AS (SELECT id, ok, CAST({count(stub.neg)} AS DOUBLE) AS n, CAST({count(stub.pos)} AS DOUBLE) AS p FROM w),
+m AS (SELECT *, greatest(n, 0.5, p) AS top, exp(n) + exp(0.5) + exp(p) AS z FROM l)
+SELECT id, '{model}' AS model,
+  CASE WHEN NOT ok THEN 0.0 WHEN n = top THEN -1.0 WHEN 0.5 = top THEN 0.0 ELSE 1.0 END AS value,
+  CASE WHEN ok THEN round(exp(top) / z, 6) ELSE 0.0 END AS confidence, ok
+FROM m"""
+
+
 def score_rows(entries: dict, negators: list, templated: bool = False) -> str:
     """Long-form score rows: lexicon ('vader') + stub classifier ('transformer')."""
     c = S.content(templated)
