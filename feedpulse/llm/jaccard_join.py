@@ -14,6 +14,10 @@ its slack: it does not probe the segments with the longest lists, as long as wha
 still covers ``H + 1``.  A pair meets if either side probes a segment in which both agree.
 A set whose non-empty segments can't cover its differences also goes under every shingle.
 
+Candidates pass a filter that loses nothing: each set has a bitmap of the parities of its shingles'
+hashes, and two bitmaps never differ in more bits than the sets differ in shingles.  The
+filter is part of the join condition, so a list of many unlike sets sends few pairs on.
+
 Verification is exact, on sorted shingle sets.  Equal sets are one class before the join
 (only the class is joined).  In a list, all members are first paired with its smallest
 one; a list whose members are then in one component is done.  Members of different
@@ -35,7 +39,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, dropped, only, written
@@ -50,6 +54,8 @@ PAIR_COST, COMMON = 20.0, 0.3  # of the allocation: a chance match against an in
 EXACT, WITH_DELETIONS, DELETION, SINGLE = 0, 1, 2, 3
 HELD_ROWS = 100_000  # of one list that a task holds to know whether it has several keys
 NULL_ID = (1 << 63) - 1
+SKETCH_LONGS = 16  # 1024 parity bits of a set
+SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
 SIGNATURES = "sig long, key long, band int, kind int, slack int"
 
 
@@ -109,13 +115,24 @@ def _keys(owner: np.ndarray, shingle: np.ndarray, texts: int) -> tuple[np.ndarra
     return size, signed(mix((total[end] - total[end - size]) ^ size.astype(np.uint64)))
 
 
+def sketches(owner: np.ndarray, shingle: np.ndarray, texts: int) -> np.ndarray:
+    """Per text: parity of its shingles in each of the bitmap's places, as rows of int64."""
+    bits = SKETCH_LONGS * 64
+    place = (mix(shingle ^ np.uint64(0x8CB92BA72F3D8DD7)) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(owner * bits + place, minlength=texts * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(texts, bits), axis=1).view(np.int64)
+
+
 def _size_rows(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, words in chunks(batch, "text", BLANK_SPLIT, lower=True):
-                size, key = _keys(*shingle_sets(words, n), part.num_rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(size.astype(np.int64)), pa.array(key)],
-                                                 names=["doc", "size", "key"])
+                owner, shingle = shingle_sets(words, n)
+                size, key = _keys(owner, shingle, part.num_rows)
+                sketch = np.ascontiguousarray(sketches(owner, shingle, part.num_rows).T)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc"), pa.array(size.astype(np.int64)), pa.array(key), *map(pa.array, sketch)],
+                    names=["doc", "size", "key", *SKETCH])
     return run
 
 
@@ -268,6 +285,13 @@ def verified(pairs: DataFrame, docs: DataFrame, members: DataFrame, n: int) -> D
     return out
 
 
+def _may_link(one: str, other: str) -> Column:
+    """Whether the bitmaps differ in no more bits than linked sets of these sizes may differ."""
+    apart = sum((F.bit_count(F.col(f"{one}.{c}").bitwiseXOR(F.col(f"{other}.{c}"))) for c in SKETCH), F.lit(0))
+    allowed = (F.col(f"{one}.size") + F.col(f"{other}.size")) * (100 - PERCENT) / (100 + PERCENT)
+    return apart <= allowed
+
+
 def _probing(lists: DataFrame) -> DataFrame:
     """Adds whether a set probes the list: it passes over its longest ones within its slack."""
     longest = (Window.partitionBy("key", "band").orderBy(F.desc("listed"), "sig")
@@ -278,6 +302,7 @@ def _probing(lists: DataFrame) -> DataFrame:
 
 def link_classes(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """Components of classes: ``(node, root)`` for each class that links with another."""
+    classes = members.dropDuplicates(["key"]).select("key", "size", *SKETCH)
     signed_rows = docs.select("text").mapInArrow(_signature_rows(n), SIGNATURES)
     lists = written(signed_rows.repartition("sig").sortWithinPartitions("sig", "key", "kind")
                     .mapInArrow(_shared_rows, SIGNATURES + ", listed int"), "lists")
@@ -287,17 +312,20 @@ def link_classes(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
         probing.withColumn("hub", F.min("key").over(each)).withColumn("probed", F.max("probes").over(each))
         .filter("probed").select("sig", "key", "kind", "probes", "hub").distinct(), "open-lists")
     dropped(lists)
-    hubs = written(open_lists.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct(), "hubs")
+    hubs = open_lists.filter("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct()
+    hubs = written(hubs.join(classes.alias("one"), F.col("a") == F.col("one.key"))
+                   .join(classes.alias("other"), F.col("b") == F.col("other.key"))
+                   .filter(_may_link("one", "other")).select("a", "b"), "hubs")
     links = verified(hubs, docs, members, n)
     parts = written(components(links), "parts")
     # lists whose members are not yet in one component
     placed = (open_lists.join(parts.withColumnRenamed("node", "key"), "key", "left")
               .withColumn("part", F.coalesce("root", "key")).drop("root"))
     mixed = placed.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
-    unsettled = written(placed.join(mixed, "sig", "left_semi"), "unsettled")
+    unsettled = written(placed.join(mixed, "sig", "left_semi").join(classes, "key"), "unsettled")
     one, other = unsettled.filter("probes").alias("one"), unsettled.alias("other")
     rest = (one.join(other, F.col("one.sig") == F.col("other.sig"))
-            .filter("one.part <> other.part and not (one.kind = 2 and other.kind = 2)")
+            .filter("one.part <> other.part and not (one.kind = 2 and other.kind = 2)").filter(_may_link("one", "other"))
             .select(F.least("one.key", "other.key").alias("a"), F.greatest("one.key", "other.key").alias("b")).distinct()
             .join(hubs, ["a", "b"], "left_anti"))
     late = verified(written(rest, "rest"), docs, members, n)
@@ -311,9 +339,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Rows ``(id, n_shingles, component_id)``, one per input row."""
     rows = only(docs, doc=id_col, text=text_col)
     rows = rows.withColumn("doc", F.coalesce(F.col("doc").cast("long"), F.lit(NULL_ID)))
-    members = written(rows.mapInArrow(_size_rows(n), "doc long, size long, key long"), "members")
+    members = written(rows.mapInArrow(_size_rows(n), "doc long, size long, key long, " + ", ".join(f"{c} long" for c in SKETCH)),
+                      "members")
     parts = link_classes(rows, members.filter("size > 0"), n)
-    placed = (members.join(parts.withColumnRenamed("node", "key"), "key", "left")
+    placed = (members.select("doc", "size", "key").join(parts.withColumnRenamed("node", "key"), "key", "left")
               .withColumn("part", F.coalesce("root", "key")))
     lowest = (placed.filter("size > 0").groupBy("part").agg(F.min("doc").alias("lowest"), F.count("*").alias("n"))
               .filter("n > 1").drop("n"))
