@@ -16,7 +16,7 @@ Rows that repeat an id are one document: they stay or go together.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedpulse.llm.common import written
@@ -31,30 +31,31 @@ from feedpulse.llm.queries import read
 ID, TEXT = "doc_id", "text"
 
 
-def _staying(docs: DataFrame, kept_ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with an id of ``kept_ids``; a null id stays if null is kept."""
-    kept = kept_ids.select(F.col(ID).alias("kept_id")).distinct()
-    return docs.join(kept, docs[ID].eqNullSafe(kept["kept_id"]), "left_semi")
+def _without(docs: DataFrame, judged: DataFrame, kept: Column) -> DataFrame:
+    """The rows of ``docs`` but for ids that no judged row keeps.
+
+    The ids that go are the smaller side; as a table of known size they are broadcast while
+    they are small, and then no text is shuffled.
+    """
+    gone = judged.groupBy(F.col(ID).alias("gone_id")).agg(F.max(kept).alias("kept")).filter("not kept").select("gone_id")
+    gone = written(gone, "gone")
+    return docs.join(gone, docs[ID].eqNullSafe(gone["gone_id"]), "left_anti")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = identify(docs, [ID], TEXT, declared_col="lang", host_col="source")
-    return _staying(docs, found.filter("kept"))
+    return _without(docs, identify(docs, [ID], TEXT, declared_col="lang", host_col="source"), F.col("kept"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = exact_dedup(docs, ID, TEXT)
-    return _staying(docs, found.filter("kept")).dropDuplicates([ID])
+    return _without(docs, exact_dedup(docs, ID, TEXT), F.coalesce("kept", F.lit(True)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_components(docs, ID, TEXT)
-    return _staying(docs, found.filter(F.col("component_id").eqNullSafe(F.col(ID))))
+    return _without(docs, jaccard_components(docs, ID, TEXT), F.col("component_id").eqNullSafe(F.col(ID)))
 
 
 def benchmark_contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate(docs, read(spark, sf_dir, "benchmark"), ID, TEXT)
-    return _staying(docs, found.filter("not contaminated"))
+    return _without(docs, decontaminate(docs, read(spark, sf_dir, "benchmark"), ID, TEXT), ~F.col("contaminated"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
