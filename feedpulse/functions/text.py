@@ -114,9 +114,8 @@ def lower(c) -> Column:
 def parse_iso_timestamp(c) -> Column:
     """ISO-8601 string (``Z`` or offset or naive UTC) -> TIMESTAMP."""
     s = F.regexp_replace(_col(c), "Z$", "+00:00")
-    return F.coalesce(F.to_timestamp(s, "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX"),
-                      F.to_timestamp(s, "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"),
-                      F.to_timestamp(s, "yyyy-MM-dd HH:mm:ss[.SSSSSS]"))
+    forms = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]XXX", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
+    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in forms])
 
 
 def epoch_to_timestamp(c) -> Column:

@@ -26,6 +26,7 @@ from pyspark.sql.types import StringType
 from .. import vocab
 from ..functions import mentions as M
 from ..functions import text as T
+from ..sources.tables import read_feed_xml
 from . import fetch as FE
 
 REMOVED = {"script", "style", "nav", "footer", "header", "aside"}
@@ -198,6 +199,18 @@ def feed_entries(entries: DataFrame) -> DataFrame:
     )
 
 
+#: Elements of an RSS item; the publication time is an ISO string.
+FEED_ITEM = "guid string, title string, description string, link string, pubDate string, source string, position int"
+
+
+def landed_feed(spark, path: str) -> DataFrame:
+    """Raw RSS documents (one row per item) as entries for ``feed_entries``; a publication
+    time that can't be parsed is null (T13)."""
+    raw = read_feed_xml(spark, path, FEED_ITEM)
+    return raw.select("guid", "title", F.col("description").alias("summary"), "link",
+                      T.parse_iso_timestamp("pubDate").alias("published_at"), F.col("source").alias("source_feed"), "position")
+
+
 def news_articles(entries: DataFrame, pages: DataFrame, as_of, hours_back: int = 24,
                   per_feed: int | None = None, keywords: Sequence[str] = vocab.CRYPTO_KEYWORDS,
                   symbols: Sequence[str] = vocab.CRYPTO_SYMBOLS, page_url: str = "url",

@@ -53,7 +53,7 @@ def dedup_first(df: DataFrame, key: str | Sequence[str], order: Sequence[Column]
 
 def new_only(df: DataFrame, seen: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose id is not in the stored seen-id table."""
-    return df.join(seen.select(key).distinct(), key, "left_anti")
+    return df.join(seen.select(key), key, "left_anti")
 
 
 # --- tweets ------------------------------------------------------------------

@@ -163,7 +163,16 @@ def _stub_factory():
     return C.KeywordStubModel()
 
 
-@register("M4_model_inference", sql=SM.stub_classifier(f"SELECT id, {S.sanitize('text')} AS t FROM ({S.content(True)}) c", "finbert"))
+FINBERT_TEXTS = f"SELECT id, {S.sanitize('text')} AS t FROM ({S.content(True)}) c"
+ROBERTA_TEXTS = f"SELECT id, out AS t FROM ({S.social_preprocess()}) c"
+
+
+def _stub_sql(texts, model):
+    return f"""
+SELECT id, model, value, round(confidence, 6) AS confidence, ok FROM ({SM.stub_classifier(texts, model)}) s"""
+
+
+@register("M4_model_inference", sql=_stub_sql(FINBERT_TEXTS, "finbert"))
 def m4(spark, sf):
     # user-model path (mapInPandas); a deterministic stub stands in for weights
     c = A.content(spark, sf, templated=True)
@@ -171,7 +180,7 @@ def m4(spark, sf):
     return s.select("id", "model", r6("value").alias("value"), r6("confidence").alias("confidence"), "ok")
 
 
-@register("M5_social_classifier", sql=SM.stub_classifier(f"SELECT id, out AS t FROM ({S.social_preprocess()}) c", "twitter_roberta"))
+@register("M5_social_classifier", sql=_stub_sql(ROBERTA_TEXTS, "twitter_roberta"))
 def m5(spark, sf):
     c = A.content(spark, sf, templated=True)
     s = C.social_classifier_scores(c, _stub_factory)
@@ -229,6 +238,37 @@ def e9(spark, sf):
     return out.select("id", "source", r6("value").alias("value"), r6("confidence").alias("confidence"), "model_name")
 
 
+def composed_score_rows(spark, sf):
+    """Lexicon rows, and E1 over both classifiers (M4, M5) as the 'transformer' rows.  The two
+    classifiers' rows meet in one grouped aggregation by id."""
+    c = A.content(spark, sf, templated=True)
+    vader = vader_rows(spark, sf, templated=True).select(
+        "id", "source", "created_at", F.lit("vader").alias("model"), "value", "confidence", "ok", "text_ok")
+    both = C.classifier_scores(c, _stub_factory, model_name="finbert").unionByName(
+        C.social_classifier_scores(c, _stub_factory))
+    of = [F.max(F.when(F.col("model") == m, F.col(v))).alias(f"{m}_{v}")
+          for m in ("finbert", "twitter_roberta") for v in ("value", "confidence")]
+    wide = both.groupBy("id", "source", "created_at").agg(*of, F.min("ok").alias("ok"))
+    trans = E.transformer_ensemble(wide).select(
+        "id", "source", "created_at", F.lit("transformer").alias("model"), "value", "confidence", "ok",
+        F.lit(None).cast("boolean").alias("text_ok"))
+    return vader.unionByName(trans)
+
+
+_COMPOSED_SQL = SM.composed_rows(S.content(True), SM.lexicon_scores(S.content(True), TPL_ENTRIES, vocab.NEGATORS, ["source", "created_at"]),
+                                 FINBERT_TEXTS, ROBERTA_TEXTS)
+
+
+@register("E9_composed", sql=f"""
+SELECT id, source, round(value, 6) AS value, round(confidence, 6) AS confidence, model_name
+FROM ({SM.with_errors(SM.adaptive(_COMPOSED_SQL), S.content(True))}) x""")
+def e9_composed(spark, sf):
+    # the whole chain: lexicon and two classifiers -> E1 -> E4 -> E2 -> E9
+    c = A.content(spark, sf, templated=True)
+    out = E.score_content(c, composed_score_rows(spark, sf), mode="adaptive")
+    return out.select("id", "source", r6("value").alias("value"), r6("confidence").alias("confidence"), "model_name")
+
+
 @register("E7_batch_weighted", sql=f"""
 SELECT id, source, round(value, 6) AS value, round(confidence, 6) AS confidence, model_name
 FROM ({SM.with_errors(SM.weighted(_score_rows_sql(True)), S.content(True))}) x""")

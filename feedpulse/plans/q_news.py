@@ -57,6 +57,24 @@ def s5(spark, sf):
     return e.select("id", "link", "source_domain", ts_str("published_at").alias("published_at"))
 
 
+@register("S5_landed_xml", sql=f"""
+SELECT coalesce(guid, link, '') AS id, link,
+  lower(regexp_extract(source_feed, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://([^/?#]*)', 1)) AS source_domain,
+  {S.fmt_ts('published_at')} AS published_at
+FROM ({S.feed_entries()}) e""")
+def s5_xml(spark, sf):
+    # the entries are landed as raw RSS items, then read and parsed like a fetched feed
+    from ..streaming.streams import scratch
+    e = A.feed_entries(spark, sf)
+    items = e.select("guid", "title", F.col("summary").alias("description"), "link",
+                     F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("pubDate"),
+                     F.col("source_feed").alias("source"), "position")
+    path = scratch(spark, "s5-xml")
+    items.write.format("xml").option("rootTag", "rss").option("rowTag", "item").save(path)
+    out = AR.feed_entries(AR.landed_feed(spark, path))
+    return out.select("id", "link", "source_domain", ts_str("published_at").alias("published_at"))
+
+
 @register("K2_per_feed_cap", sql=f"""
 WITH e AS (SELECT coalesce(guid, link, '') AS id, link, source_feed, position FROM ({S.feed_entries()}) e0),
 d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY position, source_feed, link) AS rn FROM e) x WHERE rn = 1)

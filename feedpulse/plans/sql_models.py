@@ -99,10 +99,28 @@ l AS (SELECT id, ok, CAST({count(stub.neg)} AS DOUBLE) AS n, CAST({count(stub.po
 m AS (SELECT *, greatest(n, 0.5, p) AS top, exp(n) + exp(0.5) + exp(p) AS z FROM l)
 SELECT id, '{model}' AS model,
   CASE WHEN NOT ok THEN 0.0 WHEN n = top THEN -1.0 WHEN 0.5 = top THEN 0.0 ELSE 1.0 END AS value,
-  CASE WHEN ok THEN round(exp(top) / z, 6) ELSE 0.0 END AS confidence, ok
+  CASE WHEN ok THEN exp(top) / z ELSE 0.0 END AS confidence, ok
 FROM m"""
 
 
+def composed_rows(content_sql: str, lexicon_sql: str, finbert_texts: str, roberta_texts: str) -> str:
+    """E9's score rows: lexicon ('vader') and E1 over both classifiers ('transformer')."""
+    soc, news = S.arr(vocab.SOCIAL_SOURCES), S.arr(vocab.NEWS_SOURCES)
+    w = vocab.TRANSFORMER_WEIGHTS
+
+    def weight(model: str) -> str:
+        return (f"CASE WHEN list_contains({soc}, c.source) THEN {w['social'][model]} "
+                f"WHEN list_contains({news}, c.source) THEN {w['news'][model]} ELSE {w['default'][model]} END")
+    wf, wr = weight("finbert"), weight("twitter_roberta")
+    return f"""
+SELECT id, source, created_at, 'vader' AS model, value, confidence, ok FROM ({lexicon_sql}) lx
+UNION ALL
+SELECT c.id, c.source, c.created_at, 'transformer' AS model, f.value * ({wf}) + r.value * ({wr}) AS value,
+  f.confidence * ({wf}) + r.confidence * ({wr}) AS confidence, f.ok AND r.ok AS ok
+FROM ({content_sql}) c JOIN ({stub_classifier(finbert_texts, "finbert")}) f ON f.id = c.id
+JOIN ({stub_classifier(roberta_texts, "twitter_roberta")}) r ON r.id = c.id"""
+
+
 def score_rows(entries: dict, negators: list, templated: bool = False) -> str:
     """Long-form score rows: lexicon ('vader') + stub classifier ('transformer')."""
     c = S.content(templated)
