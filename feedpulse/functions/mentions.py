@@ -179,7 +179,7 @@ def search_symbols(c, symbols: Sequence[str] = vocab.CRYPTO_SYMBOLS,
         [low.contains(F.concat(F.lit(a), F.lower(s), F.lit(b))) for a, b in ends])))
 
 
-def content_tags(platform: str, content_type: str = "text", lang=None) -> Column:
+def content_tags(platform: str | Column, content_type: str = "text", lang=None) -> Column:
     """Metadata struct (language from the data when given)."""
     lang_col = _col(lang) if lang is not None else F.lit("en")
     return F.struct(lang_col.alias("language"), F.lit(platform).alias("platform"),

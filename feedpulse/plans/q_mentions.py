@@ -175,8 +175,8 @@ def a9(spark, sf):
 SELECT id, lang AS language, source AS platform, 'text' AS content_type FROM ({S.content()}) c""")
 def x8(spark, sf):
     c = A.content(spark, sf)
-    t = M.content_tags("twitter", lang="lang")
-    return c.select("id", t["language"].alias("language"), F.col("source").alias("platform"),
+    t = M.content_tags(F.col("source"), lang="lang")
+    return c.select("id", t["language"].alias("language"), t["platform"].alias("platform"),
                     t["content_type"].alias("content_type"))
 
 

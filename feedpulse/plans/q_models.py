@@ -324,11 +324,10 @@ FROM w"""
 @register("E1_transformer_ensemble", sql=_e1_sql())
 def e1(spark, sf):
     wide = _roberta_stub(A.content(spark, sf))
-    w = E.transformer_ensemble(wide).select("id", r6("value").alias("w_value"),
-                                            r6("confidence").alias("w_confidence"))
-    m = E.transformer_ensemble(wide, weighted=False).select("id", r6("value").alias("m_value"),
-                                                            r6("confidence").alias("m_confidence"))
-    return w.join(m, "id")
+    w = E.transformer_ensemble(wide).withColumnsRenamed({"value": "w_value", "confidence": "w_confidence"})
+    m = E.transformer_ensemble(w, weighted=False)
+    return m.select("id", r6("w_value").alias("w_value"), r6("w_confidence").alias("w_confidence"),
+                    r6("value").alias("m_value"), r6("confidence").alias("m_confidence"))
 
 
 @register("E5_E6_weight_lookup", sql=f"""
