@@ -246,7 +246,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     share = shares["share"] or 0.0
     out = rows.select("id", F.lit(0.0).alias("score"))
     if 0 < share < 1:
-        picked = [train.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample_per_class) for k in (0, 1)]
+        # the smallest hashes of each class; the cut before the sort leaves about twice the sample
+        order, top = F.pmod(F.xxhash64("id"), F.lit(1 << 40)), float(1 << 40)
+        sizes = {1: share * shares["n"], 0: (1 - share) * shares["n"]}
+        picked = [train.filter((F.col("label") == k) & (order < F.lit(min(1.0, (2 * sample_per_class + 100) / sizes[k]) * top)))
+                  .orderBy(order, "id").limit(sample_per_class) for k in (0, 1)]
         sample_ids = written(picked[0].union(picked[1]), "tox-sample")  # bounded: broadcast
         sample = written(rows.join(F.broadcast(sample_ids.select("id", F.col("label").alias("toxic"))), "id"), "tox-texts")
         known, weights, intercept = _fit(rows, sample, sample_ids, share)
