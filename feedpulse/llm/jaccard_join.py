@@ -20,9 +20,10 @@ filter is part of the join condition, so a list of many unlike sets sends few pa
 
 Verification is exact, on sorted shingle sets.  Equal sets are one class before the join
 (only the class is joined).  In a list, all members are first paired with its smallest
-one; a list whose members are then in one component is done.  Members of different
-components are paired with those that probe the list and verified too, so that no link
-between components is lost, while a large group of near copies costs its size, not its square.
+one; a list whose members are then in one component is done.  In the others, members of
+different components are paired with those that probe the list and verified too, first in a
+share of the lists, then, with the components found so far, in all.  So no link between
+components is lost, while a large group of near copies costs its size, not its square.
 
 Shingles and sets are told apart by 64-bit hashes.
 
@@ -54,6 +55,8 @@ PAIR_COST, COMMON = 20.0, 0.3  # of the allocation: a chance match against an in
 EXACT, WITH_DELETIONS, DELETION, SINGLE = 0, 1, 2, 3
 HELD_ROWS = 100_000  # of one list that a task holds to know whether it has several keys
 NULL_ID = (1 << 63) - 1
+#: Pairs between components are sought in one in so many lists, then in the next share.
+LIST_SHARES = (8, 1)
 SKETCH_LONGS = 16  # 1024 parity bits of a set
 SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
 SIGNATURES = "sig long, key long, band int, kind int, slack int"
@@ -316,23 +319,29 @@ def link_classes(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     hubs = written(hubs.join(classes.alias("one"), F.col("a") == F.col("one.key"))
                    .join(classes.alias("other"), F.col("b") == F.col("other.key"))
                    .filter(_may_link("one", "other")).select("a", "b"), "hubs")
-    links = verified(hubs, docs, members, n)
-    parts = written(components(links), "parts")
-    # lists whose members are not yet in one component
-    placed = (open_lists.join(parts.withColumnRenamed("node", "key"), "key", "left")
+    links, tested = verified(hubs, docs, members, n), hubs
+    for share in LIST_SHARES:
+        parts = written(components(links), "parts")
+        late = _between_parts(open_lists.filter(F.pmod("sig", F.lit(share)) == 0), parts, classes, tested)
+        links = links.union(verified(late, docs, members, n))
+        tested = tested.union(late)
+    return written(components(links), "parts")
+
+
+def _between_parts(lists: DataFrame, parts: DataFrame, classes: DataFrame, tested: DataFrame) -> DataFrame:
+    """Untested pairs that meet in a list, that may link, and that are not in one component yet."""
+    placed = (lists.join(parts.withColumnRenamed("node", "key"), "key", "left")
               .withColumn("part", F.coalesce("root", "key")).drop("root"))
     mixed = placed.groupBy("sig").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
     unsettled = written(placed.join(mixed, "sig", "left_semi").join(classes, "key"), "unsettled")
     one, other = unsettled.filter("probes").alias("one"), unsettled.alias("other")
-    rest = (one.join(other, F.col("one.sig") == F.col("other.sig"))
-            .filter("one.part <> other.part and not (one.kind = 2 and other.kind = 2)").filter(_may_link("one", "other"))
-            .select(F.least("one.key", "other.key").alias("a"), F.greatest("one.key", "other.key").alias("b")).distinct()
-            .join(hubs, ["a", "b"], "left_anti"))
-    late = verified(written(rest, "rest"), docs, members, n)
-    dropped(open_lists, unsettled, hubs)
-    if late.isEmpty():
-        return parts
-    return written(components(links.union(late)), "parts")
+    pairs = written(
+        one.join(other, F.col("one.sig") == F.col("other.sig"))
+        .filter("one.part <> other.part and not (one.kind = 2 and other.kind = 2)").filter(_may_link("one", "other"))
+        .select(F.least("one.key", "other.key").alias("a"), F.greatest("one.key", "other.key").alias("b")).distinct(), "pairs")
+    rest = written(pairs.join(tested, ["a", "b"], "left_anti"), "rest")
+    dropped(unsettled, pairs)
+    return rest
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = SHINGLE) -> DataFrame:
