@@ -106,8 +106,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         after = written(star(step, large=False), "small")
         dropped(current, step)
         current = after
-        # settled when all edges end in roots: no node that an edge leads to has an edge of its own
-        if current.join(current.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty():
+        # settled when the edges are stars: every node has one edge, and no node that an edge leads
+        # to has an edge of its own
+        if (current.groupBy("a").count().filter("count > 1").isEmpty()
+                and current.join(current.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty()):
             break
     else:
         raise RuntimeError(f"components did not settle within {rounds} rounds")

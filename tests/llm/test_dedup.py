@@ -108,6 +108,34 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def union_find(edges):
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    return {x: find(x) for x in root}
+
+
+def small_graph(seed):
+    """A path, or a random graph, of few nodes with shuffled ids."""
+    r = random.Random(str(seed))
+    ids = r.sample(range(1, 100), r.choice([5, 6, 8]))
+    edges = list(zip(ids, ids[1:])) if r.random() < .7 else [r.sample(ids, 2) for _ in ids]
+    return [tuple(r.sample(e, 2)) for e in edges]
+
+
+@pytest.mark.parametrize("edges", [[(3, 1), (4, 3), (5, 4), (5, 2)], *map(small_graph, range(6))], ids=str)
+def test_components_of_small_graphs_match_union_find(spark, edges):
+    # one graph a call: among others, another one that isn't settled would hide an early stop
+    got = [tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    assert sorted(got) == sorted(union_find(edges).items())
+
+
 def test_exact_dedup_odd_rows(frame):
     norm = [(d, BLANK.sub(" ", t or "")) for d, t in ODD_ROWS]
     for digest in (False, True):
