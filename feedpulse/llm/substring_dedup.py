@@ -60,13 +60,13 @@ def anchors_of(words: Words, size: int, gram: int) -> tuple[np.ndarray, np.ndarr
     span = size - gram + 1
     starts = np.flatnonzero(words.fits(size))
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, span), np.uint32)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, span), np.uint64)
     grams = words.windows(gram)
     at = _last_smallest(grams, starts, span)
     whole = mix(words.windows(size)[starts] ^ np.uint64(0x5851F42D4C957F2D))
-    prints = (whole >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    prints = np.where(whole == 0, np.uint64(1), whole)
     position, owner = np.unique(at, return_inverse=True)
-    table = np.zeros((len(position), span), dtype=np.uint32)
+    table = np.zeros((len(position), span), dtype=np.uint64)
     table[owner, at - starts] = prints
     return position, grams[position], table
 
@@ -105,7 +105,7 @@ def _seeder(size: int, gram: int):
                 mask = ((table != 0) << np.arange(table.shape[1])).sum(1).astype(np.int32)
                 # settled rows only pass through; they are dealt out evenly
                 key = np.where(done, mix(position.astype(np.uint64) ^ hashes ^ doc.view(np.uint64)), hashes)
-                prints = _binary(np.where(done[:, None], np.uint32(0), table))
+                prints = _binary(np.where(done[:, None], np.uint64(0), table))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(key)), pa.array(doc), pa.array(twin), pa.array(place), prints,
                      pa.array(np.where(done, mask, 0).astype(np.int32))],
@@ -137,7 +137,7 @@ def _extender(span: int):
             place = batch.column("place").to_numpy()
             mask = batch.column("mask").to_numpy().astype(np.int64)
             prints = batch.column("prints")
-            table = np.frombuffer(prints.buffers()[2], dtype=np.uint32)
+            table = np.frombuffer(prints.buffers()[2], dtype=np.uint64)
             table = table[prints.offset * span:(prints.offset + len(prints)) * span].reshape(-1, span)
             head = np.append(True, anchor[1:] != anchor[:-1])
             group = np.cumsum(head) - 1

@@ -192,6 +192,15 @@ def test_substring_removal_matches_brute_force(frame, seed):
     assert sorted(got, key=str) == brute_removed(rows)
 
 
+def test_substring_windows_equal_in_32_bits_are_kept(frame):
+    # windows around one anchor whose 64-bit hashes agree in 31 of the upper 32 bits
+    tail = " p127 p382 p82 p401 p177 p561"
+    rows = [(1, "w204 w470 w747 w183 w723 w957 w630" + tail), (2, "w947 w175 w598 w256 w157 w850 w553" + tail),
+            (3, "w846 w368 w453 w862 w211 w285 w830" + tail), (4, "w382 w401 w343 w675 w911 w727 w13" + tail)]
+    got = [tuple(r) for r in remove_repeats(frame(rows), with_text=False).collect()]
+    assert sorted(got, key=str) == brute_removed(rows)
+
+
 def test_substring_odd_rows_and_kept_text(frame):
     rows = ODD_ROWS + [(20, dict(ODD_ROWS)[7] + " tail"), (None, "a " * 400)]
     got = remove_repeats(frame(rows)).collect()
