@@ -14,7 +14,9 @@ may continue behind them: scripts, styles, menus, page headers, footers, sidebar
 elements whose class, id or role names a notice, an advert, comments or the like.
 
 Defined cases: a null, empty or text-free page has the empty text; cut-off markup at the end
-is dropped; a part that is never closed ends where the article begins, else with the page;
+is dropped; a part without closing tag ends with the element around it, else where the article
+begins, else with the page; of a part that holds an article (``article``, ``main`` or ``h1``) only
+what precedes and follows the article is left out;
 repeated rows and null ids or urls pass through row by row; an empty table gives no rows;
 other columns are ignored.
 """
@@ -24,7 +26,8 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,6 +59,10 @@ NOISE_NAMES = frozenset(
     "popup modal overlay pagination pager toolbar widget".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 NEVER_NOISE = frozenset("html body main".split())
+#: A next one of these ends the one before it.
+SIBLING = frozenset("p li dt dd tr td th option".split())
+#: Of these, a heading is kept without what follows it.
+HEADING_ONLY = frozenset("header nav footer aside".split())
 
 #: Prior counts (inside, outside) and the least cost of a tag, by kind of tag.
 PRIOR = {"content": (50.0, 1.0, 0.01), "other": (5.0, 5.0, 0.5)}
@@ -101,10 +108,77 @@ def events(page: str) -> list[tuple[str, bool, str]]:
     return out
 
 
+def _ends(found: list[tuple[str, bool, str]]) -> dict[int, int]:
+    """For each element that ends, by its first event: the event behind it.  An element without
+    closing tag ends where the one around it does; no closing tag reaches out of an article."""
+    ends: dict[int, int] = {}
+    scopes: list[tuple[list[int], Counter]] = [([], Counter())]  # open elements, by the article around them
+    barriers: Counter = Counter()
+
+    def close(upto: int) -> str:
+        stack, names = scopes[-1]
+        i = stack.pop()
+        names[found[i][0]] -= 1
+        ends[i] = upto
+        return found[i][0]
+
+    for i, (name, closing, _) in enumerate(found):
+        if not name or name in VOID:
+            continue
+        stack, names = scopes[-1]
+        if name in BARRIER:
+            if not closing:
+                scopes.append(([i], Counter([name])))
+                barriers[name] += 1
+            elif barriers[name]:
+                while found[scopes[-1][0][0]][0] != name:
+                    barriers[found[scopes[-1][0][0]][0]] -= 1
+                    while scopes[-1][0]:
+                        close(i)
+                    scopes.pop()
+                while len(scopes[-1][0]) > 1:
+                    close(i)
+                close(i + 1)
+                scopes.pop()
+                barriers[name] -= 1
+        elif not closing:
+            if stack and found[stack[-1]][0] == name and name in SIBLING or name == "body" and names["head"]:
+                while close(i) != ("head" if name == "body" else name):
+                    pass
+            stack.append(i)
+            names[name] += 1
+        elif names[name]:
+            while found[stack[-1]][0] != name:
+                close(i)
+            close(i + 1)
+    return ends
+
+
 def without_noise(found: list[tuple[str, bool, str]]) -> list[tuple[str, bool, str]]:
-    """The events outside of parts that are never article text; ``"|"`` stands for a part."""
-    out, i, depth, unclosed = [], 0, 0, set()
+    """The events outside of parts that are never article text; ``"|"`` stands for a part.
+    Of a part that holds an article, only what precedes and follows the article goes."""
+    ends = _ends(found)
+    articles = [j for j, (name, closing, rest) in enumerate(found)
+                if name in BARRIER and not closing and not _is_noise(name, rest, False)]
+    heads = [j for j, (name, closing, _) in enumerate(found) if name == "h1" and not closing]
+
+    def core(i: int, stop: int) -> tuple[int, int]:
+        """First and past-the-last event of the articles, or else of the text from a heading on."""
+        first, last = bisect_right(articles, i), bisect_left(articles, stop) - 1
+        if first <= last:
+            return articles[first], max(ends.get(articles[first], stop), ends.get(articles[last], stop))
+        at = bisect_right(heads, i)
+        if at < len(heads) and heads[at] < stop:
+            return heads[at], ends.get(heads[at], stop) if found[i][0] in HEADING_ONLY else stop
+        return stop, stop
+
+    out, i, depth = [], 0, 0
+    cuts: list[tuple[int, int]] = []  # from where on, to where what follows an article goes
     while i < len(found):
+        if cuts and i >= cuts[-1][0]:
+            i = max(i, cuts.pop()[1])
+            out.append(("|", False, ""))
+            continue
         name, closing, rest = found[i]
         if name in BARRIER:
             depth = max(0, depth + (-1 if closing else 1))
@@ -112,16 +186,17 @@ def without_noise(found: list[tuple[str, bool, str]]) -> list[tuple[str, bool, s
             if name in VOID:
                 i += 1
                 continue
-            end = None if name in unclosed else _closing(found, i)
-            if end is None:
-                unclosed.add(name)
-                end = next((j for j in range(i + 1, len(found)) if found[j][0] in ("article", "main", "h1") and not found[j][1]),
-                           len(found)) - 1
             if name in BARRIER:
                 depth -= 1
             if name not in INLINE:
                 out.append(("|", False, ""))
-            i = end + 1
+            if i in ends:
+                begin, end = core(i, ends[i])
+                if end < ends[i]:
+                    cuts.append((end, ends[i]))
+            else:
+                begin = min([at[k] for at in (articles, heads) if (k := bisect_right(at, i)) < len(at)], default=len(found))
+            i = begin
             continue
         if not (closing and name in NOISE):
             out.append(found[i])
@@ -129,16 +204,6 @@ def without_noise(found: list[tuple[str, bool, str]]) -> list[tuple[str, bool, s
     return out
 
 
-def _closing(found: list[tuple[str, bool, str]], i: int) -> int | None:
-    name, level = found[i][0], 0
-    for j in range(i, len(found)):
-        if found[j][0] == name:
-            level += -1 if found[j][1] else 1
-            if not level:
-                return j
-    return None
-
-
 def _known(name: str) -> str:
     return name if name in KNOWN_NAMES else "other"
 

@@ -50,6 +50,20 @@ def test_other_layouts(spark, table):
     assert got == [want] * 4 + ["", "", "", "", "no tags at all"]
 
 
+def test_articles_in_and_behind_noise_are_kept(spark, table):
+    article = "<article><h1>Head</h1><p>One two three.</p><p>Four five.</p></article>"
+    want = "Head One two three. Four five."
+    got = extract(
+        spark, table,
+        "<div class=banner>Cookies<article><p>A b</p><div class=ad>x</div><p>C d</p></article>",
+        f"<body><form action=x><nav>Home News</nav>{article}<input><p>Sign up now</p></form></body>",
+        f"<body><div class='site has-banner'><div class=row>Menu</div>{article}<div>More</div></div></body>",
+        "<form><p>Before</p><h1>Head</h1><p>One two three.</p><div class=ad>x</div><p>Four five.</p></form>",
+        f"<div><p class=ad>Buy<div class=ad>now</div></div>{article}",
+        "<div class=ad>" * 20000 + "x" + "</div>" * 20000 + article)
+    assert got == ["A b C d"] + [want] * 5
+
+
 def test_main_text_odd_pages(spark, table):
     pages = spark.createDataFrame([(1, None, None), (1, None, None), (None, "u", "<p>" * 20000 + "deep")], PAGES)
     assert sorted((tuple(r) for r in extract_main_text(pages).collect()), key=str) == sorted(
