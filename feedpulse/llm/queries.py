@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators: production parameters, whole tables."""
+"""Registered queries of the operators: production parameters, whole tables."""
 
 from __future__ import annotations
 
@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .decontaminate import decontaminate
+from .divergence import divergence
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_components
 from .language import declared_in_markup, identify
 from .main_text import extract_main_text
+from .manifest import LOWER, UPPER, leaf_digest, manifest
 from .packing import pack
 from .sharding import SHARDS, shard
 from .substring_dedup import remove_repeats
+from .token_counts import token_counts
 from .toxicity import score_toxicity
 from .url_trust import url_verdicts
 
@@ -79,6 +82,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(read(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checked against the manifest: texts whose A-Z are lower-cased, on a fifth of the rows."""
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = leaf_digest(*[F.translate(c, UPPER, LOWER) if c == "text" else F.col(c) for c in columns])
+    held = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, tampered).otherwise(
+        leaf_digest(*[F.col(c) for c in columns]))
+    return manifest(read(spark, sf_dir, "documents"), columns, held=held)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return token_counts(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

@@ -20,7 +20,7 @@ _U = np.uint64
 _BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C55, 0xD6E8FEB86659FD93
 
 #: Byte classes; bytes of multi-byte characters are always word bytes.
-BLANK_SPLIT, ALNUM_SPLIT = "blank", "alnum"
+BLANK_SPLIT, ALNUM_SPLIT, ALPHA_SPLIT = "blank", "alnum", "alpha"
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,7 +40,7 @@ def _word_bytes(split: str) -> np.ndarray:
         table[0x20] = False
         table[0x09:0x0E] = False
     else:
-        table[ord("0"):ord("9") + 1] = True
+        table[ord("0"):ord("9") + 1] = split == ALNUM_SPLIT
         table[ord("a"):ord("z") + 1] = True
         table[ord("A"):ord("Z") + 1] = True
     return table
@@ -162,5 +162,39 @@ def chunks(batch: pa.RecordBatch, text: str, split: str = BLANK_SPLIT, lower: bo
         row = upto
 
 
+def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Runs of whole texts of at most ``limit`` bytes, or of one text that is longer."""
+    row, rows = 0, len(offsets) - 1
+    while row < rows:
+        upto = int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1
+        upto = min(max(upto, row + 1), rows)
+        yield row, upto
+        row = upto
+
+
+def word_strings(data: np.ndarray, offsets: np.ndarray, split: str, lower: bool) -> tuple[pa.Array, np.ndarray]:
+    """All words of the texts as one string array, and each text's first word in it (one more
+    entry at the end)."""
+    is_word = _word_bytes(split)[data]
+    before = np.zeros(len(data), dtype=bool)
+    before[1:] = is_word[:-1]
+    before[offsets[:-1][offsets[:-1] < len(data)]] = False
+    start = np.flatnonzero(is_word & ~before)
+    at = np.cumsum(is_word, dtype=np.int32 if len(data) < 1 << 31 else np.int64)
+    letters = data[is_word]
+    if lower:
+        letters = np.where((letters >= ord("A")) & (letters <= ord("Z")), letters + np.uint8(32), letters)
+    begin = np.append(at[start].astype(np.int64) - 1, len(letters))
+    found = pa.Array.from_buffers(pa.large_string(), len(start), [None, pa.py_buffer(begin), pa.py_buffer(letters)])
+    return found, np.searchsorted(start, offsets)
+
+
+def string_hashes(strings: pa.Array) -> np.ndarray:
+    """64-bit hash of each string."""
+    data, offsets = text_buffers(strings)
+    hashed = _spans(_byte_values(False)[data], _BYTE_BASE, offsets[:-1], offsets[1:])
+    return mix(hashed ^ np.diff(offsets).astype(np.uint64))
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
