@@ -35,7 +35,10 @@ from pyspark.sql import functions as F
 
 from .common import only, written
 
-LIMIT, PART_BYTES, ENTRIES = 512, 1 << 24, 4096
+LIMIT, PART_BYTES = 512, 1 << 25
+#: Entries of a dictionary in a row, documents in a batch.
+ENTRIES, DOCS = 4096, 512
+NUMBERS = pa.list_(pa.int32())
 
 # FIXED VALUES: the pattern of the byte-level pre-tokenizer
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -43,8 +46,8 @@ BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 #: (a test tries each); a text with others is cut by the library itself.
 AGREED = r"[\u0000-ԯḀ-⁯₠-₿　-ヿ一-龥가-힣]*"
 
-#: A document (``once`` and ``more`` are numbers of pre-tokens it has once and ``times`` times), or some
-#: entries of the part's dictionary, numbered from ``first``.
+#: A document, or some entries of the part's dictionary, numbered from ``first``.  ``once`` and ``more`` are the
+#: numbers of pre-tokens that the document has once and ``times`` times: ascending, the first one and then steps.
 PARTS = ("part long, {id} bytes long, known long, once array<int>, more array<int>, times array<int>, "
          "first int, entries array<string>")
 
@@ -111,27 +114,27 @@ def _scan(definition: Callable[[], str], part_bytes: int):
         cutter = PreTokens(definition())
         vocabulary = cutter.vocabulary()
         part, size, numbers = TaskContext.get().partitionId() << 32, 0, {}
+        kinds = {"bytes": pa.int64(), "known": pa.int64(), "once": NUMBERS, "more": NUMBERS, "times": NUMBERS,
+                 "first": pa.int32(), "entries": pa.list_(pa.string())}
 
-        def dictionary(kind: pa.DataType) -> pa.RecordBatch:
-            entries = list(numbers)
-            rows = [entries[i:i + ENTRIES] for i in range(0, len(entries), ENTRIES)]
-            return batch_of(pa.nulls(len(rows), kind), first=pa.array(range(0, len(entries), ENTRIES), pa.int32()),
-                            entries=pa.array(rows, pa.list_(pa.string())))
-
-        def batch_of(ids: pa.Array, **given: pa.Array) -> pa.RecordBatch:
-            numbers_of = pa.list_(pa.int32())
-            kinds = {"bytes": pa.int64(), "known": pa.int64(), "once": numbers_of, "more": numbers_of, "times": numbers_of,
-                     "first": pa.int32(), "entries": pa.list_(pa.string())}
+        def rows(ids: pa.Array, **given: pa.Array) -> pa.RecordBatch:
             columns = [pa.array([part] * len(ids), pa.int64()), ids, *[given.get(k, pa.nulls(len(ids), v)) for k, v in kinds.items()]]
             return pa.RecordBatch.from_arrays(columns, names=["part", "id", *kinds])
 
+        def dictionary(kind: pa.DataType) -> pa.RecordBatch:
+            entries = list(numbers)
+            at = range(0, len(entries), ENTRIES)
+            return rows(pa.nulls(len(at), kind), first=pa.array(at, pa.int32()),
+                        entries=pa.array([entries[i:i + ENTRIES] for i in at], kinds["entries"]))
+
         kind = None
         for batch in batches:
             kind = batch.schema.field("id").type
+            texts, begin, docs = batch.column("text"), 0, []
             for row in range(batch.num_rows):
-                text = batch.column("text")[row].as_py() or ""
+                text = texts[row].as_py() or ""
                 known, found = cutter.frequencies(text)
-                once, more, times = [], [], []
+                once, more = [], []
                 for pre_token, n in found.items():
                     pieces = vocabulary.get(pre_token)
                     if pieces is not None:
@@ -139,14 +142,18 @@ def _scan(definition: Callable[[], str], part_bytes: int):
                     elif n == 1:
                         once.append(numbers.setdefault(pre_token, len(numbers)))
                     else:
-                        more.append(numbers.setdefault(pre_token, len(numbers)))
-                        times.append(n)
+                        more.append((numbers.setdefault(pre_token, len(numbers)), n))
+                once = np.sort(np.array(once, np.int32))
+                more = np.array(sorted(more), np.int32).reshape(-1, 2)
                 length = len(text.encode())
-                once.sort()
-                yield batch_of(batch.column("id").slice(row, 1), bytes=pa.array([length]), known=pa.array([known]),
-                               **{k: pa.array([v], pa.list_(pa.int32())) for k, v in (("once", once), ("more", more), ("times", times))})
+                docs.append((length, known, np.diff(once, prepend=0), np.diff(more[:, 0], prepend=0), more[:, 1]))
                 size += length
-                if size >= part_bytes:
+                full = size >= part_bytes
+                if full or len(docs) == DOCS or row + 1 == batch.num_rows:
+                    yield rows(batch.column("id").slice(begin, len(docs)),
+                               **{k: pa.array(list(v), kinds[k]) for k, v in zip(kinds, zip(*docs))})
+                    begin, docs = row + 1, []
+                if full:
                     yield dictionary(kind)
                     part, size, numbers = part + 1, 0, {}
         if kind is not None:
@@ -178,10 +185,13 @@ def _sum(docs: pa.Table, counts: pa.Table) -> pa.Table:
     total = docs.column("known").to_numpy().copy()
     for numbers, times in (("once", None), ("more", "times")):
         of = docs.column(numbers).combine_chunks()
-        value = pieces[of.flatten().to_numpy()] * (1 if times is None else docs.column(times).combine_chunks().flatten().to_numpy())
+        lengths = pa.compute.list_value_length(of).to_numpy()
+        ends = np.cumsum(lengths)
+        running = np.append(0, np.cumsum(of.flatten().to_numpy(), dtype=np.int64))
+        numbered = running[1:] - np.repeat(running[ends - lengths], lengths)
+        value = pieces[numbered] * (1 if times is None else docs.column(times).combine_chunks().flatten().to_numpy())
         before = np.append(0, np.cumsum(value))
-        ends = np.cumsum(pa.compute.list_value_length(of).to_numpy())
-        total += before[ends] - before[np.append(0, ends[:-1])]
+        total += before[ends] - before[ends - lengths]
     return pa.table({"id": docs.column("id"), "n_bytes": docs.column("bytes"), "n_tokens": pa.array(total, pa.int64())})
 
 
