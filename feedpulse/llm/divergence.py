@@ -34,12 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, only, written
+from .common import only, written
 from .words import ALPHA_SPLIT, signed, slices, string_hashes, text_buffers, word_strings
 
 SCALE, MIN_DOCS, TOP, DIGEST_BITS = 1_000_000_000, 3, 200, 64
 #: Sources in a tile, counts in a bucket (about), and numbers in a block of terms by sources.
-TILE, BUCKET, CELLS = 256, 1 << 20, 1 << 18
+TILE, BUCKET, CELLS = 256, 1 << 16, 1 << 18
 CHUNK_BYTES, PART_BYTES = 1 << 23, 1 << 25
 
 #: Rows of counts (``own`` only where the part has several strings of that digest), and rows of spellings.
@@ -119,7 +119,7 @@ def _counter(bits: int, part_bytes: int):
 
 
 def term_counts(docs: DataFrame, digest_bits: int = DIGEST_BITS, part_bytes: int = PART_BYTES) -> tuple[DataFrame, DataFrame]:
-    """``docs(lang, source, text)`` -> counts ``(lang, source, digest, split, n, docs)`` and
+    """``docs(lang, source, text)`` -> counts ``(lang, source, digest, split, n, docs)`` by part, and
     spellings ``(digest, split, term)``.  ``split`` is '' but for digests of several strings."""
     counted = written(docs.mapInArrow(_counter(digest_bits, part_bytes), COUNTED), "term-parts")
     spelt = counted.filter("spelling is not null").select("part", "digest", "spelling")
@@ -134,7 +134,6 @@ def term_counts(docs: DataFrame, digest_bits: int = DIGEST_BITS, part_bytes: int
              .unionByName(named.filter("own is null").withColumn("split", F.col("spelling")).drop("spelling")))
     keys = ["lang", "source", "digest", "split"]
     counts = plain.select(*keys, "n", "docs").unionByName(named.select(*keys, "n", "docs"))
-    counts = written(counts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "term-counts")
     split_up = spelt.join(several, "digest", "left_semi").select("digest", F.col("spelling").alias("split")).distinct()
     terms = (spelling.filter("term = last").select("digest", F.lit("").alias("split"), "term")
              .unionByName(split_up.withColumn("term", F.col("split"))))
@@ -142,9 +141,10 @@ def term_counts(docs: DataFrame, digest_bits: int = DIGEST_BITS, part_bytes: int
 
 
 def share(n: Column, total: Column, kinds: Column) -> Column:
-    """p as an exact integer: the product may pass 64 bits, so it is a decimal."""
+    """p as an exact integer; where the product passes 64 bits, it is a decimal."""
     wide = "decimal(38,0)"
-    return F.call_function("div", (n.cast(wide) + 1) * F.lit(SCALE).cast(wide), (total + kinds).cast(wide)) + 1
+    p = F.when(n < 1 << 33, F.call_function("div", (n + 1) * F.lit(SCALE).cast("long"), total + kinds))
+    return p.otherwise(F.call_function("div", (n.cast(wide) + 1) * F.lit(SCALE).cast(wide), (total + kinds).cast(wide))) + 1
 
 
 def apart(p: Column, q: Column) -> Column:
@@ -187,11 +187,13 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     counts, terms = term_counts(docs, digest_bits, part_bytes)
     key = ["digest", "split"]
 
-    kept = written(counts.groupBy("lang", *key).agg(F.sum("docs").alias("docs"), F.sum("n").alias("of_lang"))
-                   .filter(F.col("docs") >= min_docs).drop("docs"), "kept-terms")
-    langs = kept.groupBy("lang").agg(F.count("*").alias("kinds"), F.sum("of_lang").alias("lang_total"))
-    used = written(counts.drop("docs").join(kept, ["lang", *key]), "kept-counts")
-    dropped(counts)
+    # one shuffle by term serves the sums by source, the language's counts and the choice of kept terms
+    of_term = Window.partitionBy("lang", *key)
+    summed = (counts.repartition("lang", *key).groupBy("lang", *key, "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    used = written(summed.withColumns({"of_lang": F.sum("n").over(of_term), "in_docs": F.sum("docs").over(of_term),
+                                       "kind": (F.row_number().over(of_term.orderBy("source")) == 1).cast("int")})
+                   .filter(F.col("in_docs") >= min_docs).drop("docs", "in_docs"), "kept-counts")
+    langs = used.groupBy("lang").agg(F.sum("kind").alias("kinds"), F.sum("n").alias("lang_total"))
     totals = used.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     place = (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("long")
     groups = (docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
@@ -217,7 +219,7 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     groups_in = (groups.join(sizes, "lang").withColumn("tile", cut)
                  .withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)))
                  .select(*[F.col(c).alias(c) for c in ("lang", "tile", "bucket", "place")],  # names of their own
-                         share(F.lit(0), F.col("total"), F.col("kinds")).alias("absent")))
+                         share(F.lit(0).cast("long"), F.col("total"), F.col("kinds")).alias("absent")))
     at = ["lang", "tile", "bucket"]
     sums = (terms_in.groupBy(*at).cogroup(groups_in.groupBy(*at))
             .applyInArrow(_pair_sums, "lang string, place long, values array<long>")

@@ -24,12 +24,13 @@ from __future__ import annotations
 
 import json
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,8 +57,7 @@ class PreTokens:
     """Cuts texts as ``tokenizers`` does, and counts the pieces of a pre-token."""
 
     def __init__(self, definition: str):
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_str(definition)
+        self.definition = definition
         spec = json.loads(definition)
         added = spec["added_tokens"]
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
@@ -70,6 +70,17 @@ class PreTokens:
                            and spec["normalizer"] is None)
         self.pattern, self.agreed = regex.compile(BYTE_LEVEL), regex.compile(AGREED)
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+        return Tokenizer.from_str(self.definition)
+
+    @cached_property
+    def alphabet(self):
+        """Bytes in the model's spelling."""
+        from tokenizers import pre_tokenizers
+        return pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
     def cut(self, text: str) -> list[str]:
         if self.by_pattern:
             if self.agreed.fullmatch(text):
@@ -92,8 +103,7 @@ class PreTokens:
     def pieces(self, pre_token: str) -> int:
         if not self.by_pattern:
             return len(self.tokenizer.model.tokenize(pre_token))
-        # one pre-token, in the model's alphabet of bytes
-        return sum(len(self.tokenizer.model.tokenize(p)) for p, _ in _BYTES(pre_token))
+        return sum(len(self.tokenizer.model.tokenize(p)) for p, _ in self.alphabet.pre_tokenize_str(pre_token))
 
     def vocabulary(self) -> dict[str, int]:
         """The vocabulary's strings that can be pre-tokens, with their pieces."""
@@ -104,15 +114,10 @@ class PreTokens:
         return {s: self.pieces(s) for s in {decode([t]) for t in self.tokenizer.get_vocab(with_added_tokens=False)} if s}
 
 
-def _BYTES(text: str) -> Iterable[tuple[str, tuple[int, int]]]:
-    from tokenizers import pre_tokenizers
-    return pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(text)
-
-
-def _scan(definition: Callable[[], str], part_bytes: int):
+def _scan(sent: Broadcast, part_bytes: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = PreTokens(definition())
-        vocabulary = cutter.vocabulary()
+        definition, vocabulary = sent.value
+        cutter = PreTokens(definition)
         part, size, numbers = TaskContext.get().partitionId() << 32, 0, {}
         kinds = {"bytes": pa.int64(), "known": pa.int64(), "once": NUMBERS, "more": NUMBERS, "times": NUMBERS,
                  "first": pa.int32(), "entries": pa.list_(pa.string())}
@@ -161,10 +166,10 @@ def _scan(definition: Callable[[], str], part_bytes: int):
     return scan
 
 
-def _count(definition: Callable[[], str]):
+def _count(sent: Broadcast):
     """Entries come sorted by pre-token: each distinct one is counted once."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = PreTokens(definition())
+        cutter = PreTokens(sent.value[0])
         last, pieces = None, 0
         for batch in batches:
             out = []
@@ -199,17 +204,19 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                  part_bytes: int = PART_BYTES) -> DataFrame:
     """Rows ``(id, n_bytes, n_tokens, over_limit)``, one per input row.
 
-    ``tokenizer`` is the path of a ``tokenizers`` file; the driver reads it (some MB) and sends it to the tasks.
+    ``tokenizer`` is the path of a ``tokenizers`` file; the driver reads it and sends it and the pieces of its
+    vocabulary's strings to the tasks (some MB).
     """
     with open(tokenizer, encoding="utf-8") as f:
-        sent = docs.sparkSession.sparkContext.broadcast(f.read())
+        definition = f.read()
+    sent = docs.sparkSession.sparkContext.broadcast((definition, PreTokens(definition).vocabulary()))
     rows = only(docs, id=id_col, text=text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    parts = written(rows.mapInArrow(_scan(lambda: sent.value, part_bytes), PARTS.format(id=f"id {kind},")), "token-parts")
+    parts = written(rows.mapInArrow(_scan(sent, part_bytes), PARTS.format(id=f"id {kind},")), "token-parts")
     entries = parts.filter("entries is not null").select("part", "first", F.posexplode("entries").alias("at", "entry"))
     entries = entries.select("part", (F.col("first") + F.col("at")).alias("number"), "entry")
     counts = (entries.repartition("entry").sortWithinPartitions("entry")
-              .mapInArrow(_count(lambda: sent.value), "part long, number int, pieces int"))
+              .mapInArrow(_count(sent), "part long, number int, pieces int"))
     counts = written(counts, "token-pieces")
     out = (parts.filter("entries is null").select("part", "id", "bytes", "known", "once", "more", "times").groupBy("part")
            .cogroup(counts.groupBy("part")).applyInArrow(_sum, f"id {kind}, n_bytes long, n_tokens long"))
