@@ -6,16 +6,15 @@ contributes the fallback (0, 0) (E8) - rows never vanish.
 
 The rolling performance history (E4) is the only order-dependent piece.  A
 plain ``Window.partitionBy(source, model)`` would put each (source, model)
-stream into a single task, so it is computed as a distributed prefix sum:
-
-1. local running success count / confidence sum inside time buckets
-   (``partitionBy(source, model, bucket)``: many small partitions);
-2. bucket totals -> cumulative offsets (one row per bucket, small);
-3. global success index ``k`` and prefix sum ``S(k)`` per row (exact
-   DECIMAL arithmetic, so differences of prefix sums are exact);
-4. the sum of the last ``n`` successes is ``S(k) - S(k - n)``; ``S(k - n)``
-   comes from an equi-join on ``(source, model, k - n)`` - evenly
-   distributed, no skew even if one source holds a third of the rows.
+stream into a single task, so rows are cut into ranges of (key, time, id):
+
+1. inside a range, running success count and confidence sum, and the sum of the
+   last ``n`` successes as a difference of running sums (exact DECIMAL arithmetic);
+2. range totals -> cumulative offsets (one row per range and key, small);
+3. halo: each range gets the last ``n`` successes of the ranges before it, which its
+   first ``n`` rows still reach, as one array of at most ``n`` sums per range and key.
+
+No row is joined with another; ranges are even whatever the keys and times are.
 """
 
 from __future__ import annotations
@@ -26,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
+from .prefix import PART, ordered_parts
 
 DEC = "decimal(38,18)"
 
@@ -76,53 +76,77 @@ def with_fallback(scores: DataFrame) -> DataFrame:
 
 def performance_factor(scores: DataFrame, partition_by: Sequence[str] = ("source", "model"),
                        order_by: Sequence[str] = ("created_at", "id"), history: int = vocab.HISTORY_SIZE,
-                       bucket_seconds: int = 3600, ts_col: str = "created_at",
-                       materialize: bool = True) -> DataFrame:
+                       carried: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """``0.5 + mean(confidence of the last <= history successes)``.
 
     The current row counts when it succeeded; failures never enter the
     history; an empty history gives 1.0.  Adds ``perf`` and ``succ_k``.
-
-    The prefix sum reads its input in several branches (running sums, bucket
-    totals, look-back join); ``materialize`` cuts the lineage once with a
-    reliable checkpoint in the shared ``spark.checkpoint.dir`` so an
-    expensive upstream (the lexicon job) runs once and survives executor loss.
+    ``carried`` is the history that rows start from (``history_tail`` of earlier rows).
     """
-    keys = list(partition_by)
-    if materialize:
-        from ..session import checkpoint_dir
-        checkpoint_dir(scores.sparkSession)  # the session's shared folder (set only if absent)
-        scores = scores.checkpoint(eager=True)
+    # the key as one struct, whose null fields are equal to each other
+    keys, key = ["__key"], F.struct(*partition_by).alias("__key")
+    part = [PART, *keys]
+    none = F.lit(0).cast(DEC)
     ok = F.coalesce(F.col("ok"), F.lit(False))
-    conf_dec = F.when(ok, F.col("confidence")).otherwise(F.lit(0.0)).cast(DEC)
-    b = scores.withColumn("__b", F.floor(F.unix_micros(F.col(ts_col)) / F.lit(bucket_seconds * 1_000_000)))
-    b = b.withColumn("__okc", ok.cast("long")).withColumn("__cd", conf_dec)
-    w_local = (Window.partitionBy(*keys, "__b").orderBy(*order_by)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    b = (b.withColumn("__lk", F.sum("__okc").over(w_local))
-          .withColumn("__ls", F.sum("__cd").over(w_local)))
-    # bucket totals -> exclusive cumulative offsets (one row per key+bucket)
-    tot = b.groupBy(*keys, "__b").agg(F.sum("__okc").alias("__tk"), F.sum("__cd").alias("__ts"))
-    w_off = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*keys, "__b",
-                     F.coalesce(F.sum("__tk").over(w_off), F.lit(0)).alias("__ok_off"),
-                     F.coalesce(F.sum("__ts").over(w_off), F.lit(0).cast(DEC)).alias("__s_off"))
-    # the offsets table is derived: AQE sizes it at runtime (measured shuffle
-    # statistics) and turns this join into a broadcast when it is small, so
-    # no counting job re-runs the windowed upstream
-    g = (b.join(off, [*keys, "__b"])
-          .withColumn("succ_k", F.col("__lk") + F.col("__ok_off"))
-          .withColumn("__S", (F.col("__ls") + F.col("__s_off")).cast(DEC)))
-    # prefix sum at success index k - history (successes only are unique on k)
-    look = (g.where(ok).select(*[F.col(k) for k in keys], F.col("succ_k").alias("__kk"),
-                               F.col("__S").alias("__S_prev")))
-    g = g.withColumn("__kk", F.col("succ_k") - history)
-    g = g.join(look, [*keys, "__kk"], "left")
-    n = F.least(F.col("succ_k"), F.lit(history))
-    window_sum = F.col("__S") - F.coalesce(F.col("__S_prev"), F.lit(0).cast(DEC))
-    perf = F.when(F.col("succ_k") > 0, F.lit(0.5) + (window_sum.cast("double") / n)).otherwise(F.lit(1.0))
-    return g.withColumn("perf", perf).drop("__b", "__okc", "__cd", "__lk", "__ls", "__ok_off",
-                                           "__s_off", "__S", "__kk", "__S_prev")
+    rows = ordered_parts(scores, partition_by, order_by, parts)
+    if carried is not None:
+        carried = carried.select(key, "succ_k", "confidence")
+    rows = rows.withColumns({"__key": key, "__ok": ok, "__cd": F.when(ok, F.col("confidence")).otherwise(F.lit(0.0)).cast(DEC)})
+
+    running = Window.partitionBy(*part).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = rows.withColumns({"__lk": F.sum(F.col("__ok").cast("long")).over(running), "__ls": F.sum("__cd").over(running)})
+    successes = Window.partitionBy(*part, "__ok").orderBy(*order_by)
+    before = F.coalesce(F.lag("__ls", history).over(successes), none)
+    local = local.withColumn("__recent", F.when(F.col("__ok"), F.col("__ls") - before))
+    local = local.withColumn("__recent", F.coalesce(F.last("__recent", ignorenulls=True).over(running), none))
+
+    # successes before each range: one row per range and key
+    totals = rows.groupBy(*part).agg(F.sum(F.col("__ok").cast("long")).alias("__n"))
+    if carried is not None:
+        earlier = carried.groupBy(*keys).agg(F.max("succ_k").alias("__n")).withColumn(PART, F.lit(-1))
+        totals = totals.unionByName(earlier)
+    ordered = Window.partitionBy(*keys).orderBy(PART)
+    offsets = totals.withColumn("__off", F.sum("__n").over(ordered) - F.col("__n")).where(F.col(PART) >= 0)
+
+    # halo: success k of a key reaches the ranges whose offset lies in [k, k + history)
+    tails = (local.where("__ok").join(offsets, part)
+             .where(F.col("__lk") > F.col("__n") - history)
+             .select(*keys, (F.col("__off") + F.col("__lk")).alias("__k"), "__cd"))
+    if carried is not None:
+        tails = tails.unionByName(carried.select(*keys, F.col("succ_k").alias("__k"), F.col("confidence").cast(DEC).alias("__cd")))
+    tails = tails.withColumn("__cell", F.floor(F.col("__k") / history))
+    cells = F.array_distinct(F.array(F.floor(F.col("__off") / history), F.floor((F.col("__off") - history + 1) / history)))
+    reached = (offsets.where("__off > 0").withColumn("__cell", F.explode(cells)).join(tails, [*keys, "__cell"])
+               .where((F.col("__k") <= F.col("__off")) & (F.col("__k") > F.col("__off") - history))
+               .groupBy(*part).agg(F.sort_array(F.collect_list(F.struct("__k", "__cd")), asc=False).alias("__last")))
+    start = F.struct(none.alias("sum"), F.array(none).alias("sums"))
+    # sums of the last 0, 1, 2, ... successes before the range
+
+    def one_more(acc: Column, x: Column) -> Column:
+        total = (acc["sum"] + x["__cd"]).cast(DEC)
+        return F.struct(total.alias("sum"), F.concat(acc["sums"], F.array(total)).alias("sums"))
+    sums = F.aggregate("__last", start, one_more)["sums"]
+    halo = offsets.join(reached.select(*part, sums.alias("__halo")), part, "left").select(*part, "__off", "__halo")
+
+    g = local.join(halo, part).withColumn("succ_k", F.col("__lk") + F.col("__off"))
+    open_places = F.least(F.lit(history) - F.col("__lk"), F.size("__halo") - 1)
+    from_halo = F.when((F.col("__lk") < history) & F.col("__halo").isNotNull(),
+                       F.element_at("__halo", (open_places + 1).cast("int"))).otherwise(none)
+    total = (F.col("__recent") + from_halo).cast("double")
+    perf = F.when(F.col("succ_k") > 0, F.lit(0.5) + total / F.least(F.col("succ_k"), F.lit(history))).otherwise(F.lit(1.0))
+    return g.withColumn("perf", perf).select(*scores.columns, "succ_k", "perf")
+
+
+def history_tail(scored: DataFrame, carried: DataFrame | None = None, partition_by: Sequence[str] = ("source", "model"),
+                 history: int = vocab.HISTORY_SIZE) -> DataFrame:
+    """The last successes per key, ``(keys, succ_k, confidence)``, at most ``history`` each: what
+    ``performance_factor`` needs to go on after the rows of ``scored`` (its output)."""
+    rows = scored.where("ok").select(*partition_by, "succ_k", "confidence")
+    if carried is not None:
+        rows = rows.unionByName(carried)
+    newest = rows.groupBy(F.struct(*partition_by).alias("__key")).agg(F.max("succ_k").alias("__top"))
+    return (rows.withColumn("__key", F.struct(*partition_by)).join(newest, "__key")
+            .where(F.col("succ_k") > F.col("__top") - history).drop("__top", "__key"))
 
 
 def performance_factor_window(scores: DataFrame, partition_by: Sequence[str] = ("source", "model"),
@@ -212,8 +236,7 @@ def transformer_ensemble(wide: DataFrame, finbert: str = "finbert", roberta: str
 
 
 def score_content(content: DataFrame, score_rows: DataFrame, mode: str = "adaptive",
-                  text_col: str = "text", partition_by: Sequence[str] = ("source", "model"),
-                  bucket_seconds: int = 3600) -> DataFrame:
+                  text_col: str = "text", partition_by: Sequence[str] = ("source", "model")) -> DataFrame:
     """Ensemble score per content row.
 
     ``score_rows`` are the long-form per-model rows (e.g. M1 output plus a
@@ -228,7 +251,7 @@ def score_content(content: DataFrame, score_rows: DataFrame, mode: str = "adapti
     carried = "text_ok" in score_rows.columns
     carry = ["text_ok"] if carried else []
     if mode == "adaptive":
-        filled = performance_factor(filled, partition_by=partition_by, bucket_seconds=bucket_seconds)
+        filled = performance_factor(filled, partition_by=partition_by)
         ens = adaptive_ensemble(filled, carry=carry)
     elif mode == "weighted":
         ens = weighted_ensemble(filled, carry=carry)

@@ -22,6 +22,22 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written_table
+
+PART = "__part"
+
+
+def ordered_parts(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], parts: int | None = None) -> DataFrame:
+    """``df`` cut into ranges of (keys, order), the range's number in ``PART``, as a table.
+
+    Ranges have about the same number of rows whatever the keys and times are: a key with a third of the
+    rows, or a burst on one timestamp, spreads over many.  The table fixes the cut: range bounds are
+    sampled, so two jobs would not cut alike.  ``parts`` is the number of ranges (by default what
+    the session's shuffles have).
+    """
+    ranges = df.repartitionByRange(*([parts] if parts else []), *keys, *order_by)
+    return written_table(ranges.withColumn(PART, F.spark_partition_id()), "parts")
+
 
 BUCKET = "__bkt"
 

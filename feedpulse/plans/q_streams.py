@@ -1,6 +1,6 @@
 """Registered queries: Structured Streaming jobs drained with ``availableNow``
 into parquet under the shared checkpoint folder and read back (R1-R6, R8,
-S14).  Their final results are deterministic for in-order input, so most
+S14).  Their final results don't depend on how the input came in batches, so most
 have a SQL oracle equal to the batch semantics."""
 
 from __future__ import annotations
@@ -32,18 +32,16 @@ SELECT DISTINCT id FROM (SELECT CAST(id AS VARCHAR) AS id, {S.sanitize('text')}
   FROM ({S.tweets()}) t WHERE len({SX.search_symbols('text', vocab.CRYPTO_SYMBOLS[:5], vocab.TRACK_TERMS)}) > 0
   AND text <> '') x WHERE length(clean) >= 10 AND {SX.relevant('clean', 'twitter')}""")
 def r1_stream(spark, sf):
-    s = ST.tweet_stream(A.tweets_from(_content_stream(spark, sf)))
-    out = ST.run_to_parquet(s.select("id", "text", "created_at"), "r1")
-    return spark.read.parquet(out).select("id")
+    s = ST.tweet_stream(A.tweets_from(_content_stream(spark, sf)), columns=["id", "text", "created_at"])
+    return ST.run_deduplicated(s, "r1").select("id")
 
 
 @register("R2_telegram_stream", sql=f"""
 SELECT DISTINCT id FROM ({QS.telegram_norm_sql()}) n WHERE channel IN ('@ch1', '@ch2')
   AND {SX.relevant('clean', 'telegram')}""")
 def r2(spark, sf):
-    s = ST.telegram_stream(A.telegram_from(_content_stream(spark, sf)), ["@ch1", "@ch2"])
-    out = ST.run_to_parquet(s.select("id", "created_at"), "r2")
-    return spark.read.parquet(out).select("id")
+    s = ST.telegram_stream(A.telegram_from(_content_stream(spark, sf)), ["@ch1", "@ch2"], columns=["id", "created_at"])
+    return ST.run_deduplicated(s, "r2").select("id")
 
 
 @register("R3_discord_stream", sql=f"""
@@ -53,17 +51,19 @@ WHERE NOT coalesce(d.author_is_bot, false) AND ({QS._monitored_sql().replace('ch
   AND {SX.relevant('n.clean', 'discord')}""")
 def r3(spark, sf):
     static = A.discord_messages(spark, sf).select("channel_id", "channel_name").distinct()
-    s = ST.discord_stream(A.discord_from(_content_stream(spark, sf)), static)
-    out = ST.run_to_parquet(s.select("id", "created_at"), "r3")
-    return spark.read.parquet(out).select("id")
+    s = ST.discord_stream(A.discord_from(_content_stream(spark, sf)), static, columns=["id", "created_at"])
+    return ST.run_deduplicated(s, "r3").select("id")
 
 
 @register("R4_dedup_stream", sql="SELECT doc_id AS id FROM documents")
 def r4(spark, sf):
-    c = _content_stream(spark, sf, templated=False).select("id", "created_at")
-    doubled = c.unionByName(c)  # every record landed twice
-    out = ST.run_to_parquet(ST.dedup(doubled), "r4")
-    return spark.read.parquet(out).select("id")
+    """Every record lands twice, in three files that are read one a batch: most rows of the later
+    files are far behind the newest of the first."""
+    landed = f"{ST.scratch(spark, 'r4')}/landed"
+    c = A.content(spark, sf).select("id", "created_at")
+    c.unionByName(c).repartition(3).write.parquet(landed)
+    stream = ST.read_landed(spark, landed, schema="id long, created_at timestamp", max_files_per_trigger=1)
+    return ST.run_deduplicated(ST.dedup(stream), "r4").select("id")
 
 
 @register("R5_validated_sink", sql=f"""
@@ -82,9 +82,7 @@ def r5(spark, sf):
 SELECT id, model, succ_k, round(perf, 9) AS perf FROM ({SM.with_perf(S.stub_scores(S.content()))}) p""")
 def r6_stream(spark, sf):
     scores = A.stub_classifier_scores(_content_stream(spark, sf, templated=False))
-    perf = ST.stream_performance_factor(scores)
-    out = ST.run_to_parquet(perf, "r6")
-    return spark.read.parquet(out).select("id", "model", "succ_k", r6_col())
+    return ST.run_performance_factor(scores, "r6").select("id", "model", "succ_k", r6_col())
 
 
 def r6_col():
@@ -122,12 +120,8 @@ def r8(spark, sf):
         men = F.when(F.col("source") == d, M.mentions("text", d)).otherwise(men)
     # stub classifier columns (FIXTURES 1.7) computed in the same projection
     scored = c.select("id", "source", "created_at", men.alias("symbols_mentioned"), *_stub_cols())
-    agg = ST.windowed_sentiment(scored, "1 hour", "2 hours")
-    flat = agg.select(F.col("window.start").alias("window_start"), "symbol", "sentiment", "n_items")
-    out = ST.run_to_parquet(flat, "r8", output_mode="update")
-    latest = ST.latest_per_key(spark, out, ["window_start", "symbol"])
-    return latest.select(ts_str("window_start").alias("window_start"), "symbol",
-                         r6("sentiment").alias("sentiment"), "n_items")
+    out = ST.run_windowed(scored, "r8", window="1 hour")
+    return out.select(ts_str("start").alias("window_start"), "symbol", r6("sentiment").alias("sentiment"), "n_items")
 
 
 @register("S14_persist_content", sql=f"""

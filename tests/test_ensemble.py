@@ -38,8 +38,8 @@ def test_distributed_history_matches_brute_force(spark):
                                      "confidence double, ok boolean") \
         .withColumn("created_at", F.timestamp_seconds(F.col("t") * 60)).drop("t")
     want = brute_perf(rows)
-    for bucket in (600, 3600, 86400):
-        got = E.performance_factor(df, bucket_seconds=bucket).select("id", "model", "perf").collect()
+    for parts in (1, 7, 300):
+        got = E.performance_factor(df, parts=parts).select("id", "model", "perf").collect()
         assert len(got) == len(rows)
         for g in got:
             assert g.perf == pytest.approx(want[(g.id, g.model)], abs=1e-12)
@@ -119,7 +119,38 @@ def test_global_history_per_model(spark):
             h.append(r[5])
             del h[:-100]
         want[(r[0], r[3])] = 0.5 + sum(h) / len(h) if h else 1.0
-    got = E.performance_factor(df, partition_by=("model",), bucket_seconds=1800).collect()
+    got = E.performance_factor(df, partition_by=("model",), parts=5).collect()
     assert len(got) == len(rows)
     for g in got:
         assert g.perf == pytest.approx(want[(g.id, g.model)], abs=1e-12)
+
+
+def test_burst_on_one_timestamp(spark):
+    """All rows of all keys share one instant: ranges cut by id; a null source is a key of its own."""
+    df = spark.range(4000).select(
+        "id", F.when(F.col("id") % 9 > 0, F.lit("hot")).alias("source"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("created_at"),
+        F.lit("vader").alias("model"), F.lit(0.5).alias("value"), (F.col("id") * 7919 % 1000 / 1000).alias("confidence"),
+        (F.floor(F.col("id") / 600) % 2 == 0).alias("ok"))  # runs of failures longer than a range
+    want = {r.id: (r.succ_k, r.perf) for r in E.performance_factor(df, parts=1).collect()}
+    rows = [(r.id, r.source or "", r.created_at, r.model, 0, r.confidence, r.ok) for r in df.collect()]
+    brute = brute_perf(rows)
+    for parts in (3, 64):
+        out = E.performance_factor(df, parts=parts)
+        got = {r.id: (r.succ_k, r.perf) for r in out.collect()}
+        assert got == want and len(got) == 4000
+        assert all(p == pytest.approx(brute[i, "vader"], abs=1e-12) for i, (_, p) in got.items())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Checkpoint" not in plan
+
+
+def test_history_goes_on_from_a_tail(spark):
+    df = spark.createDataFrame(make_rows(900), "id long, source string, t long, model string, value double, confidence double, ok boolean") \
+        .withColumn("created_at", F.timestamp_seconds(F.col("t") * 60)).drop("t")
+    want = {(r.id, r.model): (r.succ_k, r.perf) for r in E.performance_factor(df).collect()}
+    got, tail = {}, None
+    for lo, hi in ((0, 50_000), (50_000, 60_000), (60_000, 10 ** 6)):
+        some = df.where(F.unix_timestamp("created_at").between(lo, hi - 1))
+        out = E.performance_factor(some, carried=tail, parts=4)
+        got |= {(r.id, r.model): (r.succ_k, r.perf) for r in out.collect()}
+        tail = spark.createDataFrame(E.history_tail(out, tail).collect(), "source string, model string, succ_k long, confidence double")
+    assert got == want
