@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
-from .prefix import PART, ordered_parts
+from .prefix import KEY, PART, in_range, ordered_parts, over_ranges
 
 DEC = "decimal(38,18)"
 
@@ -83,17 +83,15 @@ def performance_factor(scores: DataFrame, partition_by: Sequence[str] = ("source
     history; an empty history gives 1.0.  Adds ``perf`` and ``succ_k``.
     ``carried`` is the history that rows start from (``history_tail`` of earlier rows).
     """
-    # the key as one struct, whose null fields are equal to each other
-    keys, key = ["__key"], F.struct(*partition_by).alias("__key")
-    part = [PART, *keys]
+    part = [PART, KEY]
     none = F.lit(0).cast(DEC)
     ok = F.coalesce(F.col("ok"), F.lit(False))
     rows = ordered_parts(scores, partition_by, order_by, parts)
     if carried is not None:
-        carried = carried.select(key, "succ_k", "confidence")
-    rows = rows.withColumns({"__key": key, "__ok": ok, "__cd": F.when(ok, F.col("confidence")).otherwise(F.lit(0.0)).cast(DEC)})
+        carried = carried.select(F.struct(*partition_by).alias(KEY), "succ_k", "confidence")
+    rows = rows.withColumns({"__ok": ok, "__cd": F.when(ok, F.col("confidence")).otherwise(F.lit(0.0)).cast(DEC)})
 
-    running = Window.partitionBy(*part).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = in_range(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = rows.withColumns({"__lk": F.sum(F.col("__ok").cast("long")).over(running), "__ls": F.sum("__cd").over(running)})
     successes = Window.partitionBy(*part, "__ok").orderBy(*order_by)
     before = F.coalesce(F.lag("__ls", history).over(successes), none)
@@ -103,20 +101,19 @@ def performance_factor(scores: DataFrame, partition_by: Sequence[str] = ("source
     # successes before each range: one row per range and key
     totals = rows.groupBy(*part).agg(F.sum(F.col("__ok").cast("long")).alias("__n"))
     if carried is not None:
-        earlier = carried.groupBy(*keys).agg(F.max("succ_k").alias("__n")).withColumn(PART, F.lit(-1))
+        earlier = carried.groupBy(KEY).agg(F.max("succ_k").alias("__n")).withColumn(PART, F.lit(-1))
         totals = totals.unionByName(earlier)
-    ordered = Window.partitionBy(*keys).orderBy(PART)
-    offsets = totals.withColumn("__off", F.sum("__n").over(ordered) - F.col("__n")).where(F.col(PART) >= 0)
+    offsets = totals.withColumn("__off", F.sum("__n").over(over_ranges()) - F.col("__n")).where(F.col(PART) >= 0)
 
     # halo: success k of a key reaches the ranges whose offset lies in [k, k + history)
     tails = (local.where("__ok").join(offsets, part)
              .where(F.col("__lk") > F.col("__n") - history)
-             .select(*keys, (F.col("__off") + F.col("__lk")).alias("__k"), "__cd"))
+             .select(KEY, (F.col("__off") + F.col("__lk")).alias("__k"), "__cd"))
     if carried is not None:
-        tails = tails.unionByName(carried.select(*keys, F.col("succ_k").alias("__k"), F.col("confidence").cast(DEC).alias("__cd")))
+        tails = tails.unionByName(carried.select(KEY, F.col("succ_k").alias("__k"), F.col("confidence").cast(DEC).alias("__cd")))
     tails = tails.withColumn("__cell", F.floor(F.col("__k") / history))
     cells = F.array_distinct(F.array(F.floor(F.col("__off") / history), F.floor((F.col("__off") - history + 1) / history)))
-    reached = (offsets.where("__off > 0").withColumn("__cell", F.explode(cells)).join(tails, [*keys, "__cell"])
+    reached = (offsets.where("__off > 0").withColumn("__cell", F.explode(cells)).join(tails, [KEY, "__cell"])
                .where((F.col("__k") <= F.col("__off")) & (F.col("__k") > F.col("__off") - history))
                .groupBy(*part).agg(F.sort_array(F.collect_list(F.struct("__k", "__cd")), asc=False).alias("__last")))
     start = F.struct(none.alias("sum"), F.array(none).alias("sums"))
@@ -144,9 +141,9 @@ def history_tail(scored: DataFrame, carried: DataFrame | None = None, partition_
     rows = scored.where("ok").select(*partition_by, "succ_k", "confidence")
     if carried is not None:
         rows = rows.unionByName(carried)
-    newest = rows.groupBy(F.struct(*partition_by).alias("__key")).agg(F.max("succ_k").alias("__top"))
-    return (rows.withColumn("__key", F.struct(*partition_by)).join(newest, "__key")
-            .where(F.col("succ_k") > F.col("__top") - history).drop("__top", "__key"))
+    newest = rows.groupBy(F.struct(*partition_by).alias(KEY)).agg(F.max("succ_k").alias("__top"))
+    return (rows.withColumn(KEY, F.struct(*partition_by)).join(newest, KEY)
+            .where(F.col("succ_k") > F.col("__top") - history).drop("__top", KEY))
 
 
 def performance_factor_window(scores: DataFrame, partition_by: Sequence[str] = ("source", "model"),

@@ -1,88 +1,56 @@
-"""Distributed ordered running sums and predecessor lookups.
+"""Ordered sequences per key, cut into even ranges.
 
 ``Window.partitionBy(key).orderBy(ts)`` sends every row of a key to one task,
-which fails when one key (source, user, channel) holds a third of the rows.
-These helpers split each key's sequence into time buckets:
-
-1. running sums *within* ``(key, bucket)`` via a window - many small
-   partitions, so a hot key is spread over its buckets;
-2. per-bucket totals (one row per key and bucket) -> exclusive cumulative
-   offsets with a window over that small table;
-3. offsets joined back; the offsets table is derived, so AQE decides the
-   join strategy from its measured size at runtime (broadcast when small)
-   instead of a counting job that would re-run the upstream.
-
-The result equals the single-window running sum for any data distribution.
+which fails when one key (source, user, channel) holds a third of the rows, and
+time buckets fail when a burst falls into one of them.  ``ordered_parts`` cuts rows
+into ranges of (key, order) instead.  Operators then work in three steps: inside each range;
+over one small row per range and key (``PART``, ``KEY``), whose number is bounded by
+ranges plus keys; and back, with what a range needs to know of those before it (its halo).
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written_table
 
-PART = "__part"
+#: The range's number, and the key as one struct (whose null fields are equal to each other in joins).
+PART, KEY = "__part", "__key"
 
 
 def ordered_parts(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], parts: int | None = None) -> DataFrame:
-    """``df`` cut into ranges of (keys, order), the range's number in ``PART``, as a table.
+    """``df`` cut into ranges of (keys, order), with ``PART`` and ``KEY``, as a table.
 
-    Ranges have about the same number of rows whatever the keys and times are: a key with a third of the
-    rows, or a burst on one timestamp, spreads over many.  The table fixes the cut: range bounds are
-    sampled, so two jobs would not cut alike.  ``parts`` is the number of ranges (by default what
-    the session's shuffles have).
+    Ranges have about the same number of rows whatever the keys and times are, as long as ``order_by`` tells
+    rows apart.  The table fixes the cut: range bounds are sampled, so two jobs would not
+    cut alike.  ``parts`` is the number of ranges (by default what the session's shuffles have).
     """
     ranges = df.repartitionByRange(*([parts] if parts else []), *keys, *order_by)
-    return written_table(ranges.withColumn(PART, F.spark_partition_id()), "parts")
-
-
-BUCKET = "__bkt"
+    table = written_table(ranges.withColumn(PART, F.spark_partition_id()), "parts")
+    return table.withColumn(KEY, F.struct(*keys))
 
 
-def with_bucket(df: DataFrame, ts_col: str, bucket_seconds: int) -> DataFrame:
-    return df.withColumn(BUCKET, F.floor(F.unix_micros(F.col(ts_col)) / F.lit(bucket_seconds * 1_000_000)))
+def in_range(*order_by):
+    """Rows of one range and key, in order."""
+    return Window.partitionBy(PART, KEY).orderBy(*order_by)
 
 
-def running_sums(df: DataFrame, keys: Sequence[str], order_by: Sequence[Column | str], sums: dict[str, Column],
-                 ts_col: str, bucket_seconds: int = 3600) -> DataFrame:
-    """Add inclusive running sums ``{name: value_expr}`` per key in ``order_by``
-    (whose leading column must be ``ts_col``, so buckets respect the order)."""
-    keys = list(keys)
-    b = with_bucket(df, ts_col, bucket_seconds)
-    vals = {n: f"__v_{n}" for n in sums}
-    for n, expr in sums.items():
-        b = b.withColumn(vals[n], expr)
-    w_local = (Window.partitionBy(*keys, BUCKET).orderBy(*order_by)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    for n in sums:
-        b = b.withColumn(f"__l_{n}", F.sum(vals[n]).over(w_local))
-    tot = b.groupBy(*keys, BUCKET).agg(*[F.sum(vals[n]).alias(f"__t_{n}") for n in sums])
-    w_off = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*keys, BUCKET, *[F.sum(f"__t_{n}").over(w_off).alias(f"__o_{n}") for n in sums])
-    out = b.join(off, [*keys, BUCKET])
-    for n in sums:
-        zero = F.lit(0).cast(out.schema[f"__l_{n}"].dataType)
-        out = out.withColumn(n, F.col(f"__l_{n}") + F.coalesce(F.col(f"__o_{n}"), zero))
-    drop = [BUCKET] + [c for n in sums for c in (vals[n], f"__l_{n}", f"__o_{n}")]
-    return out.drop(*drop)
+def over_ranges():
+    """The small rows of one key, range by range."""
+    return Window.partitionBy(KEY).orderBy(PART)
 
 
 def previous_value(df: DataFrame, keys: Sequence[str], ts_col: str, tie: str, value_col: str,
-                   out_col: str, bucket_seconds: int = 3600) -> DataFrame:
-    """``lag(value_col)`` per key in (ts, tie) order, distributed by time bucket:
-    inside a bucket a windowed lag; the first row of a bucket takes the last
-    value of the nearest earlier non-empty bucket of the same key."""
-    keys = list(keys)
-    b = with_bucket(df, ts_col, bucket_seconds)
-    w = Window.partitionBy(*keys, BUCKET).orderBy(ts_col, tie)
-    b = b.withColumn("__lag", F.lag(value_col).over(w))
-    last = (b.groupBy(*keys, BUCKET)
-             .agg(F.max_by(F.col(value_col), F.struct(F.col(ts_col), F.col(tie))).alias("__last")))
-    wl = Window.partitionBy(*keys).orderBy(BUCKET)
-    prev = last.select(*keys, BUCKET, F.lag("__last").over(wl).alias("__prev_bucket_last"))
-    out = b.join(prev, [*keys, BUCKET])
-    return (out.withColumn(out_col, F.coalesce(F.col("__lag"), F.col("__prev_bucket_last")))
-               .drop(BUCKET, "__lag", "__prev_bucket_last"))
+                   out_col: str, parts: int | None = None) -> DataFrame:
+    """``lag(value_col)`` per key in (ts, tie) order: inside a range a windowed lag; a range's first row
+    of a key takes the last value of the nearest range before it that has the key."""
+    rows = ordered_parts(df, keys, [ts_col, tie], parts)
+    # as structs, so that a null value is told apart from no row
+    value = F.struct(F.col(value_col).alias("value"))
+    last = rows.groupBy(PART, KEY).agg(F.max_by(value, F.struct(ts_col, tie)).alias("__last"))
+    halo = last.select(PART, KEY, F.lag("__last").over(over_ranges()).alias("__halo"))
+    out = rows.withColumn("__lag", F.lag(value).over(in_range(ts_col, tie))).join(halo, [PART, KEY])
+    return out.withColumn(out_col, F.coalesce("__lag", "__halo")["value"]).select(*df.columns, out_col)

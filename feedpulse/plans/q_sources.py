@@ -139,12 +139,14 @@ def _rn(part, order):
 @register("S1_search_tweets", sql=f"""
 WITH t AS (SELECT *, unnest({ST.search_symbols('text', vocab.CRYPTO_SYMBOLS[:5])}) AS symbol FROM ({S.tweets()}) t0
            WHERE lang = 'en' AND NOT coalesce(is_retweet, false)
-             AND created_at BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL {WIDE_HOURS} HOUR AND TIMESTAMP '{AS_OF}'),
+             AND created_at >= (SELECT max(created_at) FROM ({S.tweets()}) m) - INTERVAL {WIDE_HOURS} HOUR),
 c AS (SELECT * FROM (SELECT *, {_rn('symbol', 'created_at DESC, id DESC')} AS rn FROM t) x WHERE rn <= 100),
 n AS (SELECT CAST(id AS VARCHAR) AS id, symbol, {S.sanitize('text')} AS clean FROM c WHERE text <> '')
 SELECT id, symbol, clean AS text FROM n WHERE {_keep_clean(10)} AND {ST.relevant('clean', 'twitter')}""")
 def s1(spark, sf):
-    r = FE.search_tweets(A.tweets(spark, sf), AS_OF, hours_back=WIDE_HOURS)
+    t = A.tweets(spark, sf)
+    latest = t.agg(F.max("created_at")).first()[0]  # the search runs at the newest landed tweet
+    r = FE.search_tweets(t, latest, hours_back=WIDE_HOURS)
     return r.select("id", "symbol", "text")
 
 

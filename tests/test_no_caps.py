@@ -93,3 +93,18 @@ def test_time_filters_need_a_time(spark):
                                       "score long, num_comments long")
     with pytest.raises(ValueError, match="as_of"):
         SE.search_reddit(posts, "x")
+
+
+def test_search_runs_at_the_newest_tweet(spark, tmp_path):
+    """S1 on a table whose rows all lie after March 2024 finds what it finds in one before."""
+    from pyspark.sql import functions as F
+
+    from feedpulse.plans.catalog import REGISTRY
+    from tests.conftest import SF_SMALL
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    shift = 45 * 100 * 1000  # minutes: a multiple of what the landed fields are derived by
+    docs.withColumn("doc_id", F.col("doc_id") + shift).write.parquet(f"{tmp_path}/documents.parquet")
+    late = REGISTRY["S1_search_tweets"].build(spark, str(tmp_path))
+    early = REGISTRY["S1_search_tweets"].build(spark, SF_SMALL)
+    got = sorted((int(r.id) - shift, r.symbol) for r in late.collect())
+    assert got and got == sorted((int(r.id), r.symbol) for r in early.collect())

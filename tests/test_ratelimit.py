@@ -1,4 +1,4 @@
-"""A12-A14 (distributed by time bucket) against brute force on a skewed log."""
+"""A12-A14 (distributed by even ranges) against brute force on a skewed log."""
 
 import random
 from collections import defaultdict
@@ -30,7 +30,7 @@ def test_rate_check(spark):
     for r in rows:
         by[r[1]].append(r[2])
     want = {r[0]: sum(1 for u in by[r[1]] if r[2] - w < u <= r[2]) for r in rows}
-    got = RL.rate_check(frame(spark, rows), window_seconds=60, limit=3, bucket_seconds=120).collect()
+    got = RL.rate_check(frame(spark, rows), window_seconds=60, limit=3, parts=9).collect()
     assert len(got) == len(rows)
     for g in got:
         assert g.in_window == want[g.event_id]
@@ -44,7 +44,7 @@ def test_min_gap(spark):
         p = last.get(r[1])
         want[r[0]] = None if p is None else (r[2] - p) / 1e6
         last[r[1]] = r[2]
-    got = RL.min_gap_check(frame(spark, rows), min_interval_seconds=1.0, bucket_seconds=300).collect()
+    got = RL.min_gap_check(frame(spark, rows), min_interval_seconds=1.0, parts=9).collect()
     for g in got:
         assert g.gap_seconds == want[g.event_id]
         assert g.too_soon == (want[g.event_id] is not None and want[g.event_id] < 1.0)
@@ -64,6 +64,35 @@ def test_failure_runs(spark):
         if len(v) >= 3:
             runs[k].append(v)
     want = sorted((k, len(v), v[2][2]) for k, rs in runs.items() for v in rs)
-    got = RL.failure_runs(frame(spark, rows), threshold=3, bucket_seconds=600) \
+    got = RL.failure_runs(frame(spark, rows), threshold=3, parts=9) \
         .select("key", "n_failures", F.unix_micros("opened_at").alias("o")).collect()
     assert sorted((g.key, g.n_failures, g.o) for g in got) == want
+
+
+def test_window_longer_than_ranges_and_bursts(spark):
+    """A window that spans many ranges, and an instant that holds a third of the rows."""
+    rows = [(i, "hot" if i % 3 else None, 0 if i % 4 == 0 else i * 1_000_000, False) for i in range(1200)]
+    by = defaultdict(list)
+    for r in rows:
+        by[r[1]].append(r[2])
+    for seconds in (1, 40, 700):
+        want = {r[0]: sum(1 for u in by[r[1]] if r[2] - seconds * 1_000_000 < u <= r[2]) for r in rows}
+        for parts in (1, 16):
+            got = RL.rate_check(frame(spark, rows), window_seconds=seconds, parts=parts).collect()
+            assert {g.event_id: g.in_window for g in got} == want
+
+
+def test_one_outage_over_all_ranges(spark):
+    """A third of the log is one run of failures; its segments merge."""
+    rows = [(i, "hot", i * 1_000_000, 100 <= i < 900) for i in range(1000)] + [(2000 + i, f"k{i % 7}", i * 1_000_000, i % 2 == 0) for i in range(1400)]
+    for parts in (1, 32):
+        got = RL.failure_runs(frame(spark, rows), parts=parts).select(
+            "key", "run_id", "n_failures", *[(F.unix_micros(c) / 1e6).alias(c) for c in ("first_failure", "last_failure", "opened_at", "retry_at")]).collect()
+        assert [tuple(g) for g in got] == [("hot", 100, 800, 100.0, 899.0, 104.0, 959.0)]
+
+
+def test_plan_reads_the_log_once(spark):
+    """The result reads the cut table, never the log again."""
+    log = frame(spark, make_log(100))
+    plan = RL.rate_check(log, parts=4)._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" not in plan and "LocalTableScan" not in plan
