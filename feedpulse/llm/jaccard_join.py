@@ -36,7 +36,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,19 +66,32 @@ def differences(total: int | np.ndarray) -> int | np.ndarray:
     return total * (100 - PERCENT) // (100 + PERCENT)
 
 
-@lru_cache(1)
-def band_tops() -> tuple[int, ...]:
-    """Largest size of each band: a set's partners are in its band and the ones beside it."""
+def _band_tops() -> tuple[int, ...]:
     tops = [1]
     while tops[-1] < 1 << 40:
         tops.append(max(tops[-1] + 1, tops[-1] * 100 // PERCENT))
     return tuple(tops)
 
 
-@lru_cache(None)
+#: Largest size of each band: a set's partners are in its band and the ones beside it.
+BAND_TOPS = _band_tops()
+#: What ``allocation`` found so far.  A plain dictionary, which travels to workers by value.
+_ALLOCATED: dict[int, tuple[int, int]] = {}
+
+
+def band_tops() -> tuple[int, ...]:
+    return BAND_TOPS
+
+
 def allocation(band: int) -> tuple[int, int]:
     """``(segments, of these with deletions)`` of a band at the least cost."""
-    top = band_tops()[band]
+    if band not in _ALLOCATED:
+        _ALLOCATED[band] = _allocation(band)
+    return _ALLOCATED[band]
+
+
+def _allocation(band: int) -> tuple[int, int]:
+    top = BAND_TOPS[band]
     need = math.ceil(SLACK * (differences(2 * top) + 1)) + 2
     best = None
     for deletions in range(min(need // 2, 4) + 1):

@@ -3,12 +3,13 @@
 Rules name a host (and its subdomains) and a path prefix; the longest fitting rule
 decides a url.  Where none fits, the host decides: personalised PageRank spreads trust
 from trusted hosts along host edges, and distrust from blocked hosts against them
-(who links to a blocked host is suspect).  A host whose distrust exceeds its trust by the
+(who links to a blocked host is suspect), until a round moves less than ``TOLERANCE``.  Each round
+shrinks what moves by the damping factor, so some ninety rounds are the most.  A host whose distrust exceeds its trust by the
 threshold is blocked, any other is allowed.
 
 Seeds follow from the rules: a host is trusted if rules allow more than half of its
-urls, blocked if they block more than half.  Host edges are the absolute links of the
-pages and the step from a host to the hosts above it, as far as these have pages.
+urls, blocked if they block more than half.  Host edges are the links of the
+pages that name a host (``http://``, ``https://`` or ``//``) and the step from a host to the hosts above it, as far as these have pages.
 
 Everything is joins and grouped sums; edges are counted with partial aggregation before
 any shuffle, so one hub host is one row per linking host.
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import only, written
 
-DAMPING, ROUNDS, MARGIN = 0.85, 12, 0.0
+DAMPING, MARGIN = 0.85, 0.0
+#: Propagation ends when a round moves less than this share of both vectors' mass.
+TOLERANCE, CHECK_EVERY = 1e-6, 4
 #: Rules beyond this number are joined by shuffle; up to it they are broadcast.
 BROADCAST_RULES = 100_000
 
@@ -80,9 +83,9 @@ def ruled(urls: DataFrame, rules: DataFrame, n_rules: int) -> DataFrame:
 def host_edges(pages: DataFrame) -> DataFrame:
     """Distinct ``(src, dst, n)`` from absolute links, and from each host to those above it."""
     links = F.regexp_extract_all(F.coalesce("html", F.lit("")),
-                                 F.lit(r"(?i)<a\s[^>]*?href\s*=\s*[\"']?\s*(https?://[^\"'\s>]+)"), 1)
+                                 F.lit(r"(?i)<a\s[^>]*?href\s*=\s*[\"']?\s*((?:https?:)?//[^\"'\s>]+)"), 1)
     linked = (pages.select(F.col("host").alias("src"), F.explode(links).alias("url"))
-              .select("src", host_of(F.col("url")).alias("dst")))
+              .select("src", host_of(F.concat(F.lit("://"), F.regexp_replace("url", "^[^/]*//", ""))).alias("dst")))
     hosts = pages.select("host").filter("host <> ''").distinct()
     above = (hosts.select(F.col("host").alias("src"), F.explode(_hosts_above(F.col("host"), False)).alias("host"))
              .join(hosts, "host", "left_semi").select("src", F.col("host").alias("dst")))
@@ -90,7 +93,7 @@ def host_edges(pages: DataFrame) -> DataFrame:
             .groupBy("src", "dst").agg(F.count("*").alias("n")))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """``seeds(host, trusted, blocked)`` -> ``(host, trust, distrust)`` over all hosts of
     seeds and edges.  The teleport vectors sum to one; mass of hosts without links ends there."""
     total = seeds.agg(F.sum("trusted").alias("t"), F.sum("blocked").alias("b")).first()
@@ -104,15 +107,29 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
                .select("host", F.col("src").alias("to"), F.lit(0.0).alias("wt"), (F.col("n") / F.col("all")).alias("wd")))
     steps = written(along.union(against), "trust-steps")
     rank = start.select("host", F.col("t0").alias("t"), F.col("d0").alias("d"))
-    for k in range(1, rounds + 1):
+    zero = F.lit(0.0)
+
+    def moved_on(rank: DataFrame) -> DataFrame:
         moved = (steps.join(rank, "host").groupBy(F.col("to").alias("host"))
                  .agg(F.sum(F.col("t") * F.col("wt")).alias("mt"), F.sum(F.col("d") * F.col("wd")).alias("md")))
-        zero = F.lit(0.0)
-        rank = (start.join(moved, "host", "full_outer")
+        return (start.join(moved, "host", "full_outer")
                 .select("host", ((1 - damping) * F.coalesce("t0", zero) + damping * F.coalesce("mt", zero)).alias("t"),
                         ((1 - damping) * F.coalesce("d0", zero) + damping * F.coalesce("md", zero)).alias("d")))
-        if k % 4 == 0:
-            rank = written(rank, "trust-rank")
+
+    def change(a: DataFrame, b: DataFrame) -> float:
+        """Summed difference of both vectors."""
+        b = b.select("host", F.col("t").alias("t2"), F.col("d").alias("d2"))
+        apart = F.abs(F.coalesce("t", zero) - F.coalesce("t2", zero)) + F.abs(F.coalesce("d", zero) - F.coalesce("d2", zero))
+        return a.join(b, "host", "full_outer").agg(F.sum(apart)).first()[0] or 0.0
+
+    while True:
+        before = rank
+        for _ in range(CHECK_EVERY):
+            rank = moved_on(rank)
+        rank = written(rank, "trust-rank")
+        # these rounds together halve the distance to the fixed point, so it is about this change by now
+        if change(before, rank) < tolerance:
+            break
     return rank.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"))
 
 

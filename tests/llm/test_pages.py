@@ -114,7 +114,7 @@ def test_propagation_against_dense_matrices(spark):
     hosts = list("abcde")
     links = [("a", "b", 2), ("b", "c", 1), ("c", "a", 1), ("d", "c", 3), ("a", "d", 1)]
     seeds = spark.createDataFrame([(h, int(h == "a"), int(h in "cd")) for h in hosts], "host string, trusted int, blocked int")
-    got = {r["host"]: (r["trust"], r["distrust"]) for r in propagate(seeds, spark.createDataFrame(links, "src string, dst string, n long"), rounds=8).collect()}
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in propagate(seeds, spark.createDataFrame(links, "src string, dst string, n long")).collect()}
     m = np.zeros((5, 5))
     for s, d, n in links:
         m[hosts.index(s), hosts.index(d)] = n
@@ -122,9 +122,18 @@ def test_propagation_against_dense_matrices(spark):
     against = m.T / np.maximum(m.T.sum(1, keepdims=True), 1)
     t0, d0 = np.eye(5)[0], np.array([0, 0, .5, .5, 0])
     t, d = t0, d0
-    for _ in range(8):
+    for _ in range(300):
         t, d = .15 * t0 + .85 * t @ along, .15 * d0 + .85 * d @ against
-    assert np.allclose([got[h] for h in hosts], np.column_stack([t, d]))
+    assert np.allclose([got[h] for h in hosts], np.column_stack([t, d]), atol=1e-5)
+
+
+def test_distrust_reaches_the_far_end_of_a_chain(spark):
+    """17 hosts in a row, the last of them blocked; links with and without a scheme."""
+    link = ['<a href="http://h{}.org/x">', "<a href='//h{}.org/x'>", '<a class=c href=https://H{}.org>']
+    rows = [(i, f"https://h{i}.org/p", link[i % 3].format(i + 1) + "y</a>") for i in range(16)]
+    rows += [(16, "http://h16.org/es/", ""), (17, "http://clean.org/", "<a href='//h99.org'>z</a>")]
+    out = url_verdicts(spark.createDataFrame(rows, PAGES), [("block", "h16.org/")]).collect()
+    assert {r["page_id"]: r["verdict"] for r in out} == {i: "block" for i in range(17)} | {17: "allow"}
 
 
 def test_language_of_documents(table):
