@@ -124,7 +124,8 @@ def term_counts(docs: DataFrame, digest_bits: int = DIGEST_BITS, part_bytes: int
     counted = written(docs.mapInArrow(_counter(digest_bits, part_bytes), COUNTED), "term-parts")
     spelt = counted.filter("spelling is not null").select("part", "digest", "spelling")
     spelling = written(spelt.groupBy("digest").agg(F.min("spelling").alias("term"), F.max("spelling").alias("last")), "spellings")
-    several = spelling.filter("term <> last").select("digest")
+    # a table of its own, so that its size is known when the counts are joined with it
+    several = written(spelling.filter("term <> last").select("digest"), "several")
     rows = counted.filter("n is not null").drop("spelling")
     plain = rows.join(several, "digest", "left_anti").withColumn("split", F.lit(""))
     # a part that holds one string of the digest names it in its spellings, else in its rows
