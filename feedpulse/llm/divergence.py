@@ -196,9 +196,12 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
                    .filter(F.col("in_docs") >= min_docs).drop("docs", "in_docs"), "kept-counts")
     langs = used.groupBy("lang").agg(F.sum("kind").alias("kinds"), F.sum("n").alias("lang_total"))
     totals = used.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    # buckets of a language's counts; all that its rows need to know of it comes with their group
+    rooms = used.groupBy("lang").agg(F.ceil(F.count("*") / F.lit(BUCKET)).alias("buckets"))
     place = (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("long")
     groups = (docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
-              .fillna(0, ["total", "kinds", "lang_total"]).withColumn("place", place))
+              .join(rooms, "lang", "left").fillna(0, ["total", "kinds", "lang_total", "buckets"])
+              .withColumns({"place": place, "sources": F.count("*").over(Window.partitionBy("lang"))}))
     groups = written(groups, "groups")
     shares = used.join(groups, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("kinds")))
 
@@ -212,12 +215,10 @@ def divergence(docs: DataFrame, lang_col: str = "lang", source_col: str = "sourc
     by_text = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     best = best.withColumn("rank", F.row_number().over(by_text)).filter(F.col("rank") <= top)
 
-    rooms = used.groupBy("lang").agg(F.ceil(F.count("*") / F.lit(BUCKET)).alias("buckets"))
     cut = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("sources") - 1) / TILE)))
-    sizes = groups.groupBy("lang").agg(F.count("*").alias("sources")).join(rooms, "lang")
-    terms_in = (shares.join(sizes, "lang").withColumn("tile", cut)
+    terms_in = (shares.withColumn("tile", cut)
                 .select("lang", "tile", F.pmod("digest", "buckets").alias("bucket"), "digest", "split", "place", "p"))
-    groups_in = (groups.join(sizes, "lang").withColumn("tile", cut)
+    groups_in = (groups.filter("buckets > 0").withColumn("tile", cut)
                  .withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("buckets") - 1)))
                  .select(*[F.col(c).alias(c) for c in ("lang", "tile", "bucket", "place")],  # names of their own
                          share(F.lit(0).cast("long"), F.col("total"), F.col("kinds")).alias("absent")))
