@@ -1,6 +1,7 @@
 """M1/M2 goldens (intent of the reference's model tests) and invariants."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,3 +92,59 @@ def test_but_rule_tier_b(spark):
     assert r[0].value == pytest.approx(s / math.sqrt(s * s + 15))
     t = 3.1 - 1.7
     assert r[1].value == pytest.approx(t / math.sqrt(t * t + 15))
+
+
+WORDS = ["great", "crash", "GREAT", "moon", "not", "very", "but", "(great)!!", "diamond_hands", "ok", ":)", "--", "Kiss",
+         "of", "death", "great.", "slightly", "!!", "dip-", "it's"]
+
+
+def _texts(n, seed):
+    rng = random.Random(seed)
+    return [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(0, 30))) for _ in range(n)] + ["", None, "<b></b>"]
+
+
+@pytest.mark.parametrize("emphasis", [False, True])
+def test_in_the_row_equals_the_join(spark, emphasis):
+    df = spark.createDataFrame(list(enumerate(_texts(200, 7))), "id long, text string")
+    lex = L.overlay(L.default_lexicon(spark), L.lexicon_frame(spark, {":)": 2.0, "--": -0.5, "it's": 0.3}))
+    a, b = ({r.id: r for r in L.lexicon_score(df, lex, emphasis=emphasis, max_packed_bytes=n).collect()} for n in (1 << 19, 0))
+    assert a.keys() == b.keys() and len(a) == 203
+    for i in a:
+        assert a[i].value == pytest.approx(b[i].value, abs=1e-12)
+        assert (a[i].hits, a[i].ok) == (b[i].hits, b[i].ok)
+    assert any(r.hits > 3 for r in a.values())
+
+
+def test_phrases_leftmost_longest(spark):
+    entries = {"kiss": 2.0, "kiss of": 0.5, "kiss of death": -3.0, "death": -2.0, "of the moon": 1.0, "moon": 0.1}
+    lex = L.lexicon_frame(spark, entries)
+    texts = ["a Kiss of death, now", "kiss of the moon", "kiss of", "kiss", "of death", "not a kiss of death", "kiss of kiss of death!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: (r.value, r.hits) for r in L.lexicon_score(df, lex).collect()}
+
+    def brute(text):
+        words = [w.strip(L.PUNCT_CHARS) if len(w.strip(L.PUNCT_CHARS)) > 2 else w for w in text.lower().split(" ")]
+        i, total, hits = 0, 0.0, 0
+        while i < len(words):
+            n = next((n for n in (3, 2, 1) if i + n <= len(words) and " ".join(words[i:i + n]) in entries), 0)
+            if n:
+                v = entries[" ".join(words[i:i + n])]
+                total += v * (vocab.NEGATION_SCALAR if "not" in words[max(i - 3, 0):i] else 1.0)
+                hits += 1
+            i += max(n, 1)
+        return total / math.sqrt(total * total + 15), hits
+    for i, t in enumerate(texts):
+        assert got[i] == (pytest.approx(brute(t)[0]), brute(t)[1]), t
+    assert got[0][1] == 1 and got[1][1] == 2   # "kiss of" wins over "of the moon", which starts later
+
+
+def test_phrases_need_a_packed_lexicon(spark):
+    with pytest.raises(ValueError):
+        L.pack_lexicon(L.lexicon_frame(spark, {"kiss of death": -3.0}), max_bytes=8)
+    twice = spark.createDataFrame([("great", 1.0), ("great", 2.0), (None, 1.0)], "token string, valence double")
+    assert L.pack_lexicon(twice) is None
+    empty = L.pack_lexicon(twice.limit(0))
+    df = spark.createDataFrame([(1, "great")], "id long, text string")
+    assert empty is not None and L.lexicon_score(df, twice.limit(0)).first().hits == 0
+    # a repeated id is scored row by row
+    assert L.lexicon_score(df.union(df), L.default_lexicon(spark)).count() == 2

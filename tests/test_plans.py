@@ -30,9 +30,14 @@ def test_size_checked_broadcast(spark):
     assert B.maybe_broadcast(big, 100) is big
 
 
-def test_lexicon_plan_single_document_shuffle(spark):
+def test_lexicon_plan_in_the_row(spark):
     from tests.conftest import SF_SMALL
+    from feedpulse.operators import lexicon as L
     from feedpulse.plans.q_models import m1_scores
+    from feedpulse.sources import adapters as A
     p = _plan(m1_scores(spark, SF_SMALL))
+    assert "Generate" not in p and "Join" not in p and "hashpartitioning" not in p
+    # a lexicon over the byte limit: joined, with one shuffle of sums by document
+    p = _plan(L.lexicon_score(A.content(spark, SF_SMALL), L.default_lexicon(spark), max_packed_bytes=0))
     assert "BroadcastHashJoin" in p and "Generate" in p
     assert "SortMergeJoin" not in p
