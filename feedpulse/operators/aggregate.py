@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import vocab
+from .prefix import KEY, PART, in_range, ordered_parts, over_ranges
 
 # FIXED VALUES: default request-duration histogram bounds (seconds)
 DEFAULT_BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0]
@@ -129,17 +130,32 @@ def event_metrics(events: DataFrame, keys: Sequence[str] = ("event_type",),
                                      F.min(v).alias("min_ms"), F.max(v).alias("max_ms"))
 
 
-def event_percentiles(events: DataFrame, keys: Sequence[str] = ("event_type",),
-                      value_col: str = "duration_ms") -> DataFrame:
-    """A10: exact p50 / p95 / p99 (the smallest value whose rank reaches the share).
+#: Reported percentiles and their shares.
+PERCENTILES = {"p50_ms": 0.5, "p95_ms": 0.95, "p99_ms": 0.99}
 
-    Rows are counted per (key, value) first, map-side combined, so the running count that
-    finds a rank reads one row per distinct value, not per event."""
-    ordered = Window.partitionBy(*keys).orderBy(value_col)
-    counted = events.where(F.col(value_col).isNotNull()).groupBy(*keys, value_col).agg(F.count("*").alias("__c"))
-    ranked = (counted.withColumn("__upto", F.sum("__c").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-              .withColumn("__n", F.sum("__c").over(Window.partitionBy(*keys))))
 
-    def rank(p: float) -> Column:
-        return F.min(F.when(F.col("__upto") >= F.ceil(F.lit(p) * F.col("__n")), F.col(value_col)))
-    return ranked.groupBy(*keys).agg(rank(0.5).alias("p50_ms"), rank(0.95).alias("p95_ms"), rank(0.99).alias("p99_ms"))
+def event_percentiles(events: DataFrame, keys: Sequence[str] = ("event_type",), value_col: str = "duration_ms",
+                      shares: Mapping[str, float] = PERCENTILES, parts: int | None = None) -> DataFrame:
+    """A10: exact percentiles (the smallest value whose rank reaches the share); null values don't count, and
+    a key without values has no row.
+
+    Selection by ranges: rows are counted per (key, value), map-side combined, and cut into even ranges
+    of (key, value).  One row per range and key tells which range holds a rank; only
+    those ranges, one per key and share at most, are counted through.  So no task reads all values of a hot key.
+    """
+    counted = events.where(F.col(value_col).isNotNull()).groupBy(*keys, value_col).agg(F.count("*").alias("__c"))
+    rows = ordered_parts(counted, keys, [value_col], parts)
+    sizes = rows.groupBy(PART, KEY).agg(F.sum("__c").alias("__in"))
+    before = F.coalesce(F.sum("__in").over(over_ranges().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(PART, KEY, "__in", before.alias("__before"),
+                         F.sum("__in").over(Window.partitionBy(KEY)).alias("__n"))
+
+    def rank_here(share: float) -> Column:
+        rank = F.greatest(F.ceil(F.lit(share) * F.col("__n")), F.lit(1)) - F.col("__before")
+        return F.when(rank.between(1, F.col("__in")), rank)
+    wanted = sizes.select(PART, KEY, *[rank_here(p).alias(f"__rank_{name}") for name, p in shares.items()])
+    wanted = wanted.where(F.coalesce(*[F.col(f"__rank_{name}") for name in shares]).isNotNull())
+    found = rows.join(wanted, [PART, KEY]).withColumn(
+        "__upto", F.sum("__c").over(in_range(value_col).rowsBetween(Window.unboundedPreceding, 0)))
+    return found.groupBy(*keys).agg(*[F.min(F.when(F.col("__upto") >= F.col(f"__rank_{name}"), F.col(value_col))).alias(name)
+                                      for name in shares])

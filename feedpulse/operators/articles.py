@@ -26,8 +26,11 @@ from pyspark.sql.types import StringType
 from .. import vocab
 from ..functions import mentions as M
 from ..functions import text as T
+from ..session import written_table
 from ..sources.tables import read_feed_xml
 from . import fetch as FE
+from .parallel import missing_splits
+from .reduction import may_match
 
 REMOVED = {"script", "style", "nav", "footer", "header", "aside"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
@@ -211,6 +214,15 @@ def landed_feed(spark, path: str) -> DataFrame:
                       T.parse_iso_timestamp("pubDate").alias("published_at"), F.col("source").alias("source_feed"), "position")
 
 
+def linked_pages(pages: DataFrame, entries: DataFrame, page_url: str = "url", page_html: str = "html") -> DataFrame:
+    """``(link, html)`` of the pages that entries link to, and of a few others (``reduction.may_match``): the
+    html of other pages stays in the scan, however many entries there are."""
+    pg = pages.select(F.col(page_url).alias("link"), F.col(page_html).alias("html"))
+    hits = may_match(pg, entries.select("link"), "link")
+    splits = missing_splits(pages)
+    return hits.repartition(splits) if splits else hits
+
+
 def news_articles(entries: DataFrame, pages: DataFrame, as_of, hours_back: int = 24,
                   per_feed: int | None = None, keywords: Sequence[str] = vocab.CRYPTO_KEYWORDS,
                   symbols: Sequence[str] = vocab.CRYPTO_SYMBOLS, page_url: str = "url",
@@ -224,10 +236,9 @@ def news_articles(entries: DataFrame, pages: DataFrame, as_of, hours_back: int =
     e = e.where(F.col("published_at") > lo)
     if per_feed is not None:
         e = FE.top_n_per_key(e, ["source_feed"], [F.col("position"), F.col("link")], per_feed)
-    e = e.where(F.col("link") != "")
-    pg = pages.select(F.col(page_url).alias("link"), F.col(page_html).alias("html"))
-    joined = e.join(pg, "link")  # J2: entry -> fetched page (inner: unfetched pages drop)
-    keep = ["id", "title", "summary", "link", "published_at", "source_feed", "source_domain"]
+    e = written_table(e.where(F.col("link") != ""), "entries")
+    # Entry -> fetched page (inner: unfetched pages drop)
+    joined = e.join(linked_pages(pages, e, page_url, page_html), "link")
     ex = extract_articles(joined.withColumnRenamed("title", "feed_title")
                           .withColumnRenamed("summary", "feed_summary"),
                           keep=["id", "feed_title", "feed_summary", "link", "published_at",

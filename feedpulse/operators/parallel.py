@@ -13,10 +13,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
+def missing_splits(scan: DataFrame, min_partitions: int | None = None) -> int | None:
+    """The number of partitions a small scan should be dealt out to; None where it has enough of its own."""
+    target = min_partitions or scan.sparkSession.sparkContext.defaultParallelism
+    n = scan.rdd.getNumPartitions()
+    return target if n < target or (n <= 4 * target and len(scan.inputFiles()) < target) else None
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
-    if n < target or (n <= 4 * target and len(df.inputFiles()) < target):
-        return df.repartition(target)
-    return df
+    target = missing_splits(df, min_partitions)
+    return df.repartition(target) if target else df

@@ -21,7 +21,7 @@ def _news(spark, sf):
     # data vocabulary (FIXTURES.md 3a): the default crypto lists never occur
     # in the invented prose, which would make the path an empty result
     from .q_mentions import DATA_KEYWORDS, DATA_SYMBOLS
-    return AR.news_articles(A.feed_entries(spark, sf), table(spark, sf, "pages"), AS_OF,
+    return AR.news_articles(A.feed_entries(spark, sf), table(spark, sf, "pages", even=False), AS_OF,
                             hours_back=HOURS, keywords=DATA_KEYWORDS, symbols=DATA_SYMBOLS)
 
 
@@ -92,8 +92,7 @@ SELECT e.source_feed, count(*) AS n_pages, sum(length(p.html)) AS html_chars
 FROM ({S.feed_entries()}) e JOIN pages p ON p.url = e.link GROUP BY e.source_feed""")
 def j2(spark, sf):
     e = A.feed_entries(spark, sf)
-    p = table(spark, sf, "pages").select(F.col("url").alias("link"), "html")
-    j = e.join(p, "link")
+    j = e.join(AR.linked_pages(table(spark, sf, "pages", even=False), e), "link")
     return j.groupBy("source_feed").agg(F.count("*").alias("n_pages"),
                                         F.sum(F.length("html")).alias("html_chars"))
 

@@ -17,9 +17,11 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, even: bool = True) -> DataFrame:
+    """A driver table.  ``even=False`` leaves a small text table in the splits it was landed in, for
+    readers that first filter it."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    if name in TEXT_TABLES:
+    if even and name in TEXT_TABLES:
         # CPU-heavy text work: make sure a one-split input still uses every core
         from ..operators.parallel import spread
         df = spread(df)
