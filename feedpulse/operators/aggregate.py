@@ -59,28 +59,38 @@ def aggregate_sentiment(scored: DataFrame, keys: Sequence[str] = ("symbol",),
     return g.select(*group, sent.alias("sentiment"), conf.alias("confidence"), "n_items")
 
 
-def source_stats(content: DataFrame, channel_col: str | None = None, domain_col: str | None = None
-                 ) -> DataFrame:
-    """A3: items, distinct ids (the seen-id count), distinct channels / domains."""
+def source_stats(content: DataFrame, channel_col: str | None = None, domain_col: str | None = None,
+                 feed_col: str | None = None, error_col: str | None = None, ts_col: str = "created_at") -> DataFrame:
+    """A3: items, distinct ids (the seen-id count), distinct channels / domains / feeds, and the last error
+    (by time, then id; null for a source without errors)."""
     aggs = [F.count("*").alias("items"), F.count_distinct("id").alias("seen_ids")]
-    if channel_col:
-        aggs.append(F.count_distinct(channel_col).alias("channels"))
-    if domain_col:
-        aggs.append(F.count_distinct(domain_col).alias("domains"))
+    for name, col in [("channels", channel_col), ("domains", domain_col), ("feeds", feed_col)]:
+        if col:
+            aggs.append(F.count_distinct(col).alias(name))
+    if error_col:
+        failed = F.when(F.col(error_col).isNotNull(), F.struct(ts_col, "id", error_col))
+        aggs.append(F.max(failed)[error_col].alias("last_error"))
     return content.groupBy("source").agg(*aggs)
 
 
 def model_stats(scores: DataFrame, model_col: str = "model", time_col: str | None = None,
-                history: int = vocab.HISTORY_SIZE) -> DataFrame:
+                history: int = vocab.HISTORY_SIZE, lexicon_sizes: Mapping[str, int] | None = None) -> DataFrame:
     """A4: predictions, failures (fallback rows), mean inference time guarded
-    by ``max(n, 1)``, rolling-history length ``min(successes, history)``."""
+    by ``max(n, 1)`` (rows without a time count as 0), rolling-history length ``min(successes, history)``,
+    and the number of lexicon entries of the models in ``lexicon_sizes`` (null for others)."""
     ok = F.coalesce(F.col("ok"), F.lit(False))
     aggs = [F.count("*").alias("predictions"),
             F.count_if(~ok).alias("failures"),
             F.least(F.count_if(ok), F.lit(history)).alias("history_length")]
     if time_col:
-        aggs.append((F.sum(time_col) / F.greatest(F.count("*"), F.lit(1))).alias("avg_inference_ms"))
-    return scores.groupBy(model_col).agg(*aggs)
+        aggs.append((F.coalesce(F.sum(time_col), F.lit(0.0)) / F.greatest(F.count("*"), F.lit(1))).alias("avg_inference_ms"))
+    out = scores.groupBy(model_col).agg(*aggs)
+    if lexicon_sizes is not None:
+        size = F.lit(None).cast("long")
+        for model, n in lexicon_sizes.items():
+            size = F.when(F.col(model_col) == model, F.lit(n).cast("long")).otherwise(size)
+        out = out.withColumn("lexicon_size", size)
+    return out
 
 
 def stats_report(*frames: tuple[str, DataFrame, str]) -> DataFrame:

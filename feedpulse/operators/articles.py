@@ -275,17 +275,15 @@ def latest_news(articles: DataFrame, limit: int = 100, min_relevance: float = 0.
 
 
 def search_news(articles: DataFrame, keywords: Sequence[str], limit: int = 50, as_of=None,
-                hours_back: int | None = None, min_relevance: float = 0.1) -> DataFrame:
-    """K4: of all articles at relevance >= 0.1 (published within ``hours_back`` before ``as_of``, if
-    given) those containing any keyword; keyword_relevance = hits / len(keywords)."""
+                hours_back: int | None = vocab.SEARCH_HOURS, min_relevance: float = 0.1) -> DataFrame:
+    """K4: of all articles at relevance >= 0.1, published within ``hours_back`` before ``as_of`` (a week before
+    now by default; at any time if None), those containing any keyword; keyword_relevance = hits / len(keywords)."""
     kws = [k.lower() for k in keywords]
     if not kws:
         raise ValueError("keywords must not be empty")
     pool = articles.where(F.col("metrics.relevance_score") >= min_relevance)
     if hours_back is not None:
-        if as_of is None:
-            raise ValueError("hours_back needs as_of")
-        end = F.lit(as_of).cast("timestamp")
+        end = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
         pool = pool.where(F.col("published_at").between(end - F.make_dt_interval(F.lit(0), F.lit(hours_back)), end))
     low = F.lower(F.concat(F.col("title"), F.lit(" "), F.col("text")))
     hits = sum((low.contains(k).cast("int") for k in kws), F.lit(0))

@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import time
 from typing import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -48,19 +49,21 @@ def decode_logits(logits, labels: Sequence[str] = vocab.CLASSIFIER_LABELS,
 def score_with_model(df: DataFrame, model_factory: Callable[[], Callable[[list[str]], list]],
                      text_col: str = "text", id_col: str = "id", keep: Sequence[str] = (),
                      n_labels: int = 3, batch_size: int = 32) -> DataFrame:
-    """M4: run a user model over Arrow batches; output ``id, *keep, logits, error``.
+    """M4: run a user model over Arrow batches; output ``id, *keep, logits, error, inference_ms``.
 
     A text for which the model fails keeps its row, with null logits and the error (M7): a
     batch that fails is scored again text by text.  A model that returns another number
     of results than texts, or of logits than ``n_labels``, is a wrong model: the job fails.
 
+    ``inference_ms`` is the time of the model's batch, shared evenly by its texts; null for blank texts.
+
     ``model_factory()`` returns ``predict(texts) -> list[list[float]]``; it is
     invoked once per task inside the executor.  ``batch_size`` is the model
     batch inside each Arrow batch.
     """
     cols = [id_col, *keep, text_col]
     out_schema = (df.select(*[F.col(c) for c in [id_col, *keep]]).schema
-                  .add("logits", ArrayType(DoubleType())).add("error", StringType()))
+                  .add("logits", ArrayType(DoubleType())).add("error", StringType()).add("inference_ms", DoubleType()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predict = model_factory()
@@ -68,10 +71,12 @@ def score_with_model(df: DataFrame, model_factory: Callable[[], Callable[[list[s
             texts = pdf[text_col].fillna("").astype(str)
             logits: list = [None] * len(texts)
             errors: list = [None] * len(texts)
+            times: list = [None] * len(texts)
             live = [i for i, t in enumerate(texts) if t.strip()]
             for s in range(0, len(live), batch_size):
                 chunk = live[s:s + batch_size]
                 batch = [texts.iloc[i] for i in chunk]
+                begin = time.perf_counter()
                 try:
                     preds = list(predict(batch))
                 except Exception:  # noqa: BLE001 - each text on its own, the error goes into its row
@@ -82,9 +87,11 @@ def score_with_model(df: DataFrame, model_factory: Callable[[], Callable[[list[s
                         except Exception as e:  # noqa: BLE001
                             preds.append(None)
                             errors[i] = f"{type(e).__name__}: {e}"
+                each = (time.perf_counter() - begin) * 1000 / len(chunk)
                 if len(preds) != len(chunk):
                     raise ValueError(f"the model returned {len(preds)} results for {len(chunk)} texts")
                 for i, p in zip(chunk, preds):
+                    times[i] = each
                     if p is None:
                         continue
                     logits[i] = [float(v) for v in p]
@@ -93,6 +100,7 @@ def score_with_model(df: DataFrame, model_factory: Callable[[], Callable[[list[s
             res = pdf[[id_col, *keep]].copy()
             res["logits"] = logits
             res["error"] = pd.Series(errors, index=res.index, dtype=object)
+            res["inference_ms"] = pd.Series(times, index=res.index, dtype="float64")
             yield res
 
     return df.select(*cols).mapInPandas(run, out_schema)
@@ -101,8 +109,9 @@ def score_with_model(df: DataFrame, model_factory: Callable[[], Callable[[list[s
 def classifier_scores(df: DataFrame, model_factory, model_name: str = "finbert",
                       text_col: str = "text", keep: Sequence[str] = ("source", "created_at"),
                       social: bool = False, labels: Sequence[str] = vocab.CLASSIFIER_LABELS,
-                      batch_size: int = 32) -> DataFrame:
-    """M4 + M3 (+ T1 / T5 preprocessing) -> long-form score rows (M7 filled)."""
+                      batch_size: int = 32, details: bool = False) -> DataFrame:
+    """M4 + M3 (+ T1 / T5 preprocessing) -> long-form score rows (M7 filled); with ``details``
+    also each row's ``error`` and ``inference_ms``."""
     prep = social_preprocess(F.col(text_col)) if social else sanitize(F.col(text_col))
     pre = df.select("id", *keep, prep.alias("__t"))
     lg = score_with_model(pre, model_factory, text_col="__t", keep=list(keep), n_labels=len(labels),
@@ -112,7 +121,7 @@ def classifier_scores(df: DataFrame, model_factory, model_name: str = "finbert",
         "id", *keep, F.lit(model_name).alias("model"),
         F.coalesce(dec["value"], F.lit(0.0)).alias("value"),
         F.coalesce(dec["confidence"], F.lit(0.0)).alias("confidence"),
-        dec.isNotNull().alias("ok"),
+        dec.isNotNull().alias("ok"), *(["error", "inference_ms"] if details else []),
     )
 
 

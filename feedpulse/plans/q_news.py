@@ -115,5 +115,13 @@ def k1(spark, sf):
 
 @register("K4_search_news")
 def k4(spark, sf):
-    a = AR.search_news(_news(spark, sf), SEARCH_KEYWORDS, limit=20)
+    a = AR.search_news(_news(spark, sf), SEARCH_KEYWORDS, limit=20, hours_back=None)
+    return a.select("id", r6("keyword_relevance").alias("keyword_relevance"))
+
+
+@register("K4_search_news_week")
+def k4_week(spark, sf):
+    # the week up to the newest entry
+    newest = A.feed_entries(spark, sf).agg(F.max("published_at")).first()[0]
+    a = AR.search_news(_news(spark, sf), SEARCH_KEYWORDS, limit=20, as_of=newest)
     return a.select("id", r6("keyword_relevance").alias("keyword_relevance"))

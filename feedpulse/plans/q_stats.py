@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import mentions as M
 from ..operators import aggregate as AG
+from ..operators import articles as AR
+from ..operators import classify as C
 from ..operators import lexicon as L
 from ..operators import normalize as N
 from ..operators import ratelimit as RL
@@ -157,6 +159,37 @@ def a4(spark, sf):
     return AG.model_stats(QM.score_rows(spark, sf))
 
 
+@register("A3_news_stats", sql=f"""
+WITH e AS (SELECT coalesce(guid, link, '') AS id, link, source_feed, published_at,
+  lower(regexp_extract(source_feed, '^[a-zA-Z][a-zA-Z0-9+.\\-]*://([^/?#]*)', 1)) AS domain,
+  CASE WHEN guid IS NULL THEN 'entry without an id: ' || link END AS error FROM ({S.feed_entries()}) f)
+SELECT 'news' AS source, count(*) AS items, count(DISTINCT id) AS seen_ids, count(DISTINCT domain) AS domains,
+  count(DISTINCT source_feed) AS feeds,
+  last(error ORDER BY published_at, id) FILTER (WHERE error IS NOT NULL) AS last_error
+FROM e HAVING count(*) > 0""")
+def a3_news(spark, sf):
+    e = AR.feed_entries(A.feed_entries(spark, sf)).withColumn("source", F.lit("news")) \
+        .withColumn("error", F.when(F.col("id") == F.col("link"), F.concat(F.lit("entry without an id: "), "link")))
+    return AG.source_stats(e, domain_col="source_domain", feed_col="source_feed", error_col="error", ts_col="published_at")
+
+
+@register("A4_model_run_stats", sql=f"""
+WITH s AS (SELECT model, ok, false AS timed FROM ({SM.lexicon_scores(S.content(True), QM.TPL_ENTRIES, vocab.NEGATORS, [])}) l, (SELECT 'vader' AS model) m
+  UNION ALL SELECT model, ok, ok FROM ({SM.stub_classifier(QM.FINBERT_TEXTS, "finbert")}) f)
+SELECT model, count(*) AS predictions, count(*) FILTER (WHERE NOT ok) AS failures,
+  least(count(*) FILTER (WHERE ok), 100) AS history_length, bool_or(timed) AS timed,
+  CASE WHEN model = 'vader' THEN {len(QM.TPL_ENTRIES)} END AS lexicon_size
+FROM s GROUP BY model""")
+def a4_run(spark, sf):
+    # a run of both models with what it took; times differ from run to run, so only their presence is reported
+    c = A.content(spark, sf, templated=True)
+    lexicon = L.default_lexicon(spark)
+    vader = L.lexicon_score(c, lexicon).select(F.col("model_name").alias("model"), "ok", F.lit(None).cast("double").alias("inference_ms"))
+    finbert = C.classifier_scores(c, C.KeywordStubModel, model_name="finbert", details=True).select("model", "ok", "inference_ms")
+    stats = AG.model_stats(vader.unionByName(finbert), time_col="inference_ms", lexicon_sizes={"vader": lexicon.count()})
+    return stats.select("model", "predictions", "failures", "history_length", (F.col("avg_inference_ms") > 0).alias("timed"), "lexicon_size")
+
+
 @register("A5_stats_report", sql=f"""
 WITH a3 AS (SELECT source, count(*) AS items, count(DISTINCT id) AS seen_ids FROM ({_union_sql()}) u GROUP BY source),
 a4 AS (SELECT model, count(*) AS predictions, count(*) FILTER (WHERE NOT ok) AS failures FROM ({QM._score_rows_sql()}) s GROUP BY model)

@@ -149,6 +149,7 @@ MODEL_NAME_MAP = {"transformer": "finbert", "vader": "vader"}
 DEFAULT_MODEL_WEIGHT = 0.5
 MIN_CONFIDENCE = 0.1
 HISTORY_SIZE = 100
+SEARCH_HOURS = 168
 
 CLASSIFIER_LABELS = ["negative", "neutral", "positive"]
 LABEL_VALUES = {"negative": -1.0, "neutral": 0.0, "positive": 1.0}

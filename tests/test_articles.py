@@ -1,5 +1,9 @@
 """H1-H3 goldens: lenient tree building of the standard-library parser."""
 
+import datetime
+import random
+
+from feedpulse.operators import articles as AR
 from feedpulse.operators.articles import _TreeBuilder, extract_content
 
 P60 = "x" * 60
@@ -45,3 +49,41 @@ def test_unparsable_page_reports_its_error():
         def build(self, html):
             raise ValueError("bad page")
     assert extract_content(Broken(), "<p>") == ("", "", "", "ValueError: bad page")
+
+
+def test_search_news_brute_force(spark):
+    rng = random.Random(5)
+    now = datetime.datetime(2024, 5, 1)
+    rows = [(f"n{i}", f"Title {rng.choice(['Bitcoin', 'bond', ''])}", f"text {rng.choice(['ETHER', 'tea'])} {i % 3}",
+             now - datetime.timedelta(hours=rng.randrange(-5, 300)), (rng.randrange(11) / 10,)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id string, title string, text string, published_at timestamp, metrics struct<relevance_score: double>")
+    keywords = ["bitcoin", "Ether", "n 2"]
+
+    def brute(hours, limit):
+        pool = []
+        for i, title, text, at, (rel,) in rows:
+            hits = sum(k.lower() in f"{title} {text}".lower() for k in keywords)
+            if rel >= 0.1 and hits and (hours is None or now - datetime.timedelta(hours=hours) <= at <= now):
+                pool.append((hits / 3, rel, at, i))
+        return [p[3] for p in sorted(pool, reverse=True)[:limit]]
+    week = [r.id for r in AR.search_news(df, keywords, limit=1000, as_of=now).collect()]
+    assert week == brute(168, 1000) and len(week) < len(brute(None, 1000))
+    assert [r.id for r in AR.search_news(df, keywords, limit=7, hours_back=None).collect()] == brute(None, 7)
+    assert AR.search_news(df, keywords).count() == 0   # the week before now
+
+
+def test_news_path_from_pages_to_articles(spark):
+    body = "Bitcoin rises again today as traders buy more of it, while others wait. " * 2
+    html = "<html><body><article><h1>News {}</h1><p>{}</p></article></body></html>"
+    pages = spark.createDataFrame([(f"http://n/{i}", html.format(i, body if i % 2 else "short")) for i in range(10)], "url string, html string")
+    at = datetime.datetime(2024, 4, 30, 12)
+    entries = [(f"g{i}" if i != 3 else None, f"t{i}", "s", f"http://n/{i}", at, "http://feed.example.org/rss", i) for i in range(12)]
+    entries += entries[:4] + [("old", "t", "s", "http://n/1", at - datetime.timedelta(days=9), "http://feed.example.org/rss", 0),
+                              ("nolink", "t", "s", None, at, "http://feed.example.org/rss", 0)]
+    e = spark.createDataFrame(entries, "guid string, title string, summary string, link string, published_at timestamp, source_feed string, position int")
+    got = {r.id: r for r in AR.news_articles(e, pages, "2024-05-01 00:00:00").collect()}
+    # long enough, linked, within the day, once
+    assert sorted(got) == ["g1", "g5", "g7", "g9", "http://n/3"]
+    a = got["g5"]
+    assert (a.title, a.url, a.source_domain, a.source) == ("News 5", "http://n/5", "feed.example.org", "news")
+    assert a.original_text.startswith("Bitcoin rises") and a.metrics.word_count == len(a.original_text.split())

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from feedpulse.operators import aggregate as AG
 from feedpulse.operators import articles as AR
+from feedpulse.operators import classify as C
 from feedpulse.operators.reduction import may_match
 
 
@@ -56,3 +57,15 @@ def test_percentiles_by_ranges(spark):
     extremes = AG.event_percentiles(df, shares={"low": 0.0, "high": 1.0})
     assert {r.event_type: (r.low, r.high) for r in extremes.collect()}["neg"] == (-1.5, 0.0)
     assert AG.event_percentiles(df.limit(0)).count() == 0
+
+
+def test_source_and_model_statistics(spark):
+    rows = [("a", "news", "f1", "d1", None, 1), ("b", "news", "f2", "d1", "timeout", 2), ("c", "news", "f2", "d2", "404", 2), ("d", "web", None, None, None, 9)]
+    df = spark.createDataFrame(rows, "id string, source string, feed string, domain string, error string, created_at int")
+    got = {r.source: r for r in AG.source_stats(df, domain_col="domain", feed_col="feed", error_col="error").collect()}
+    assert tuple(got["news"]) == ("news", 3, 3, 2, 2, "404") and tuple(got["web"]) == ("web", 1, 1, 0, 0, None)
+    texts = spark.createDataFrame([(i, t, "news") for i, t in enumerate(["good", "bad", " ", None])], "id long, text string, source string")
+    scores = C.classifier_scores(texts, C.KeywordStubModel, keep=["source"], details=True)
+    assert {r.id: r.inference_ms is not None for r in scores.collect()} == {0: True, 1: True, 2: False, 3: False}
+    stats = AG.model_stats(scores, time_col="inference_ms", lexicon_sizes={"finbert": 7, "other": 1}).first()
+    assert (stats.predictions, stats.failures, stats.history_length, stats.lexicon_size) == (4, 2, 2, 7) and stats.avg_inference_ms > 0
