@@ -3,11 +3,14 @@ unions and dedup (U1-U3), implicit joins (J1, J5, J7)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..operators import fetch as FE
 from ..operators import normalize as N
+from ..operators.seen import SeenIds
 from ..sources import adapters as A
 from ..sources.tables import table
 from . import sql_adapters as S
@@ -364,3 +367,13 @@ def j7(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
     seen = table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
     return FE.new_only(d, seen)
+
+
+@register("J7_stored_seen_ids", sql="""
+SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def j7_stored(spark, sf):
+    # a first run stores its ids in buckets; the second shuffles its own rows only
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"))
+    seen = SeenIds(spark, f"seen_{uuid.uuid4().hex[:12]}", d.schema["id"].dataType.simpleString())
+    seen.add(table(spark, sf, "labels").select(F.col("doc_id").alias("id")), "first")
+    return seen.new(d, "second")

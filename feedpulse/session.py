@@ -53,12 +53,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def removed_at_exit(spark: SparkSession, path: str) -> str:
+    """``path``, which goes when the application ends."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path
+
+
 def written_table(df, name: str):
     """Cut lineage: ``df`` written once under the session's shared folder and read back.  The table
     outlives lost executors and is removed when the application ends."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(removed_at_exit(spark, path))
