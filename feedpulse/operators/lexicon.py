@@ -83,12 +83,16 @@ def default_lexicon(spark: SparkSession, base: Mapping[str, float] | None = None
 
 
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
-    """A lexicon in the published tab-separated form (``token, mean valence, ...``; no header) as
-    ``(token, valence)``; of repeated tokens the last line of the file does not matter, the
-    largest valence is taken."""
-    raw = spark.read.option("sep", "\t").option("quote", "").schema("token string, valence double").csv(path)
-    return (raw.where(F.col("token").isNotNull() & F.col("valence").isNotNull())
-            .groupBy(F.lower("token").alias("token")).agg(F.max("valence").alias("valence")))
+    """A lexicon file in the published tab-separated form (``token, mean valence, ...``; no header) as
+    ``(token, valence)``.  Of repeated tokens the last line counts; blank lines are skipped, and a line
+    without a token and a number fails the job with the line's token."""
+    raw = spark.read.option("sep", "\t").option("quote", "").schema("token string, valence string").csv(path)
+    valence = F.col("valence").try_cast("double")
+    wrong = F.raise_error(F.concat(F.lit("lexicon line without a token and a valence: "), F.coalesce("token", F.lit("?"))))
+    checked = F.when(F.col("token").isNull() | valence.isNull(), wrong).otherwise(valence)
+    line = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = raw.select(F.lower("token").alias("token"), checked.alias("valence"), line.alias("line"))
+    return lines.groupBy("token").agg(F.max_by("valence", "line").alias("valence"))
 
 
 def word_form(raw: Column) -> Column:

@@ -148,3 +148,14 @@ def test_phrases_need_a_packed_lexicon(spark):
     assert empty is not None and L.lexicon_score(df, twice.limit(0)).first().hits == 0
     # a repeated id is scored row by row
     assert L.lexicon_score(df.union(df), L.default_lexicon(spark)).count() == 2
+
+
+def test_read_lexicon(spark, tmp_path):
+    path = tmp_path / "lexicon.txt"
+    path.write_text("Good\t1.9\t0.9\t[1]\n\n:)\t2.0\ngood\t1.5\t0.1\n\"q\t-1\n")
+    assert {r.token: r.valence for r in L.read_lexicon(spark, str(path)).collect()} == {"good": 1.5, ":)": 2.0, '"q': -1.0}
+    df = spark.createDataFrame([(1, "a Good :) day")], "id long, text string")
+    assert L.lexicon_score(df, L.read_lexicon(spark, str(path))).first().hits == 2
+    path.write_text("good\t1.9\nbad\tmuch\n")
+    with pytest.raises(Exception, match="without a token and a valence: bad"):
+        L.read_lexicon(spark, str(path)).collect()
