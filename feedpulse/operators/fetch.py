@@ -9,7 +9,7 @@ What each platform client does to data, as DataFrame plans:
 * time windows are explicit ``as_of`` predicates pushed to the scan;
 * "posts -> their comments" is an equi-join on the post id (J1);
 * membership tests are ``left_semi`` joins against small dimension tables
-  (known size -> bounded broadcast, derived -> sized by AQE at runtime) (J5);
+  (known size -> bounded broadcast, derived -> checked bytes) (J5);
   cross-run dedup is a ``left_anti`` join (J7).
 """
 
@@ -25,6 +25,7 @@ from ..functions import mentions as M
 from ..functions import validate as V
 from . import normalize as N
 from .broadcast import maybe_broadcast
+from .reduction import rows_of
 
 TIME_FILTERS = {"hour": 1, "day": 24, "week": 24 * 7, "month": 24 * 30, "year": 24 * 365}
 
@@ -122,11 +123,8 @@ def crypto_threads(posts: DataFrame, comments: DataFrame, limit_per_subreddit: i
         return p
     best = top_n_per_key(p.select("id", "subreddit", F.col("metrics.score").alias("score")),
                          ["subreddit"], [F.col("score").desc(), F.col("id").asc()], top_posts)
-    # Equi-join post -> comments.  The right side is derived (at most
-    # subreddits x top_posts rows): AQE measures it at runtime and broadcasts
-    # it when small, without a counting job that would recompute the posts
-    best_ids = best.select(F.col("id").alias("post_id"))
-    c = comments.join(best_ids, "post_id", "left_semi")
+    # Equi-join post -> comments, whose bodies are not shuffled for it
+    c = rows_of(comments, best.select(F.col("id").alias("post_id")), "post_id")
     cm = post_comments(c, limit=max_comments_per_post)
     return N.union_content(p, cm)
 
@@ -167,12 +165,11 @@ def monitored_channels(channels: DataFrame, name_col: str = "channel_name",
 def monitored_messages(messages: DataFrame, channels: DataFrame, key: str = "channel_id",
                        channel_rows: int | None = None, max_broadcast_rows: int = 1_000_000) -> DataFrame:
     """Messages of monitored channels (left-semi join).  A channel
-    table of known size is broadcast up to the bound; a derived one is sized
-    by AQE at runtime (broadcast when small)."""
+    table of known size is broadcast up to the bound; of a derived one the bytes are checked."""
     mon = monitored_channels(channels).select(key).distinct()
     if channel_rows is not None:
-        mon = maybe_broadcast(mon, max_broadcast_rows, known_rows=channel_rows)
-    return messages.join(mon, key, "left_semi")
+        return messages.join(maybe_broadcast(mon, max_broadcast_rows, known_rows=channel_rows), key, "left_semi")
+    return rows_of(messages, mon, key)
 
 
 def with_channel_info(messages: DataFrame, info: DataFrame, key: str = "channel",

@@ -11,6 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written_table
+
+#: Wanted keys up to this size are broadcast themselves (bytes, with 16 for each key).
+MAX_KEY_BYTES = 16 << 20
+
 #: 2 ** 20 words of 64 bits.
 MAX_BITS = 1 << 26
 BITS_PER_KEY = 16
@@ -36,3 +41,16 @@ def may_match(df: DataFrame, wanted: DataFrame, key: str, max_bits: int = MAX_BI
     word, bit = _place(key, bits)
     return df.where(F.col(key).isNotNull()).join(
         F.broadcast(words), (word == F.col("__word")) & (bit.bitwiseAND(F.col("__bits")) != 0), "left_semi")
+
+
+def rows_of(df: DataFrame, wanted: DataFrame, key: str, max_bytes: int = MAX_KEY_BYTES) -> DataFrame:
+    """The left semi join of ``df`` with derived keys, without a shuffle of unwanted rows.
+
+    The keys are computed once, as a table.  Up to ``max_bytes`` they are broadcast, so a hot key's rows stay
+    where they are; beyond that ``may_match`` filters ``df`` in the scan and the join is left to the planner.
+    """
+    keys = written_table(wanted.where(F.col(key).isNotNull()).select(key).distinct(), "wanted")
+    size = keys.agg(F.coalesce(F.sum(F.octet_length(F.col(key).cast("string")) + 16), F.lit(0))).first()[0]
+    if size <= max_bytes:
+        return df.join(F.broadcast(keys), key, "left_semi")
+    return may_match(df, keys, key).join(keys, key, "left_semi")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from feedpulse.operators import aggregate as AG
 from feedpulse.operators import articles as AR
 from feedpulse.operators import classify as C
-from feedpulse.operators.reduction import may_match
+from feedpulse.operators.reduction import may_match, rows_of
 
 
 @pytest.mark.parametrize("wanted", [0, 1, 500])
@@ -38,6 +38,19 @@ def test_unwanted_html_is_not_shuffled(spark):
     assert "LeftSemi" in plan and "broadcast" in plan
 
 
+def test_semi_join_both_ways(spark):
+    # a hot key with a third of the rows, a null key, repeated wanted keys
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") == 1, None)
+                                  .otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("k"), "id")
+    want = spark.createDataFrame([("hot",), ("k7",), ("k7",), (None,), ("none",)], "k string")
+    exact = sorted(r.id for r in df.join(want, "k", "left_semi").collect())
+    small, large = rows_of(df, want, "k"), rows_of(df, want, "k", max_bytes=0)
+    assert sorted(r.id for r in small.collect()) == sorted(r.id for r in large.collect()) == exact
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert rows_of(df, want.limit(0), "k").count() == 0
+
+
 def brute(values, share):
     values = sorted(values)
     return values[max(math.ceil(share * len(values)), 1) - 1]
