@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import mentions as M
 from ..functions import text as T
+from ..operators import keywords as K
 from ..sources import adapters as A
 from . import sql_adapters as S
 from . import sql_text as ST
@@ -191,6 +192,33 @@ def j6(spark, sf):
     return M.mention_rows(c, vocab_df)
 
 
+# lower-case words of at least four letters in the benchmark items
+_BENCHMARK_WORDS = S.q(r"[^\p{L}\p{N}]+")
+
+
+@register("J6_substring_keywords", sql=f"""
+WITH words AS (SELECT DISTINCT w FROM (
+  SELECT unnest(regexp_split_to_array(lower(text), {_BENCHMARK_WORDS})) AS w FROM benchmark) x WHERE length(w) >= 4)
+SELECT w AS keyword, count(*) AS n_docs FROM ({S.content()}) c JOIN words ON contains(lower(c.text), w) GROUP BY w""")
+def j6_substring(spark, sf):
+    # a vocabulary from the data, as substrings of all texts in one pass
+    from ..sources.tables import table
+    split = F.split(F.lower("text"), r"[^\p{L}\p{N}]+", -1)
+    words = (table(spark, sf, "benchmark").select(F.explode(split).alias("keyword"))
+             .where(F.length("keyword") >= 4).distinct())
+    hits = K.keyword_rows(A.content(spark, sf), words)
+    return hits.groupBy(F.col("label").alias("keyword")).agg(F.count("*").alias("n_docs"))
+
+
+@register("X6_search_symbols_vocabulary", sql=f"""
+SELECT id, unnest({ST.search_symbols('text')}) AS symbol FROM ({S.tweets()}) t""")
+def x6_vocabulary(spark, sf):
+    # the search terms of all symbols as one keyword table
+    terms = {s: [t.replace("{S}", s) for t in vocab.SEARCH_TERMS] for s in vocab.CRYPTO_SYMBOLS}
+    hits = K.keyword_rows(A.tweets(spark, sf), K.keyword_vocabulary(spark, terms), label_col="label")
+    return hits.select("id", F.col("label").alias("symbol"))
+
+
 @register("F5_min_relevance", sql=f"""
 SELECT id, {S.r6(ST.relevance_score('title', 'text', 'url'))} AS relevance FROM ({_ARTICLE_SQL}) a
 WHERE {ST.relevance_score('title', 'text', 'url')} >= 0.3""")

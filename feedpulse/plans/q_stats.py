@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import mentions as M
+from ..functions import text as T
 from ..operators import aggregate as AG
 from ..operators import articles as AR
 from ..operators import classify as C
@@ -14,6 +15,7 @@ from ..operators import lexicon as L
 from ..operators import normalize as N
 from ..operators import ratelimit as RL
 from ..operators import search as SE
+from ..operators.textindex import TextIndex
 from ..sources import adapters as A
 from . import q_models as QM
 from . import q_sources as QS
@@ -79,6 +81,42 @@ def k7(spark, sf):
     return r.select("id")
 
 
+# --- K5-K7 over the stored trigram index ----------------------------------------------------
+
+# FIXED VALUES: search words that occur in the invented prose
+INDEXED_PHRASE, INDEXED_TERMS = "able", ["sich", "pour"]
+
+
+@register("K5_indexed_search", sql=f"""
+WITH n AS (SELECT id, {S.sanitize('text')} AS clean FROM ({S.content()}) c)
+SELECT id FROM n WHERE contains(lower(clean), {q(INDEXED_PHRASE)})""")
+def k5_indexed(spark, sf):
+    # all cleaned content, every match
+    c = A.content(spark, sf).select("id", T.sanitize("text").alias("text"))
+    return TextIndex(spark, c.schema).add(c).matching(INDEXED_PHRASE).select("id")
+
+
+@register("K6_indexed_search", sql=f"""
+WITH n AS (SELECT * FROM (SELECT channel || '_' || CAST(message_id AS VARCHAR) AS id, date AS created_at,
+        {S.sanitize('text')} AS clean FROM ({S.telegram_messages()}) m0
+        WHERE contains(lower(text), {q(INDEXED_PHRASE)}) AND text <> '' AND length(text) >= 5) x
+      WHERE length(clean) >= 1)
+SELECT id FROM n ORDER BY created_at DESC, id DESC LIMIT 60""")
+def k6_indexed(spark, sf):
+    m = A.telegram_messages(spark, sf)
+    found = TextIndex(spark, m.schema).add(m).matching(INDEXED_PHRASE)
+    return SE.search_telegram(found, INDEXED_PHRASE, [f"@ch{i}" for i in range(6)], limit=60).select("id")
+
+
+@register("K7_indexed_search", sql=f"""
+SELECT id FROM ({S.reddit_posts()}) p
+WHERE {' OR '.join(f"contains(lower(concat_ws(' ', title, selftext)), {q(t)})" for t in INDEXED_TERMS)}""")
+def k7_indexed(spark, sf):
+    # any of the terms in title or body, every match
+    p = A.reddit_posts(spark, sf).select("id", F.concat_ws(" ", "title", "selftext").alias("text"))
+    return TextIndex(spark, p.schema).add(p).matching_any(INDEXED_TERMS).select("id")
+
+
 # --- A1: weighted multi-source aggregation ----------------------------------------------
 
 def _a1_spark(spark, sf):
