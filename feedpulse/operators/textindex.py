@@ -21,9 +21,12 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -31,6 +34,7 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from ..session import checkpoint_dir, removed_at_exit
 from .reduction import MAX_KEY_BYTES
 
+#: Three characters: ``grams`` packs them into one long.
 GRAM = 3
 BLOCK_ROWS = 1 << 14
 BUCKETS = 64
@@ -40,17 +44,50 @@ LISTS = 4
 
 #: Columns that the stored rows carry beside their own.
 AT, BLOCK, RUN = "__at", "__block", "__run"
-POSTINGS = f"gram string, {BLOCK} string, places array<int>, {RUN} string, bucket int"
-COUNTS = f"gram string, n long, {RUN} string"
+POSTINGS = f"gram long, {BLOCK} string, places array<int>, {RUN} string, bucket int"
+COUNTS = f"gram long, n long, {RUN} string"
 
 
-def grams(low: Column) -> Column:
-    """Distinct trigrams of a lower-cased text, in one pass over it."""
-    return F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), 1))
+#: Entries of a block that a task gathers before it sorts them; a list may come in several parts.
+GATHERED = 1 << 22
 
 
-def query_grams(query: str) -> list[str]:
-    return sorted({query[i:i + GRAM] for i in range(len(query) - GRAM + 1)})
+def grams(low: str) -> np.ndarray:
+    """Distinct trigrams of a lower-cased text, sorted, each as one number of three 21-bit code points."""
+    c = np.frombuffer(low.encode("utf-32-le"), "<u4").astype(np.int64)
+    return np.unique(c[:-2] | (c[1:-1] << 21) | (c[2:] << 42))
+
+
+def query_grams(query: str) -> list[int]:
+    return grams(query).tolist()
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over ``(block, at, low)``: lists ``(gram, block, places)`` of what was gathered of one block."""
+    def lists(block: str, gathered: list[np.ndarray], places: list[int]) -> pa.RecordBatch:
+        gram = np.concatenate(gathered)
+        place = np.repeat(np.array(places, np.int32), [len(g) for g in gathered])
+        order = np.argsort(gram, kind="stable")
+        gram, place = gram[order], place[order]
+        head = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
+        offsets = np.append(head, len(gram)).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(gram[head]), pa.array([block] * len(head), pa.string()),
+             pa.ListArray.from_arrays(pa.array(offsets), pa.array(place))], names=["gram", BLOCK, "places"])
+
+    for batch in batches:
+        last, gathered, places, size = None, [], [], 0
+        for block, at, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            if gathered and (block != last or size > GATHERED):
+                yield lists(last, gathered, places)
+                gathered, places, size = [], [], 0
+            last = block
+            if low.is_valid:
+                gathered.append(grams(low.as_py()))
+                places.append(at)
+                size += len(gathered[-1])
+        if gathered:
+            yield lists(last, gathered, places)
 
 
 def _bucket(gram: Column) -> Column:
@@ -87,9 +124,9 @@ class TextIndex:
             self._keep = True
 
         mine = self._rows().where(F.col(RUN) == run)
-        entries = mine.select(BLOCK, AT, F.explode(grams(F.lower(F.col(self.text_col)))).alias("gram"))
-        lists = (entries.groupBy("gram", BLOCK)
-                 .agg(F.sort_array(F.collect_list(AT)).alias("places"))
+        parts = (mine.select(BLOCK, AT, F.lower(F.col(self.text_col)).alias("low"))
+                 .mapInArrow(_parts, f"gram long, {BLOCK} string, places array<int>"))
+        lists = (parts.groupBy("gram", BLOCK).agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
                  .withColumn("bucket", _bucket(F.col("gram"))))
         (lists.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", "gram")
          .write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/{RUN}={run}"))
@@ -109,7 +146,7 @@ class TextIndex:
         paths = [base] if buckets is None else [f"{base}/{RUN}=*/bucket={b}" for b in buckets]
         return self.spark.read.schema(POSTINGS).option("basePath", base).parquet(*paths)
 
-    def rarest(self, query: str, lists: int = LISTS) -> list[tuple[str, int, int]]:
+    def rarest(self, query: str, lists: int = LISTS) -> list[tuple[int, int, int]]:
         """The query's rarest trigrams, rarest first, each with its number of rows and its bucket; a trigram that
         no row has means that nothing matches, and gives an empty list."""
         wanted = query_grams(query)
@@ -117,7 +154,7 @@ class TextIndex:
              .groupBy("gram").agg(F.sum("n").alias("n")).select("gram", "n", _bucket(F.col("gram"))).collect())
         return sorted(map(tuple, n), key=lambda x: (x[1], x[0]))[:lists] if len(n) == len(wanted) else []
 
-    def candidates(self, rarest: Sequence[tuple[str, int, int]]) -> DataFrame:
+    def candidates(self, rarest: Sequence[tuple[int, int, int]]) -> DataFrame:
         """Rows ``(run, block, at)`` that have all of these trigrams."""
         names, buckets = [g for g, _, _ in rarest], sorted({b for _, _, b in rarest})
         lists = self._postings(buckets).where(F.col("gram").isin(names))

@@ -9,7 +9,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from feedpulse.operators import search as SE
+from feedpulse.operators import textindex
 from feedpulse.operators.textindex import TextIndex, query_grams
 from feedpulse.session import checkpoint_dir
 
@@ -79,12 +79,21 @@ def test_empty_index_and_hot_trigram(spark):
     # a trigram of all rows: its lists end with their blocks
     df = spark.range(3000).select("id", F.concat(F.lit("same start "), F.col("id")).alias("text"))
     index = TextIndex(spark, df.schema, block_rows=250).add(df)
-    assert index._postings().where("gram = 'sam'").agg(F.max(F.size("places"))).first()[0] <= 250
+    assert index._postings().where(F.col("gram") == query_grams("sam")[0]).agg(F.max(F.size("places"))).first()[0] <= 250
     assert sorted(r.id for r in index.matching("start 29").collect()) == scan(df, "start 29")
 
 
+def test_a_block_in_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(textindex, "GATHERED", 50)
+    df = texts(spark, 60)
+    index = TextIndex(spark, df.schema).add(df)
+    for query in ["beta gam", "twin row"]:
+        assert sorted(r.id for r in index.matching(query).collect()) == scan(df, query)
+
+
 def test_query_grams():
-    assert query_grams("abcabc") == ["abc", "bca", "cab"] and query_grams("ab") == []
+    assert len(query_grams("abcabc")) == 3 and query_grams("ab") == query_grams("") == []
+    assert query_grams("a😀\U0010ffff")[0] == 97 | 0x1F600 << 21 | 0x10FFFF << 42
 
 
 def test_searches_over_the_index(spark):
