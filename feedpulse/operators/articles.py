@@ -1,8 +1,9 @@
 """HTML article extraction (H1-H3) and the news path.
 
 Extraction is the one place raw HTML is parsed, so it runs as an
-Arrow-batched ``mapInPandas`` with the standard-library ``html.parser`` (no
-third-party HTML library is installed).  Tree building follows the lenient
+``mapInArrow`` with the standard-library ``html.parser`` (no third-party HTML
+library is installed); a worker holds one input batch and at most about
+``PIECE`` characters of output, whatever the pages repeat.  Tree building follows the lenient
 rules of that parser: unclosed tags stay open (so a paragraph left open
 contains the following ones and its text repeats them), an end tag closes
 the most recent open element of that name, void elements have no children,
@@ -18,7 +19,7 @@ from __future__ import annotations
 from html.parser import HTMLParser
 from typing import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -41,6 +42,9 @@ MAIN_SELECTORS = [("tag", "article"), ("class", "article-content"), ("class", "p
                   ("class", "main-content")]
 MIN_PARAGRAPH = 50
 
+#: Characters of extracted text after which a worker passes on what it has.
+PIECE = 1 << 21
+
 
 class _Node:
     __slots__ = ("tag", "attrs", "children", "parent")
@@ -160,6 +164,29 @@ def extract_content(builder: _TreeBuilder, html: str | None) -> tuple[str, str,
         return "", "", "", f"{type(e).__name__}: {e}"
 
 
+def _extractor(names: Sequence[str]):
+    """Over batches of kept columns and the html: the kept columns and what was extracted, named ``names``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        builder = _TreeBuilder()  # one parser per task, reused for every row
+
+        def piece(kept: list[pa.Array], begin: int, res: list[tuple]) -> pa.RecordBatch:
+            new = [pa.array(column, pa.string()) for column in zip(*res)]
+            return pa.RecordBatch.from_arrays([*(c.slice(begin, len(res)) for c in kept), *new], names=list(names))
+
+        for batch in batches:
+            *kept, html = batch.columns
+            res, begin, size = [], 0, 0
+            for h in html:
+                res.append(extract_content(builder, h.as_py()))
+                size += sum(map(len, res[-1][:3]))
+                if size >= PIECE:
+                    yield piece(kept, begin, res)
+                    res, begin, size = [], begin + len(res), 0
+            if res:
+                yield piece(kept, begin, res)
+    return run
+
+
 def extract_articles(pages: DataFrame, html_col: str = "html", keep: Sequence[str] = ("page_id", "url")
                      ) -> DataFrame:
     """H1-H3: ``keep`` columns + ``title, text, summary`` (strings, never null) + ``extract_error``
@@ -167,19 +194,7 @@ def extract_articles(pages: DataFrame, html_col: str = "html", keep: Sequence[st
     keep = list(keep)
     schema = (pages.select(*keep).schema.add("title", StringType()).add("text", StringType())
               .add("summary", StringType()).add("extract_error", StringType()))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        builder = _TreeBuilder()  # one parser per task, reused for every row
-        for pdf in batches:
-            res = [extract_content(builder, h) for h in pdf[html_col]]
-            out = pdf[keep].copy()
-            out["title"] = [r[0] for r in res]
-            out["text"] = [r[1] for r in res]
-            out["summary"] = [r[2] for r in res]
-            out["extract_error"] = pd.Series([r[3] for r in res], index=out.index, dtype=object)
-            yield out
-
-    return pages.select(*keep, html_col).mapInPandas(run, schema)
+    return pages.select(*keep, html_col).mapInArrow(_extractor(schema.names), schema)
 
 
 # --- feeds and the news path ----------------------------------------------------------

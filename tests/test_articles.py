@@ -87,3 +87,17 @@ def test_news_path_from_pages_to_articles(spark):
     a = got["g5"]
     assert (a.title, a.url, a.source_domain, a.source) == ("News 5", "http://n/5", "feed.example.org", "news")
     assert a.original_text.startswith("Bitcoin rises") and a.metrics.word_count == len(a.original_text.split())
+
+
+def test_extraction_passes_on_bounded_pieces(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(AR, "PIECE", 10_000, raising=False)
+    # thirty open paragraphs, whose text is emitted again for each that holds it
+    html = "<body>" + f"<p>{P60}" * 30 + "</body>"
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(20)) + [None], "html": [html, None] * 10 + [html]})
+    names = ["page_id", "title", "text", "summary", "extract_error"]
+    out = list(AR._extractor(names)(iter([batch, batch.slice(0, 0)])))
+    one = len(ex(html)[1])
+    assert len(out) > 5 and all(sum(map(len, b.column(2).to_pylist())) <= 10_000 + one for b in out)
+    assert [i for b in out for i in b.column(0).to_pylist()] == list(range(20)) + [None]
+    assert [x for b in out for x in b.column(2).to_pylist()] == [ex(html)[1], ""] * 10 + [ex(html)[1]]
