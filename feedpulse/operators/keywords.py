@@ -4,7 +4,8 @@
 keywords are a table:
 
 * up to ``MAX_KEY_BYTES`` they are broadcast by their checked bytes, and each task builds one Aho-Corasick automaton, which
-  finds all keywords, nested and overlapping ones too, in one pass over a text. Nothing is shuffled;
+  finds all keywords, nested and overlapping ones too, in one pass over a text. Nothing is shuffled, and a worker passes
+  its rows on after every ``PIECE`` of them, however many keywords its texts have;
 * beyond it, each keyword is looked for by its seed, its first ``k`` characters with the largest ``k`` of
   ``SEEDS`` that it has. The texts' seeds pass a bit set of fixed size in the scan, meet the keywords in a join by seed,
   and the pairs are compared with the text itself.
@@ -17,6 +18,7 @@ gives no rows; repeated keywords count once; each input row gives its own pairs,
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,25 +31,41 @@ from .reduction import MAX_KEY_BYTES, may_match
 
 SEEDS = (1, 2, 3, 4, 6, 8, 12, 24, 48)
 
+#: Rows after which a worker passes on what it has.
+PIECE = 1 << 16
+
 
 def _matcher(vocabulary):
     """Over batches ``(id, lower-cased text)``; ``vocabulary`` broadcasts ``{keyword: labels}``."""
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
         machine = ahocorasick.Automaton()
+        names = sorted({label for labels in vocabulary.value.values() for label in labels})
+        number = {label: i for i, label in enumerate(names)}
+        labels_of = []  # by keyword; the automaton holds a keyword's place in it
         for keyword, labels in vocabulary.value.items():
-            machine.add_word(keyword, (keyword, labels))
+            machine.add_word(keyword, len(labels_of))
+            labels_of.append(tuple(number[label] for label in labels))
         machine.make_automaton()
+        names = pa.array(names, pa.string())
+
+        def piece(batch: pa.RecordBatch, rows: array, found: array) -> pa.RecordBatch:
+            ids = batch.column(0).take(pa.array(rows, pa.int64()))
+            return pa.RecordBatch.from_arrays([ids, names.take(pa.array(found, pa.int64()))],
+                                              names=[batch.schema.names[0], "label"])
+
         for batch in batches:
-            rows, found = [], []
+            rows, found = array("q"), array("q")
             for i, text in enumerate(batch.column(1)):
-                hits = dict(value for _, value in machine.iter(text.as_py())) if text.is_valid else {}
-                names = sorted({label for labels in hits.values() for label in labels})
-                rows += [i] * len(names)
-                found += names
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string())],
-                names=[batch.schema.names[0], "label"])
+                hits = {k for _, k in machine.iter(text.as_py())} if text.is_valid else ()
+                labels = sorted({label for k in hits for label in labels_of[k]})
+                rows.extend(array("q", [i]) * len(labels))
+                found.extend(labels)
+                if len(rows) >= PIECE:
+                    yield piece(batch, rows, found)
+                    rows, found = array("q"), array("q")
+            if rows:
+                yield piece(batch, rows, found)
     return match
 
 

@@ -59,3 +59,17 @@ def test_equals_the_or_chain(spark):
     n = keyword_rows(docs, words).groupBy("id").count()
     want = docs.select("id", M.keyword_count("text", keywords).alias("n")).where("n > 0")
     assert sorted(map(tuple, n.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_rows_are_passed_on_in_bounded_pieces(monkeypatch):
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from feedpulse.operators import keywords as K
+    monkeypatch.setattr(K, "PIECE", 500, raising=False)
+    words = [f"w{i};" for i in range(100)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(40)), "__low": ["".join(words), None] * 20})
+    out = list(K._matcher(SimpleNamespace(value={w: (w,) for w in words}))(iter([batch])))
+    assert len(out) == 4 and max(b.num_rows for b in out) <= 600
+    rows = [r for b in out for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert rows == [(i, w) for i in range(0, 40, 2) for w in sorted(words)]
