@@ -49,7 +49,7 @@ COUNTS = f"gram long, n long, {RUN} string"
 
 
 #: Entries of a block that a task gathers before it sorts them; a list may come in several parts.
-GATHERED = 1 << 22
+GATHERED = 1 << 20
 
 
 def grams(low: str) -> np.ndarray:
@@ -77,14 +77,15 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         last, gathered, places, size = None, [], [], 0
-        for block, at, low in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+        for block, at, low in zip(*batch.columns):
+            block = block.as_py()
             if gathered and (block != last or size > GATHERED):
                 yield lists(last, gathered, places)
                 gathered, places, size = [], [], 0
             last = block
             if low.is_valid:
                 gathered.append(grams(low.as_py()))
-                places.append(at)
+                places.append(at.as_py())
                 size += len(gathered[-1])
         if gathered:
             yield lists(last, gathered, places)

@@ -103,3 +103,13 @@ def test_searches_over_the_index(spark):
     index = TextIndex(spark, messages.schema, block_rows=16).add(messages)
     hits = index.matching("needle")
     assert sorted(r.message_id for r in hits.collect()) == [i for i in range(200) if i % 7 == 0 and i % 11]
+
+
+def test_lists_are_built_from_at_most_a_million_entries():
+    import pyarrow as pa
+    from feedpulse.operators.textindex import _parts, grams
+    low = "".join(chr(0x4E00 + i) for i in range(16_000))
+    batch = pa.RecordBatch.from_pydict({"block": ["0-0"] * 200, "at": pa.array(range(200), pa.int32()), "low": [low, None] * 100})
+    out = list(_parts(iter([batch])))
+    entries = [len(b.column(2).flatten()) for b in out]
+    assert sum(entries) == 100 * len(grams(low)) and max(entries) <= (1 << 20) + len(grams(low))
