@@ -26,9 +26,10 @@ def ordered_parts(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], p
 
     Ranges have about the same number of rows whatever the keys and times are, as long as ``order_by`` tells
     rows apart.  The table fixes the cut: range bounds are sampled, so two jobs would not
-    cut alike.  ``parts`` is the number of ranges (by default what the session's shuffles have).
+    cut alike.  The rows are written before they are cut, as sampling them would compute them a second time.
+    ``parts`` is the number of ranges (by default what the session's shuffles have).
     """
-    ranges = df.repartitionByRange(*([parts] if parts else []), *keys, *order_by)
+    ranges = written_table(df, "rows").repartitionByRange(*([parts] if parts else []), *keys, *order_by)
     table = written_table(ranges.withColumn(PART, F.spark_partition_id()), "parts")
     return table.withColumn(KEY, F.struct(*keys))
 
