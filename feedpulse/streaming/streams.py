@@ -26,8 +26,7 @@ import uuid
 from datetime import timedelta
 from typing import Callable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
@@ -95,12 +94,12 @@ class FirstPerKey(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "seen boolean", self.keep_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for pdf in rows:  # one Arrow batch at a time, of which one row is kept
-            here = pdf.sort_values(self.ts, kind="stable").iloc[:1]
-            if first is None or here[self.ts].iloc[0] < first[self.ts].iloc[0]:
-                first = here
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # rows, not a pandas frame per key: most keys have one row, and the frame cost more than the state
+        first = next(rows, None)
+        for row in rows:
+            if row[self.ts] is not None and (first[self.ts] is None or row[self.ts] < first[self.ts]):
+                first = row
         if first is not None and not self.seen.exists():
             self.seen.update((True,))
             yield first
@@ -112,7 +111,7 @@ class FirstPerKey(StatefulProcessor):
 def dedup(df: DataFrame, key: str = "id", ts: str = "created_at", keep: timedelta = timedelta(hours=24)) -> DataFrame:
     """One row per id among those that arrive within ``keep`` of each other, late rows
     included.  Write it with ``run_deduplicated``."""
-    return df.groupBy(key).transformWithStateInPandas(
+    return df.groupBy(key).transformWithState(
         FirstPerKey(ts, int(keep.total_seconds() * 1000)), df.schema, "append", "ProcessingTime")
 
 

@@ -135,3 +135,18 @@ def test_stream_history_in_batches(spark, tmp_path):
         stream = ST.read_landed(spark, folder, schema=schema, max_files_per_trigger=1)
         got = {r.id: (r.succ_k, r.perf) for r in ST.run_performance_factor(scores(stream), "r6").collect()}
         assert got == want
+
+
+def test_first_row_of_a_key_without_a_frame_per_key():
+    from types import SimpleNamespace
+
+    from feedpulse.streaming import streams as ST
+    from pyspark.sql import Row
+    seen = []
+    first = ST.FirstPerKey("created_at", 1000)
+    first.seen = SimpleNamespace(exists=lambda: bool(seen), update=seen.append)
+    rows = [Row(id=1, created_at=t, n=n) for n, t in enumerate([None, _at(5, 0), _at(2, 0), _at(2, 0)])]
+    assert [r.n for r in first.handleInputRows((1,), iter(rows), None)] == [2]
+    assert list(first.handleInputRows((1,), iter(rows), None)) == [] and seen == [(True,)]
+    seen.clear()
+    assert [r.n for r in first.handleInputRows((1,), iter(rows[:1]), None)] == [0]
