@@ -124,7 +124,9 @@ def _a1_spark(spark, sf):
     men = F.array().cast("array<string>")
     for d in M.DIALECTS:
         men = F.when(F.col("source") == d, M.mentions("text", d)).otherwise(men)
-    c = c.withColumn("symbols_mentioned", men)
+    # a generator of one element, so that the mentions are computed once: the explode that follows adds a filter, which
+    # the optimizer would push down with the whole expression in it, twice beside the column itself
+    c = c.withColumn("symbols_mentioned", F.explode(F.array(men)))
     # the mention array rides through the lexicon job as a carried column
     return L.lexicon_score(c, L.default_lexicon(spark), keep=["source", "created_at", "symbols_mentioned"])
 

@@ -85,3 +85,11 @@ def test_pair_extraction_exact(spark):
     for r in got:
         for d in M.DIALECTS:
             assert r[d] == py_mentions(texts[r.id], d, syms), (texts[r.id], d, r[d])
+
+
+def test_windowed_sentiment_computes_mentions_once(spark):
+    from feedpulse.plans.q_stats import a1w
+    from tests.conftest import SF_SMALL
+    plan = a1w(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    per_line = [line.count("array_intersect") for line in plan.split("\n")]
+    assert sum(per_line) == 5 and max(per_line) == 5  # one for each dialect, in one place
